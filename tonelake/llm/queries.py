@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, piece_codec, prefix_counts
+from . import near_copies, packing, piece_codec, prefix_counts
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,4 +30,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("within").alias("chars_within_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op7_packing, op8_token_counts)}
+def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op7_packing, op8_token_counts, op9_minhash_near_copies)}
