@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_copies, packing, piece_codec, prefix_counts
+from . import near_copies, packing, piece_codec, prefix_counts, vector_copies
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(_table(spark, sf_dir, "documents"), PIECE_MODEL, digests=True)
 
 
+def op4_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_copies.vector_copies(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048)
 
@@ -34,4 +38,4 @@ def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op7_packing, op8_token_counts, op9_minhash_near_copies)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_vector_copies, op7_packing, op8_token_counts, op9_minhash_near_copies)}
