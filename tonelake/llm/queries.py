@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_copies, packing, piece_codec, prefix_counts, vector_copies
+from . import near_copies, packing, piece_codec, prefix_counts, secret_scan, vector_copies
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,13 @@ def op4_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_copies.vector_copies(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("secret_spans", lambda x: x["k"] < 3)
+    count = lambda k: F.size(F.filter("secret_spans", lambda x: x["k"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.named(base), 256).alias("base_sha256"), secret_scan.named(F.col("secret_spans")).alias("spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048)
 
@@ -38,4 +45,4 @@ def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_vector_copies, op7_packing, op8_token_counts, op9_minhash_near_copies)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_vector_copies, op5_secret_spans, op7_packing, op8_token_counts, op9_minhash_near_copies)}
