@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_copies, packing, piece_codec, prefix_counts, secret_scan, vector_copies
+from . import near_copies, packing, piece_codec, prefix_counts, quality_rules, secret_scan, vector_copies
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,8 +41,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("within").alias("chars_within_limit"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_vector_copies, op5_secret_spans, op7_packing, op8_token_counts, op9_minhash_near_copies)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_vector_copies, op5_secret_spans, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules)}
