@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_copies, packing, piece_codec, prefix_counts, quality_rules, secret_scan, vector_copies
+from . import language_id, near_copies, packing, piece_codec, prefix_counts, pu_quality, quality_rules, secret_scan, vector_copies
+from .common import fold
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,6 +22,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(_table(spark, sf_dir, "documents"), PIECE_MODEL, digests=True)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold("doc_id", 3) == 1
+    trusted = _table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held)
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return pu_quality.classify(rows, docs.where(~held), trusted, ["doc_id", "held_out"])
+
+
 def op4_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_copies.vector_copies(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -32,6 +41,12 @@ def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.named(base), 256).alias("base_sha256"), secret_scan.named(F.col("secret_spans")).alias("spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold("doc_id", 4) == 2
+    return language_id.identify(docs.withColumn("held_out", held), docs.where(~held), PIECE_MODEL, ["doc_id", "held_out"])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048)
 
@@ -50,4 +65,4 @@ def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_vector_copies, op5_secret_spans, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_classifier, op4_vector_copies, op5_secret_spans, op6_language_id, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules)}
