@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_copies, packing, piece_codec, prefix_counts, pu_quality, quality_rules, secret_scan, vector_copies
+from . import context_tree, language_id, near_copies, packing, piece_codec, prefix_counts, pu_quality, quality_rules, secret_scan, vector_copies
 from .common import fold
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
@@ -22,6 +22,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(_table(spark, sf_dir, "documents"), PIECE_MODEL, digests=True)
 
 
+def op2_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = fold("doc_id", 5) == 1
+    return context_tree.score(docs, docs.where(~held), held)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = fold("doc_id", 3) == 1
@@ -65,4 +71,4 @@ def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_quality_classifier, op4_vector_copies, op5_secret_spans, op6_language_id, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_context_tree_lm, op3_quality_classifier, op4_vector_copies, op5_secret_spans, op6_language_id, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules)}
