@@ -164,7 +164,7 @@ def fit(labelled: DataFrame, model: str, lang: str = "lang", text: str = "text",
     p = np.full((len(vocab), len(langs)), 1 / len(vocab))
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(_padded(p))
-        got = words.mapInArrow(lambda it, s=shared: _expect(it, vocab, s, langs), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInArrow(lambda it, s=shared: _expect(it, vocab, s, langs), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         counts = np.full_like(p, 0.01)
         counts[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
         p = counts / counts.sum(0)
@@ -179,8 +179,8 @@ def _predict(batches, vocab: dict[str, int], shared, langs: list[str], prior: np
     if _kept.get("of") != name:
         _kept.update(of=name, table=WordScores(vocab, _padded(shared.value)))
     table = _kept["table"]
-    for batch in slices(batches):
-        codes, counts = table.look_up([words_of(t) for t in texts_of(batch)])
+    for batch in slices(batches, "__body"):
+        codes, counts = table.look_up([words_of(t) for t in texts_of(batch, "__body")])
         sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(table.scores[codes], 0, dtype=np.float64)])
         ends = np.cumsum(counts)
         total = sums[ends] - sums[ends - counts] + prior
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, labelled: DataFrame, model: str, keep: list[str],
     """
     small_batches(docs.sparkSession)
     body: Column = F.col(text).cast("string")
-    rows = docs.select(*keep, body.alias("text"))
+    rows = docs.select(*keep, body.alias("__body"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
     found = fit(labelled, model, lang, text, order)
     if found is None:

@@ -151,14 +151,14 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     some = F.broadcast(ids.where(part("__id", 3, TRUSTED, known)).withColumn("__p", F.lit(True)))  # about TRUSTED ids at most
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text"), part(F.col(doc_id), 5, UNLABELLED, every).alias("__u")).join(some, "__id", "left")
     kinds = F.filter(F.array(F.when(F.col("__p"), F.lit(True)), F.when(F.col("__u"), F.lit(False))), lambda k: k.isNotNull())
-    sample = rows.select(F.explode(kinds).alias("trusted"), "text").mapInArrow(_rows, "trusted boolean, x binary").toPandas()
+    sample = rows.select(F.explode(kinds).alias("trusted"), "text").mapInArrow(_rows, "trusted boolean, x binary").toArrow().to_pandas()
     x = np.stack([np.frombuffer(b, np.float32) for b in sample["x"]]) if len(sample) else np.empty((0, 0))
     t = sample["trusted"].to_numpy(bool)
     return Model(x[t], x[~t]) if t.any() and (~t).any() else None
 
 
 def _score(batches, shared):
-    for batch in slices(batches):
+    for batch in slices(batches, "__body"):
         s = shared.value.scores(features(batch.column(batch.num_columns - 1)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names=[*batch.schema.names[:-1], "score"])
 
@@ -170,7 +170,7 @@ def classify(docs: DataFrame, learn_from: DataFrame, trusted: DataFrame, keep: l
     give repeated rows; columns not in ``keep`` are not carried.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).cast("string").alias("text"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__body"))
     model = fit(learn_from, trusted, doc_id, text)
     if model is None:
         scored = rows.select(*keep, F.lit(0.5).alias("score"))

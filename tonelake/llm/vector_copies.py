@@ -154,7 +154,7 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
     spark = classes.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
     n = classes.count()
-    sample = classes.select("vec").orderBy(F.xxhash64("node", "label")).limit(SAMPLE).toPandas()
+    sample = classes.select("vec").orderBy(F.xxhash64("node", "label")).limit(SAMPLE).toArrow().to_pandas()
     lists = int(min(1024, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(n) / 2))))))
     shared = spark.sparkContext.broadcast(Index(_unit(sample["vec"]), lists))
     indexed = stored(classes.select("node", "label", "vec", "copies").mapInArrow(lambda it: _indexed(it, shared, radius), "node long, label long, vec binary, copies long, cell int, code binary, off double, probes array<int>"))
