@@ -37,7 +37,10 @@ FALSE_DISCOVERY = 0.01
 BINS_PER_DECADE = 50
 
 _SPAN = "struct<s:int,k:int,e:int>"
-_EMPTY = F.array().cast(f"array<{_SPAN}>")
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{_SPAN}>")
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -61,9 +64,9 @@ def _spans(found: Column, kind: int, keep) -> Column:
 def base_spans(text: Column) -> Column:
     """Spans of the fixed patterns, array<struct<s, k, e>> with k a place in KINDS."""
     value = F.regexp_extract  # the value of an assignment is what its last group takes
-    assign = F.when(text.rlike(ASSIGN_HINT), _spans(_located(text, ASSIGN), 0, lambda x: F.length(value(x["m"], ASSIGN, 2)) >= 6)).otherwise(_EMPTY)
-    access = F.when(text.contains("AKIA"), _spans(_located(text, ACCESS), 1, lambda x: F.length(x["m"]) >= 20)).otherwise(_EMPTY)
-    hexes = F.when(text.rlike(HEX), _spans(_located(text, HEX), 2, lambda x: F.lit(True))).otherwise(_EMPTY)
+    assign = F.when(text.rlike(ASSIGN_HINT), _spans(_located(text, ASSIGN), 0, lambda x: F.length(value(x["m"], ASSIGN, 2)) >= 6)).otherwise(_none())
+    access = F.when(text.contains("AKIA"), _spans(_located(text, ACCESS), 1, lambda x: F.length(x["m"]) >= 20)).otherwise(_none())
+    hexes = F.when(text.rlike(HEX), _spans(_located(text, HEX), 2, lambda x: F.lit(True))).otherwise(_none())
     return F.concat(assign, access, hexes)
 
 
