@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of single endings and of pairs: the model has this size on any corpus.
 SINGLES, PAIRS = 1 << 14, 3 << 14
-ALPHA = 1.0
+#: Occurrences at the corpus's own share that every bucket has beforehand: rare n-grams say little.
+DRAW = 3.0
 PRIOR = 20
 THRESHOLD = -0.25
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,25 +59,25 @@ def buckets(words: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str) -> list[float]:
-    """Smoothed log-ratio of every bucket, from the n-grams of the trusted documents and of all documents."""
+    """Log-ratio of every bucket, drawn to 0 where it is rare, from the n-grams of the trusted documents and of all documents."""
     ids = trusted.select(F.col(doc_id).cast("long").alias("__id")).where("__id is not null").distinct()
     side = F.broadcast(ids) if trusted.count() <= BROADCAST_ROWS else ids
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__text")).join(side.withColumn("__good", F.lit(1)), "__id", "left")
     grams = rows.select("__good", F.explode(buckets(words_of(F.col("__text")))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count("__good").alias("good")).collect()  # SINGLES + PAIRS rows at most
-    size = SINGLES + PAIRS
     every, good = sum(r["n"] for r in counts), sum(r["good"] for r in counts)
-    of = {r["bucket"]: r for r in counts}
-    rest = math.log((every + ALPHA * size) / (good + ALPHA * size))
-    return [round(math.log((of[b]["good"] + ALPHA) / (of[b]["n"] + ALPHA)) + rest, 4) if b in of else round(rest, 4) for b in range(size)]
+    share = max(good, 1) / max(every, 1)
+    out = [0.0] * (SINGLES + PAIRS)
+    for r in counts:
+        out[r["bucket"]] = round(math.log((r["good"] + DRAW * share) / (r["n"] + DRAW) / share), 4)
+    return out
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept``.
 
-    ``trusted`` has the ids of trusted documents. Without any, every ratio is that of the smoothing and nothing is dropped for its
-    score. Null text has no words. Repeated rows give repeated rows; other columns are not carried.
+    ``trusted`` has the ids of trusted documents. Without any, every score is 0 and nothing is dropped for it. Null text has no words. Repeated rows give repeated rows; other columns are not carried.
     """
     ratio = log_ratios(docs, trusted, doc_id, text) if trusted.limit(1).count() else [0.0] * (SINGLES + PAIRS)
     table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<double>")
