@@ -51,11 +51,15 @@ def reassemble(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), " ").alias("text"))
 
 
+def ngrams(text: Column, n: int, include_last: bool) -> Column:
+    """All overlapping runs of ``n`` characters of a transcript (characters of the basic plane), in one pass of a look-ahead."""
+    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return every if include_last else F.slice(every, F.lit(1), F.greatest(F.size(every) - 1, F.lit(0)))
+
+
 def ngram_counts(texts: DataFrame, text: str, n: int = 3, include_last: bool = False) -> DataFrame:
     """How often a character follows the ``n - 1`` before it: ``context, ch, count``. The last n-gram of a text counts only on request."""
-    room = F.length(text) - n + (1 if include_last else 0)
-    places = F.when(room >= 1, F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
-    grams = texts.select(F.explode(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n)))).alias("g"))
+    grams = texts.select(F.explode(ngrams(F.col(text), n, include_last)).alias("g"))
     return grams.groupBy(F.substring("g", 1, n - 1).alias("context"), F.substring("g", n, 1).alias("ch")).agg(F.count("*").alias("count"))
 
 
@@ -69,8 +73,7 @@ def ngram_lm(texts: DataFrame, text: str, n: int = 3) -> DataFrame:
 
 def lm_score(texts: DataFrame, key: str, text: str, lm: DataFrame, n: int = 3) -> DataFrame:
     """Sum of log-probabilities of the characters after their contexts; a context that was never seen gives the uniform share."""
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    grams = texts.select(key, F.explode(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n)))).alias("g"))
+    grams = texts.select(key, F.explode(ngrams(F.col(text), n, include_last=True)).alias("g"))
     grams = grams.groupBy(key, F.substring("g", 1, n - 1).alias("context"), F.substring("g", n, 1).alias("ch")).agg(F.count("*").alias("m"))
     contexts = lm.groupBy("context").agg(F.first("unseen").alias("unseen"))
     size = lm.agg(F.max("v").alias("v"))
