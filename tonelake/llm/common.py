@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a task works on at a time; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -27,6 +29,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+    released()
+
+
+def released() -> None:
+    """At a task's end, give freed memory back: an idle worker would otherwise keep its largest moment beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

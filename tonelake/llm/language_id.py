@@ -93,6 +93,8 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
 class WordScores(ChunkTable):
     """Log-probabilities of distinct words in all languages."""
 
+    limit = 150_000
+
     def __init__(self, vocab: dict[str, int], p: np.ndarray):
         self.vocab, self.p = vocab, p
         self.clear()
@@ -104,8 +106,8 @@ class WordScores(ChunkTable):
     def fill(self, new: list) -> None:
         got = np.empty((len(new), self.p.shape[1]), np.float32)
         for own in _by_length(new).values():
-            for k in range(0, len(own), 4096):
-                at = own[k : k + 4096]
+            for k in range(0, len(own), 1024):
+                at = own[k : k + 1024]
                 got[at] = np.log(Lattice([new[i] for i in at], self.vocab).forward(self.p)[-1])
         self.scores = np.concatenate([self.scores, got])
 
