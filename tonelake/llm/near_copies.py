@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stored
 from .components import components
-from .shingles import MinHasher, mixed, overlap, shingle_sets
+from .shingles import MinHasher, overlap, shingle_sets
 
-SKETCH_BITS = 20
-BLOCK = 256
+BLOCK = 1024
 #: Rows of ids that may be broadcast (8 bytes each); above it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 
@@ -45,25 +44,25 @@ def _coordinate_keys(column: pa.Array, size: int) -> np.ndarray:
     return signatures.astype(np.uint64) | (np.arange(size, dtype=np.uint64) << np.uint64(32))
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _sketch(batches, size: int):
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+def _postings(batches, size: int):
     for batch in batches:
-        np.add.at(counts, _slot(_coordinate_keys(batch.column(1), size)).ravel(), 1)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+        keys = _coordinate_keys(batch.column(1), size)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["key", "node"])
 
 
-def _postings(batches, size: int, prefix: int, frequency):
-    often = frequency.value
-    for batch in batches:
-        keys = _coordinate_keys(batch.column(1), size)
-        order = np.lexsort((keys, often[_slot(keys)]), axis=1)[:, :prefix]
-        first = np.take_along_axis(keys, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(first.ravel().astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), prefix))], names=["key", "node"])
+def meetings(nodes: DataFrame, size: int, need: int) -> DataFrame:
+    """``hub, node``: documents that share a posting of their prefixes, once for each smallest document of such a posting.
+
+    Pairs that only one document has come first in the order of rarity; they meet nobody and are not posted again. Of the
+    rest a document keeps as many as its prefix has left, the rarest.
+    """
+    postings = nodes.mapInArrow(lambda it: _postings(it, size), "key long, node long")
+    often = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = postings.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("x"))  # at most ``size`` each
+    room = F.lit(size - need + 1) - (size - F.size("x"))
+    first = stored(shared.where(room > 0).select("node", F.explode(F.slice("x", F.lit(1), room)).alias("y")).select("node", "y.key"))
+    hubs = first.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
+    return stored(first.join(hubs, "key").select("hub", "node").distinct())
 
 
 def _sets(batches, width: int, size: int):
@@ -120,16 +119,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, size: int =
     signed = stored(rows.mapInArrow(lambda it: _signed(it, width, size), "doc_id long, n_shingles long, digest binary, sig binary"))
     named = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    nodes = classes.select("node", "sig")
-
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch = nodes.mapInArrow(lambda it: _sketch(it, size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts[sketch["slot"].to_numpy(np.int64)] = sketch["n"].to_numpy(np.int64)
-    frequency = spark.sparkContext.broadcast(counts.astype(np.int32))
-    postings = stored(nodes.mapInArrow(lambda it: _postings(it, size, size - need + 1, frequency), "key long, node long"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
-    members = stored(postings.join(shared, "key").select("hub", "node").distinct())
-
+    members = meetings(classes.select("node", "sig"), size, need)
     wanted = stored(members.select("node").distinct())
     side = wanted.withColumnRenamed("node", "doc_id")
     if wanted.count() <= BROADCAST_ROWS:
