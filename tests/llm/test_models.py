@@ -85,6 +85,61 @@ def test_context_tree_mixture_by_hand():
     assert np.isclose(got, weight * 2.5 / 6 + (1 - weight) * 0.5 / 4)
 
 
+def whole_tree(texts, asked):
+    """log10 probabilities of ``asked`` from a context tree of every context in ``texts``, by recursion over dictionaries."""
+    counts = collections.defaultdict(lambda: [0, 0])
+    kids = collections.defaultdict(set)
+
+    def path(context, byte, j):
+        return [(context[len(context) - d :], j, byte >> (8 - j)) for d in range(context_tree.DEPTH + 1)]
+
+    for t in texts:
+        data = b"\xff" * context_tree.DEPTH + t.encode().lower() + b"\xff"
+        for k in range(context_tree.DEPTH, len(data)):
+            for j in range(8):
+                nodes = path(data[k - context_tree.DEPTH : k], data[k], j)
+                for x in nodes:
+                    counts[x][data[k] >> (7 - j) & 1] += 1
+                for x, y in zip(nodes, nodes[1:], strict=False):
+                    kids[x].add(y)
+
+    def kt(x):
+        a, b = counts.get(x, (0, 0))
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(x):
+        if x not in memo:
+            memo[x] = np.logaddexp(math.log(0.5) + kt(x), math.log(0.5) + sum(weighted(y) for y in kids[x])) if kids.get(x) else kt(x)
+        return memo[x]
+
+    def one(nodes):
+        a, b = counts.get(nodes[0], (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if not kids.get(nodes[0]):
+            return own
+        w = math.exp(math.log(0.5) + kt(nodes[0]) - weighted(nodes[0]))
+        return w * own + (1 - w) * one(nodes[1:])
+
+    memo = {}
+    ps = [[(one(path(c, byte, j)), byte >> (7 - j) & 1) for j in range(8)] for c, byte in asked]
+    return [sum(math.log10(p if bit else 1 - p) for p, bit in x) for x in ps]
+
+
+def test_context_tree_keeps_rare_contexts(spark, monkeypatch):
+    """Above 131,072 bytes too, a context seen once counts; and it makes no difference which grams are broadcast."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcde "), 5000)) for _ in range(27)] + ["qrstuv wxyz once only"]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate([*texts, "qrstuv zz!"])], SCHEMA)
+    held = F.col("doc_id") == len(texts)
+    both = [b"\xff" * context_tree.DEPTH + t.encode() + b"\xff" for t in (texts[-1], "qrstuv zz!")]
+    asked = [(x[k - context_tree.DEPTH : k], x[k]) for x in both for k in range(context_tree.DEPTH, len(x))]
+    logs, cut = whole_tree(texts, asked), len(both[0]) - context_tree.DEPTH
+    for shares in (1 << 21, 64):
+        monkeypatch.setattr(context_tree, "GRAM_SHARES", shares, raising=False)
+        got = {r["doc_id"]: r["score"] for r in context_tree.score(docs, docs.where(~held), held).where("doc_id >= 27").collect()}
+        assert np.allclose([got[27], got[28]], [sum(logs[:cut]), sum(logs[cut:])], atol=1e-6)
+
+
 def test_model_without_training(spark):
     docs = spark.createDataFrame([(1, "ab", None, None, None), (2, None, None, None, None)], SCHEMA)
     got = {r["doc_id"]: r for r in context_tree.score(docs, docs.limit(0), F.lit(True)).collect()}

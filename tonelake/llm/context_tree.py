@@ -6,10 +6,13 @@ product of its children's; so all depths are mixed, each with the weight that th
 counts gathered from every training text and then stands fixed. A text's score is the log10 probability of its bytes (A-Z in
 lower case) and of an end symbol.
 
-A node is kept if it holds at least 1 / ``SHARES`` of all training bytes; what falls on contexts that are not kept shares one leaf
-of their parent. At each depth and each of the 8 decisions there can be ``SHARES`` such nodes at most, which bounds what is broadcast
-on any corpus. Word counts for the base are whole: the frequent words (at least 1 / ``WORD_SHARES`` of all tokens, so at most that many)
-are broadcast, occurrences of all others are joined by shuffle. Words are counted by a 64-bit hash.
+All counted nodes are kept. The counts are a stored table of the distinct grams (a context and the byte after it). The nodes of
+depth ``CUT`` and deeper hang together only below one context of ``CUT`` bytes, a branch; tasks take whole branches, weight them from the
+bottom up and give sums for each node above. Only those above are collected: their number is bounded by the byte values, not by
+the corpus. With them, tasks go through the branches again and give the probability of every gram that is asked for. Frequent grams (at
+least 1 / ``GRAM_SHARES`` of all training bytes, so at most that many) are broadcast with their probabilities; occurrences of all others
+are joined by shuffle. Word counts for the base are whole too: the frequent words (at least 1 / ``WORD_SHARES`` of all tokens) are
+broadcast, occurrences of all others are joined by shuffle. Words are counted by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from .common import slices, small_batches, stored
 from .shingles import _LOWER, flat_bytes, word_hashes
 
 DEPTH = 5
-SHARES = 1 << 17
+CUT = 3
+GRAM_SHARES = 1 << 21
 WORD_SHARES = 1 << 20
 END = 0xFF  # in no UTF-8 text
 _KEY_AT = np.uint64(48)
@@ -102,33 +106,14 @@ def _context(gram: np.ndarray, depth: int) -> np.ndarray:
     return (gram >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
 
 
-def _node_counts(batches, shared):
-    """Counts of 0 and 1 at the nodes of kept contexts."""
-    contexts = shared.value
-    for batch in batches:
-        gram, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        byte = gram & np.uint64(255)
-        keys, zeros, ones = [], [], []
-        for d in range(DEPTH + 1):
-            ctx = _context(gram, d)
-            if d:
-                known = contexts[d]
-                at = np.minimum(np.searchsorted(known, ctx), max(len(known) - 1, 0))
-                some = known[at] == ctx if len(known) else np.zeros(len(ctx), bool)
-            else:
-                some = np.ones(len(ctx), bool)
-            c, b, m = ctx[some], byte[some], n[some]
-            for j in range(8):
-                keys.append((np.uint64(d) << _KEY_AT) | (c << np.uint64(8)) | np.uint64(1 << j) | (b >> np.uint64(8 - j)))
-                one = ((b >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-                zeros.append(np.where(one, 0, m))
-                ones.append(np.where(one, m, 0))
-        frame = pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "zeros": np.concatenate(zeros), "ones": np.concatenate(ones)})
-        frame = frame.groupby("key", as_index=False).sum()
-        yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series at ``x`` + 8, carried back by the recurrence."""
+    y, product = x + 8, x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,9 +122,12 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Kept nodes in order of their keys, and the mixed probability of a 1 where each is the deepest on the path."""
+    """Nodes in order of their keys, and the mixed probability of a 1 where each is the deepest on the path.
 
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+    ``below``: for the nodes of depth ``CUT`` - 1, the sums of their children's weighted log-probabilities, where the children are elsewhere.
+    """
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None = None):
         roots = np.arange(1, 256, dtype=np.uint64)
         missing = np.setdiff1d(roots, keys)
         keys = np.concatenate([keys, missing])
@@ -148,9 +136,10 @@ class Tree:
         keys, a, b = keys[order], a[order], b[order]
         depth = (keys >> _KEY_AT).astype(np.int64)
         own, one = _log_kt(a, b), (b + 0.5) / (a + b + 1)
-        weighted, below = own.copy(), np.zeros(len(keys))
-        kid_a, kid_b, parent = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        has = np.zeros(len(keys), bool)
+        cut = (depth == CUT - 1) & (below is not None)
+        below = np.zeros(len(keys)) if below is None else np.concatenate([below, np.zeros(len(missing))])[order]
+        weighted, kid_a, kid_b, parent = own.copy(), np.where(cut, a, 0.0), np.where(cut, b, 0.0), np.zeros(len(keys), np.int64)
+        has = cut.copy()
         half = math.log(0.5)
         weight = np.ones(len(keys))
         rest_one = one.copy()
@@ -179,29 +168,156 @@ class Tree:
             done[at] = done[p] + left[p] * weight[p] * one[p]
             left[at] = left[p] * (1 - weight[p])
         self.keys, self.one = keys, (done + left * (weight * one + (1 - weight) * rest_one))
+        self.done, self.left = done + left * weight * one, left * (1 - weight)
+
+    def handed(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What nodes of depth ``CUT`` - 1 hand to their children: probability of a 1 so far, and the weight left. Without such a node the deepest above it gives all."""
+        done, left, todo = np.empty(len(keys)), np.zeros(len(keys)), np.arange(len(keys))
+        for d in range(CUT - 1, -1, -1):
+            key = (np.uint64(d) << _KEY_AT) | _up(keys[todo], d)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            if d == CUT - 1:
+                done[todo[hit]], left[todo[hit]] = self.done[at[hit]], self.left[at[hit]]
+            else:
+                done[todo[hit]] = self.one[at[hit]]
+            todo = todo[~hit]
+        return done, left
+
+
+def _up(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Of a node's context and bit prefix, the node above it at ``depth``."""
+    return keys & np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
+def _branches(batches, least: int = 200_000):
+    """Rows in order of their branches -> distinct grams in order, their counts, and which are asked for; whole branches, some at a time."""
+    held, size, next_cut = [], 0, least
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def merged(gram, n, wanted):
+        order = np.argsort(gram)
+        gram, n, wanted = gram[order], n[order], wanted[order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        return gram[first], np.add.reduceat(n, first), np.logical_or.reduceat(wanted, first)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)))
+        size += batch.num_rows
+        if size >= next_cut:
+            rows = joined()
+            branch = _context(rows[0], CUT)
+            cut = int(np.searchsorted(branch, branch[-1]))
+            if cut:
+                yield merged(*(x[:cut] for x in rows))
+            held, size = [tuple(x[cut:].copy() for x in rows)], size - cut
+            next_cut = max(least, 2 * size)
+    if size:
+        yield merged(*joined())
+
+
+def _weighted(gram: np.ndarray, n: np.ndarray):
+    """For each of the 8 decisions: which grams have a 1, and the levels from ``DEPTH`` to ``CUT``: node keys, the place of each row below among them, zeros, ones, own weight, log-probability.
+
+    A gram with count 0 adds nothing to any node, so it can be asked for along with the counted ones.
+    """
+    byte, half = gram & np.uint64(255), math.log(0.5)
+    for j in range(8):
+        one = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+        keys = (_context(gram, DEPTH) << np.uint64(8)) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        place, keys = np.cumsum(new) - 1, keys[new]
+        a, b = np.bincount(place, np.where(one, 0, n)), np.bincount(place, np.where(one, n, 0))
+        logs = _log_kt(a, b)
+        levels = [(keys, place, a, b, np.ones(len(keys)), logs)]
+        for d in range(DEPTH - 1, CUT - 1, -1):
+            keys, place = np.unique(_up(keys, d), return_inverse=True)
+            a, b, below = np.bincount(place, a), np.bincount(place, b), np.bincount(place, logs)
+            own = half + _log_kt(a, b)
+            logs = np.logaddexp(own, half + below)
+            levels.append((keys, place, a, b, np.exp(own - logs), logs))
+        yield one, levels
+
+
+def _sums_above(batches):
+    """For the nodes of depth ``CUT`` - 1: counts, and the sum of their children's weighted log-probabilities."""
+    for gram, n, _ in _branches(batches):
+        for _, levels in _weighted(gram, n):
+            keys, _, a, b, _, logs = levels[-1]
+            above, place = np.unique(_up(keys, CUT - 1), return_inverse=True)
+            columns = [above.view(np.int64), *(np.bincount(place, x) for x in (a, b, logs))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "zeros", "ones", "below"])
+
+
+def _gram_scores(batches, shared):
+    """log10 probabilities of the grams that are asked for; branches without one are left out."""
+    top = shared.value
+    for gram, n, wanted in _branches(batches):
+        branch = _context(gram, CUT)
+        some = np.isin(branch, np.unique(branch[wanted]))
+        gram, n, wanted = gram[some], n[some], wanted[some]
+        if not len(gram):
+            continue
+        out = np.zeros(len(gram))
+        for one, levels in _weighted(gram, n):
+            done, left = top.handed(_up(levels[-1][0], CUT - 1))
+            for k in range(len(levels) - 1, -1, -1):
+                _, place, a, b, weight, _ = levels[k]
+                done, left = (done + left * weight * (b + 0.5) / (a + b + 1))[place], (left * (1 - weight))[place]
+            out += np.log10(np.where(one, done, 1 - done))
+        yield pa.RecordBatch.from_arrays([pa.array(gram[wanted].view(np.int64)), pa.array(out[wanted])], names=["gram", "log10"])
+
+
+class Model:
+    """All counted nodes: the stored table of grams, and the tree above the branches."""
+
+    def __init__(self, grams: DataFrame):
+        self.grams = grams
+        rows = self._by_branch(grams.select("gram", "n", F.lit(False).alias("wanted"))).mapInArrow(_sums_above, "key long, zeros double, ones double, below double")
+        got = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow().to_pandas()
+        key, values = got["key"].to_numpy(np.int64).view(np.uint64), [got[c].to_numpy(float) for c in ("zeros", "ones", "below")]
+        keys, sums = [], []
+        for d in range(CUT - 1, -1, -1):
+            nodes, place = np.unique(_up(key, d), return_inverse=True)
+            keys.append((np.uint64(d) << _KEY_AT) | nodes)
+            sums.append([np.bincount(place, x, len(nodes)) if d == CUT - 1 or k < 2 else np.zeros(len(nodes)) for k, x in enumerate(values)])
+        self.top = Tree(np.concatenate(keys), *(np.concatenate(x) for x in zip(*sums, strict=True)))
+        self.shared = grams.sparkSession.sparkContext.broadcast(self.top)
+
+    @staticmethod
+    def _by_branch(rows: DataFrame) -> DataFrame:
+        branch = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * CUT) - 1))
+        return rows.repartition(branch).sortWithinPartitions(branch)
+
+    def scores(self, wanted: DataFrame) -> DataFrame:
+        """``gram`` and ``log10`` of the distinct values of ``gram`` in ``wanted``."""
+        rows = self.grams.select("gram", "n", F.lit(False).alias("wanted")).unionByName(wanted.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted")))
+        return self._scored(rows)
+
+    def frequent(self, least: int) -> DataFrame:
+        """``gram`` and ``log10`` of the grams counted at least ``least`` times."""
+        return self._scored(self.grams.select("gram", "n", (F.col("n") >= least).alias("wanted")))
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        shared = self.shared
+        return self._by_branch(rows).mapInArrow(lambda it: _gram_scores(it, shared), "gram long, log10 double")
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the bytes before it."""
-        byte, out = gram & np.uint64(255), np.zeros(len(gram))
-        for j in range(8):
-            prefix = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-            p, todo = np.empty(len(gram)), np.arange(len(gram))
-            for d in range(DEPTH, -1, -1):
-                key = (np.uint64(d) << _KEY_AT) | (_context(gram[todo], d) << np.uint64(8)) | prefix[todo]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                p[todo[hit]] = self.one[at[hit]]
-                todo = todo[~hit]
-            bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-            out += np.log10(np.where(bit, p, 1 - p))
-        return out
+        """log10 probability of each gram's last byte after the bytes before it, for few grams."""
+        wanted = self.grams.sparkSession.createDataFrame([(int(g),) for g in gram], "gram long")
+        found = {r["gram"]: r["log10"] for r in self.scores(wanted).collect()}
+        return np.array([found[int(g)] for g in gram])
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, grams array<long>, gram_counts array<long>"
 
 
 def _score(batches, shared):
-    tree, words, counts, total, distinct, ends = shared.value
+    often, logs, words, counts, total, distinct, ends = shared.value
     rid = TaskContext.get().partitionId() << 33
     scale = math.log10(total + 0.5 * (distinct + 1))
     value = np.log10(counts + 0.5) - scale
@@ -216,16 +332,25 @@ def _score(batches, shared):
         known = np.bincount(owner[hit], minlength=n) + (ends > 0)
         rare, cut = hashes[~hit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=n))])
         gram, size = grams(column)
-        code, distinct_grams = pd.factorize(gram)
-        logs = np.concatenate([[0.0], np.cumsum(tree.log10(distinct_grams)[code])])
+        code, own = pd.factorize(gram)
+        at = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
+        hit = often[at] == own if len(often) else np.zeros(len(own), bool)
+        sums = np.concatenate([[0.0], np.cumsum((np.where(hit, logs[at], 0.0) if len(often) else np.zeros(len(own)))[code])])
         stop = np.cumsum(size)
-        lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(rare))
-        yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(n)), batch.column(0), batch.column(1), pa.array(per + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs[stop] - logs[stop - size]), lists], names=[c.split()[0] for c in SCORED.split(", ")])
+        miss = ~hit[code]
+        left, holder = gram[miss], np.repeat(np.arange(n), size)[miss]
+        order = np.lexsort((left, holder))
+        left, holder = left[order], holder[order]
+        first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (holder[1:] != holder[:-1])])) if len(left) else np.empty(0, np.int64)
+        times = np.diff(np.concatenate([first, [len(left)]])) if len(left) else first
+        ends_at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(holder[first], minlength=n))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(rare)), *(pa.ListArray.from_arrays(ends_at, pa.array(x)) for x in (left[first].view(np.int64), times.astype(np.int64)))]
+        yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(n)), batch.column(0), batch.column(1), pa.array(per + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums[stop] - sums[stop - size]), *lists], names=[c.split()[0] for c in SCORED.split(", ")])
         rid += n
 
 
 def fit(train: DataFrame, text: str = "text") -> tuple:
-    """Counts of all training texts -> (tree, frequent words, their counts, tokens, distinct tokens, texts), and the table of word counts."""
+    """Counts of all training texts -> (model of all nodes, frequent grams, their scores, frequent words, their counts, tokens, distinct tokens, texts), and the table of word counts."""
     spark = train.sparkSession
     small_batches(spark)
     counts = stored(train.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -233,19 +358,12 @@ def fit(train: DataFrame, text: str = "text") -> tuple:
     words, texts = (totals[k]["n"] if k in totals else 0 for k in (0, 2))
     tokens, distinct = words + texts, (totals[0]["v"] if 0 in totals else 0) + (texts > 0)
     symbols = totals[1]["n"] if 1 in totals else 0
-    least = max(1, -(-symbols // SHARES))
-    pairs = counts.where("kind = 1").select(F.col("key").alias("gram"), "n")
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx")) for d in range(1, DEPTH + 1)]))
-    often = pairs.select(depths.alias("x"), "n").groupBy("x.d", "x.ctx").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("d", "ctx").toArrow().to_pandas()
-    contexts = {d: np.sort(often["ctx"][often["d"] == d].to_numpy(np.int64).view(np.uint64)) for d in range(1, DEPTH + 1)}
-    shared = spark.sparkContext.broadcast(contexts)
-    nodes = pairs.mapInArrow(lambda it: _node_counts(it, shared), "key long, zeros long, ones long").groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    nodes = nodes.where((F.col("zeros") + F.col("ones") >= least) | (F.col("key") < 256)).toArrow().to_pandas()
-    tree = Tree(nodes["key"].to_numpy(np.int64).view(np.uint64), nodes["zeros"].to_numpy(), nodes["ones"].to_numpy())
+    tree = Model(counts.where("kind = 1").select(F.col("key").alias("gram"), "n"))
+    often = tree.frequent(max(1, -(-symbols // GRAM_SHARES))).toArrow().to_pandas().sort_values("gram")
     bar = max(1, -(-tokens // WORD_SHARES))
     vocabulary = counts.where("kind = 0").select("key", "n")
     top = vocabulary.where(F.col("n") >= bar).toArrow().to_pandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
-    model = (tree, top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), tokens, distinct, texts)
+    model = (tree, often["gram"].to_numpy(np.int64).view(np.uint64), often["log10"].to_numpy(float), top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), tokens, distinct, texts)
     return model, vocabulary.where(F.col("n") < bar)
 
 
@@ -257,11 +375,13 @@ def score(docs: DataFrame, train: DataFrame, held_out, doc_id: str = "doc_id", t
     """
     spark = docs.sparkSession
     model, rest = fit(train, text)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model[1:])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
     scored = stored(rows.mapInArrow(lambda it: _score(it, shared), SCORED))
-    tokens, distinct = model[3], model[4]
+    tokens, distinct = model[5], model[6]
     c = F.coalesce(F.col("n"), F.lit(0))
     terms = scored.select("rid", F.explode("rare").alias("key")).join(rest, "key", "left").groupBy("rid").agg(F.sum(F.log10(c + 0.5) - math.log10(tokens + 0.5 * (distinct + 1))).alias("more"), F.count("n").alias("more_known"))
-    out = scored.drop("rare").join(terms, "rid", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    rare = scored.select("rid", F.explode(F.arrays_zip("grams", "gram_counts")).alias("x")).select("rid", "x.grams", "x.gram_counts").toDF("rid", "gram", "times")
+    deep = rare.join(model[0].scores(rare), "gram").groupBy("rid").agg(F.sum(F.col("times") * F.col("log10")).alias("deep"))
+    out = scored.drop("rare", "grams", "gram_counts").join(terms, "rid", "left").join(deep, "rid", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))
