@@ -165,6 +165,35 @@ def test_language_id(spark):
     assert language_id.identify(docs.limit(0), docs, PIECE_MODEL, ["doc_id"]).count() == 0
 
 
+def test_language_id_of_scripts_without_case(spark):
+    """Languages of one script without case are told apart by their pieces; long words of unknown letters keep a score."""
+    vocab = language_id.vocabulary(PIECE_MODEL)
+    assert "a" in vocab and "A" not in vocab
+    letters = [p for p in vocab if len(p) == 1 and "\u4e00" <= p <= "\u9fff"]
+    assert len(letters) > 100
+    rng = np.random.default_rng(3)
+    halves = {"aa": letters[::2], "bb": letters[1::2]}
+    rows = [(i, "".join(rng.choice(halves[x], 60)), x, None, None) for i in range(200) for x in [("aa", "bb")[i % 2]]]
+    unknown = [(200, "\U00020000" * 48, None, None, None)]
+    docs = spark.createDataFrame(rows + unknown, SCHEMA)
+    held = F.col("doc_id") % 5 == 0
+    got = {r["doc_id"]: r for r in language_id.identify(docs, docs.where(~held), PIECE_MODEL, ["doc_id"]).collect()}
+    assert np.mean([got[i]["lang_pred"] == x for i, _, x, *_ in rows if i % 5 == 0]) > 0.97
+    assert 0 < got[200]["score"] <= 1
+
+
+def test_language_sample_keeps_rare_languages(spark, monkeypatch):
+    """However few rows the sample has, each language is learned; the prior follows the full counts."""
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    monkeypatch.setattr(language_id, "EACH", 20, raising=False)
+    rows = [(i, f"ka lo mi {'tu' * (i % 7)}", "aa", None, None) for i in range(3000)] + [(3000 + i, "que los ar", "bb", None, None) for i in range(2)]
+    rows += [(None, "sch ung eit", "cc", None, None)] * 100  # one hash for all
+    langs, _, prior = language_id.fit(spark.createDataFrame(rows, SCHEMA), PIECE_MODEL)
+    assert langs == ["aa", "bb", "cc"]
+    n = np.array([sum(len(t.split()) for _, t, x, *_ in rows if x == y) for y in langs])
+    assert np.allclose(np.exp(prior), n / n.sum(), rtol=0.15, atol=2e-4)
+
+
 def test_forward_sums_all_segmentations():
     vocab = {"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "▁ab": 5}
     p = np.array([[0.1], [0.2], [0.15], [0.05], [0.3], [0.2], [0.0], [1e-9]])

@@ -2,12 +2,13 @@
 
 Each language has probabilities over the pieces of a fixed public vocabulary. A word's probability is the sum over all ways to
 cut it into pieces, by a forward pass; a text's is the product over its words. The probabilities are fitted by expectation
-maximisation on the word counts of a bounded sample of labelled texts: the same forward pass, and a backward one, give every piece's
+maximisation on the word counts of a sample of labelled texts, bounded for each language: the same forward pass, and a backward one, give every piece's
 expected count. A word's scores in all languages are computed once per worker and looked up after that.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, stored, texts_of
 from .tables import ChunkTable
 
-#: Labelled texts that the model is fitted on, about at most.
-SAMPLE = 6000
+#: Labelled texts that the model is fitted on, about at most, shared out evenly among the languages; and at least so many of each.
+SAMPLE, EACH = 6000, 500
 ROUNDS = 3
 LONGEST_PIECE, LONGEST_WORD = 16, 48
 #: Probability of a letter that is no piece.
 UNKNOWN = 1e-9
+#: Every piece counts times this for each of its letters, else the product over a long word of a large script falls to 0.
+SCALE = 1e6
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,12 +41,12 @@ def words_of(text: str) -> list[str]:
 
 
 def vocabulary(model: str) -> dict[str, int]:
-    """Pieces of lower-case letters, with or without a marker in front."""
+    """Pieces of letters in lower case or without case, with or without a marker in front."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    good = [p for p in pieces if len(p) <= LONGEST_PIECE and (p == "▁" or p.removeprefix("▁").isalpha() and p.islower())]
+    good = [p for p in pieces if len(p) <= LONGEST_PIECE and (p == "▁" or p.removeprefix("▁").isalpha() and p == p.lower())]
     return {p: i for i, p in enumerate(good)}
 
 
@@ -108,12 +111,15 @@ class WordScores(ChunkTable):
         for own in _by_length(new).values():
             for k in range(0, len(own), 1024):
                 at = own[k : k + 1024]
-                got[at] = np.log(Lattice([new[i] for i in at], self.vocab).forward(self.p)[-1])
+                lattice = Lattice([new[i] for i in at], self.vocab)
+                got[at] = np.log(lattice.forward(self.p)[-1]) - lattice.n * math.log(SCALE)
         self.scores = np.concatenate([self.scores, got])
 
 
-def _padded(p: np.ndarray) -> np.ndarray:
-    return np.concatenate([p, np.zeros((1, p.shape[1])), np.full((1, p.shape[1]), UNKNOWN)])
+def _padded(p: np.ndarray, vocab: dict[str, int]) -> np.ndarray:
+    """Scaled probabilities, with the rows for none and for a letter that is no piece."""
+    sizes = np.array([len(x) for x in vocab], float)[:, None]
+    return np.concatenate([p * SCALE**sizes, np.zeros((1, p.shape[1])), np.full((1, p.shape[1]), UNKNOWN * SCALE)])
 
 
 def _count_words(batches):
@@ -149,23 +155,39 @@ def _expect(batches, vocab: dict[str, int], shared, langs: list[str]):
 
 
 def fit(labelled: DataFrame, model: str, lang: str = "lang", text: str = "text", order: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray] | None:
-    """Languages, piece probabilities and priors, from about ``SAMPLE`` labelled rows at most, chosen by a hash of ``order``."""
+    """Languages, piece probabilities and priors.
+
+    Each language is fitted on about ``SAMPLE`` / languages of its labelled rows (``EACH`` where that is less), chosen by a hash of ``order`` and the text;
+    on all of them if it has fewer than twice as many. The prior is a language's share of all labelled words: those of its sample,
+    weighted by its full count of rows.
+    """
     spark = labelled.sparkSession
+    name = F.col(lang).cast("string")
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    if not n:
+    full = {r["lang"]: r["n"] for r in rows.groupBy(name.alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not full:
         return None
-    share = min(1.0, SAMPLE / n)
-    some = rows.where(F.pmod(F.xxhash64(order, F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
-    words = stored(some.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    per = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    bound = max(EACH, SAMPLE // len(full))
+    parts = {x: 1.0 if n < 2 * bound else bound / n for x, n in full.items()}
+    some = rows
+    if min(parts.values()) < 1:
+        shares = spark.createDataFrame([(x, int(v * (1 << 40))) for x, v in parts.items()], "__lang string, __share long")
+        some = rows.join(F.broadcast(shares), name == F.col("__lang")).where(F.pmod(F.xxhash64(order, text, F.lit(11)), F.lit(1 << 40)) < F.col("__share"))
+    some = stored(some.select(name.alias("lang"), F.col(text).alias("text")))
+    taken = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    missed = [x for x in full if x not in taken]
+    if missed:  # repeated rows share a hash, so a language can be left out: all its rows then
+        some = some.unionByName(rows.where(name.isin(missed)).select(name.alias("lang"), F.col(text).alias("text")))
+        taken |= {x: full[x] for x in missed}
+    words = stored(some.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    per = {r["lang"]: r["n"] * full[r["lang"]] / taken[r["lang"]] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(per)
     if not langs:
         return None
     vocab = vocabulary(model)
     p = np.full((len(vocab), len(langs)), 1 / len(vocab))
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(_padded(p))
+        shared = spark.sparkContext.broadcast(_padded(p, vocab))
         got = words.mapInArrow(lambda it, s=shared: _expect(it, vocab, s, langs), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         counts = np.full_like(p, 0.01)
         counts[got["piece"].to_numpy(), got["lang"].to_numpy()] += got["n"].to_numpy()
@@ -179,7 +201,7 @@ _kept: dict = {}
 
 def _predict(batches, vocab: dict[str, int], shared, langs: list[str], prior: np.ndarray, name: str):
     if _kept.get("of") != name:
-        _kept.update(of=name, table=WordScores(vocab, _padded(shared.value)))
+        _kept.update(of=name, table=WordScores(vocab, _padded(shared.value, vocab)))
     table = _kept["table"]
     for batch in slices(batches, "__body"):
         codes, counts = table.look_up([words_of(t) for t in texts_of(batch, "__body")])
