@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tonelake.llm import context_tree, language_id, pu_quality, quality_rules, secret_scan
@@ -285,6 +286,40 @@ def rule_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def rule_scores(texts, good):
+    """Every text's score by plain Python: hashed words and pairs, log-ratios drawn to 0, mean drawn to 0."""
+    hash_of = lambda data, seed=42: xxhash.xxh64(data, seed=seed).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def grams(text):
+        own = [hash_of(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        pairs = [hash_of(b.to_bytes(8, "little"), hash_of(a.to_bytes(8, "little"))) for a, b in zip(own, own[1:], strict=False)]
+        return [signed(h) % quality_rules.SINGLES for h in own] + [signed(h) % quality_rules.PAIRS + quality_rules.SINGLES for h in pairs]
+
+    every, trusted = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        every.update(grams(t))
+        if i in good:
+            trusted.update(grams(t))
+    share = max(sum(trusted.values()), 1) / max(sum(every.values()), 1)
+    ratio = {b: round(math.log((trusted[b] + quality_rules.DRAW * share) / (n + quality_rules.DRAW) / share), 4) for b, n in every.items()}
+    return [sum(ratio[b] for b in grams(t)) / (len(grams(t)) + quality_rules.PRIOR) for t in texts]
+
+
+def test_quality_scores_equal_plain_python(spark):
+    rng = np.random.default_rng(8)
+    pool = ["é", "the", "von", "ß", "words", "of", "x9", "文", "and"]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 120))) for _ in range(40)] + [*ODD, "a b", "a\x0bb\x0c\r\tc"]
+    texts += ["the words " * 30_000, *texts[:3]]  # very long, repeated rows
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, hashes string")
+    good = set(range(0, 40, 3))
+    trusted = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, trusted).collect()}
+    want = rule_scores(texts, good)
+    assert np.allclose([got[i]["score"] for i in range(len(texts))], want, atol=1e-6)
+    assert all(got[i]["kept"] == (not got[i]["base_failed"] and want[i] >= quality_rules.THRESHOLD) for i in range(len(texts)))
+
+
 def test_quality_rules(spark):
     rng = np.random.default_rng(7)
     good = [" ".join(rng.choice(["the", "plain", "text", "of", "good", "words", "here", "ing", "and", "so"], 90)) for _ in range(60)]

@@ -1,89 +1,103 @@
 """Quality rules, with built-in expressions only: counts of each text, and a hashed n-gram likelihood ratio.
 
-Two multinomials over hashed n-grams are counted: one from trusted documents, one from the whole corpus. An n-gram is one or two
-neighbouring word endings (the last three characters), which keep language, punctuation and case and leave out topics.
-A document's score is the mean log-ratio of its n-grams, drawn to 0 by ``PRIOR`` n-grams of ratio 1 so that a few words decide
-nothing; every document is kept or dropped by one fixed threshold.
+Two multinomials over hashed n-grams are counted: one from trusted documents, one from the whole corpus. An n-gram is one whole word
+or two neighbouring ones. A document's score is the mean log-ratio of its n-grams, drawn to 0 by ``PRIOR`` n-grams of ratio 1 so that
+a few words decide nothing; every document is kept or dropped by one fixed threshold.
+
+The model is a table of ``SINGLES`` + ``PAIRS`` rows at most on any corpus, so it is broadcast; a text's n-grams meet it row by row
+and are summed before anything is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of single endings and of pairs: the model has this size on any corpus.
-SINGLES, PAIRS = 1 << 14, 3 << 14
+from .common import stored
+
+#: Hash buckets of words and of pairs: the model has this size on any corpus.
+SINGLES, PAIRS = 1 << 15, 3 << 15
 #: Occurrences at the corpus's own share that every bucket has beforehand: rare n-grams say little.
 DRAW = 3.0
 PRIOR = 20
-THRESHOLD = -0.25
-SPACE = r"[\x20\x09-\x0D]+"
+THRESHOLD = -0.15
+#: The white space between words beside the blank itself.
+OTHER_SPACE = "\t\n\x0b\x0c\r"
 #: Ids that may be broadcast (8 bytes each); above it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE), "")
+    """Runs of characters other than white space. Replacing and cutting at one character is far cheaper than cutting at a pattern."""
+    for c in OTHER_SPACE:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def counted(docs: DataFrame, text: str) -> DataFrame:
-    """The input with ``words``, and the base counts ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``."""
+    """``doc_id``, ``hashes`` of the words, and the base counts."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumn("words", words_of(body)).withColumn("n", F.size("words"))
-    windows = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<long>"))
+    rows = docs.select("doc_id", body.alias("body"), words_of(body).alias("words")).withColumn("n", F.size("words")).withColumn("hashes", hashes_of(F.col("words")))
+    windows = F.transform(F.slice("hashes", F.lit(1), F.greatest(F.col("n") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)))
     rows = rows.withColumn("windows", windows)
     rows = rows.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = F.filter(F.transform("placed", lambda x, k: F.when((x["h"] == F.get("placed", k - 1)["h"]) | (x["h"] == F.get("placed", k + 1)["h"]), x["i"])), lambda i: i.isNotNull())
     covered = F.size(F.array_distinct(F.flatten(F.transform(same, lambda i: F.array(i, i + 1, i + 2)))))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.when(F.contains("body", F.lit("\n")), F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("lines", lines)
     return rows.select(
-        *docs.columns,
-        "words",
+        "doc_id",
+        "hashes",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("body", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("placed").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
     )
 
 
-def buckets(words: Column) -> Column:
-    """Hash buckets of the single endings and the pairs of neighbouring endings."""
-    ends = F.transform(words, lambda w: F.xxhash64(F.substring(w, -3, 3)))
-    singles = F.transform(ends, lambda e: F.pmod(e, F.lit(SINGLES)))
-    pairs = F.zip_with(ends, F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(PAIRS)) + SINGLES))
-    return F.array_compact(F.concat(singles, pairs))
+def buckets(hashes: str) -> Column:
+    """Hash buckets of the words and of the pairs of neighbouring words, of a column of hashes."""
+    singles = F.transform(hashes, lambda h: F.pmod(h, F.lit(SINGLES)))
+    pairs = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(PAIRS)) + SINGLES)
+    return F.concat(singles, pairs)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str) -> list[float]:
-    """Log-ratio of every bucket, drawn to 0 where it is rare, from the n-grams of the trusted documents and of all documents."""
+def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``bucket, ratio``: log-ratio of every bucket seen, drawn to 0 where it is rare, from the n-grams of the trusted documents and of all documents."""
     ids = trusted.select(F.col(doc_id).cast("long").alias("__id")).where("__id is not null").distinct()
     side = F.broadcast(ids) if trusted.count() <= BROADCAST_ROWS else ids
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__text")).join(side.withColumn("__good", F.lit(1)), "__id", "left")
-    grams = rows.select("__good", F.explode(buckets(words_of(F.col("__text")))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count("__good").alias("good")).collect()  # SINGLES + PAIRS rows at most
-    every, good = sum(r["n"] for r in counts), sum(r["good"] for r in counts)
-    share = max(good, 1) / max(every, 1)
-    out = [0.0] * (SINGLES + PAIRS)
-    for r in counts:
-        out[r["bucket"]] = round(math.log((r["good"] + DRAW * share) / (r["n"] + DRAW) / share), 4)
-    return out
+    hashed = rows.select("__good", hashes_of(words_of(F.col("__text"))).alias("hashes"))
+    grams = hashed.select("__good", F.explode(buckets("hashes")).alias("bucket"))
+    counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count("__good").alias("good")))  # SINGLES + PAIRS rows at most
+    every, good = counts.agg(F.sum("n"), F.sum("good")).first()
+    share = max(good or 0, 1) / max(every or 0, 1)
+    return counts.select("bucket", F.round(F.log((F.col("good") + DRAW * share) / (F.col("n") + DRAW) / share), 4).alias("ratio"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept``.
 
-    ``trusted`` has the ids of trusted documents. Without any, every score is 0 and nothing is dropped for it. Null text has no words. Repeated rows give repeated rows; other columns are not carried.
+    ``trusted`` has the ids of trusted documents. Without any, every score is 0 and nothing is dropped for it. Null and empty texts
+    have no words and fail the base. Very long texts are read whole; a task holds the words of one at a time. Null ids, ties and
+    repeated rows are rows like any other; other columns are not carried, so their names cannot clash. An empty table gives no rows.
     """
-    ratio = log_ratios(docs, trusted, doc_id, text) if trusted.limit(1).count() else [0.0] * (SINGLES + PAIRS)
-    table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<double>")
-    rows = counted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text").withColumn("grams", buckets(F.col("words")))
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(table, b.cast("int")))
-    rows = rows.withColumn("score", total / (F.size("grams") + PRIOR))
+    rows = counted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text").withColumn("rid", F.monotonically_increasing_id())
+    if trusted.limit(1).count():
+        ratio = log_ratios(docs, trusted, doc_id, text)
+        grams = rows.select("rid", "doc_id", *BASE, F.explode_outer(buckets("hashes")).alias("bucket"))
+        met = grams.join(F.broadcast(ratio), "bucket", "left")
+        # rows of a text stand together, so one row a text is shuffled
+        whole = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("doc_id", *BASE)], F.sum("ratio").alias("total"), F.count("bucket").alias("n"))
+        rows = whole.withColumn("score", F.coalesce("total", F.lit(0.0)) / (F.col("n") + PRIOR))
+    else:
+        rows = rows.withColumn("score", F.lit(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select("doc_id", *base, failed.alias("base_failed"), "score").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return rows.select("doc_id", *BASE, failed.alias("base_failed"), "score").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
