@@ -270,6 +270,64 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def battery(token):
+    """The tests of one token by plain Python: its p-value over its weight."""
+    for _, pattern, symbols, pairs in secret_scan.ENCODINGS:
+        if re.search(pattern, token):
+            break
+    word = token.lower() if symbols[0] in "0a" else token.translate(str.maketrans("-_=", "+//"))
+    n, m = len(word), len(symbols)
+    cdf = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    chi = sum(c * c for c in collections.Counter(word).values()) * m / n - n
+    free = m - 1
+    p_even = 2 * (1 - cdf(abs(((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))))
+    bits = [symbols.index(c) >= m // 2 for c in word]
+    high, low, runs = sum(bits), n - sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:], strict=False))
+    mean = 2 * high * low / n + 1
+    spread = math.sqrt(max(0, (mean - 1) * (mean - 2) / (n - 1)))
+    p_runs = 2 * (1 - cdf(abs((runs - mean) / spread))) if high and low and spread else 0
+    v = [symbols.index(c) + 1 for c in word]
+    centre = sum(v) / n
+    power = sum((x - centre) ** 2 for x in v)
+    serial = sum((x - centre) * (y - centre) for x, y in zip(v, v[1:], strict=False))
+    p_serial = 2 * (1 - cdf(abs((serial / power + 1 / n) * math.sqrt(n)))) if power else 0
+    weight = max(min(3 * min(p_even, p_runs, p_serial), 1), secret_scan.LEAST_P)
+    shift = m * pairs - 1
+    p_words = cdf((chi - (free + n * shift)) / math.sqrt(2 * free + 4 * n * shift))
+    return min(max(p_words, secret_scan.LEAST_P) / weight, 1)
+
+
+def test_battery_and_discoveries_equal_plain_python(spark):
+    rng = np.random.default_rng(9)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    tokens = [some(x, int(n)) for x in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AaBbCcDdEeFfZz019+/-_=") for n in (20, 33, 64, 400)]
+    tokens += ["internationalization-of-the-understanding", "thethernationingthernessable", "aaaaaaaaaaaaaaaaaaaaaaaa", "ABABABABABABABABABABABAB", "0123456789" * 9, "=" * 25, "-" * 70]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(secret_scan.p_value(F.col("t"))).collect()]
+    want = [battery(t) for t in tokens]
+    assert np.allclose(np.log10(got), np.log10(want), atol=0.02), list(zip(tokens, got, want, strict=True))
+    # the rule itself, on a text that holds every token, ties and repeated rows included
+    rows = [(i, f"x {t} y") for i, t in enumerate(tokens + tokens[:3])]
+    ps = [want[i % len(tokens)] for i in range(len(rows))]
+    bar = max((p for p in ps if p <= secret_scan.FALSE_DISCOVERY * sum(q <= p for q in ps) / len(ps)), default=0)
+    found = {r["doc_id"]: r["secret_spans"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate(ps):
+        if abs(math.log10(p / bar)) > 0.05:  # a histogram's bin apart
+            base = bool(re.search(secret_scan.HEX, rows[i][1]))
+            assert bool([x for x in found[i] if x["k"] == 3]) == (p <= bar and not base), rows[i]
+
+
+def test_secrets_of_odd_tables(spark):
+    """Clashing names stay, very long texts with many matches are read whole, repeated rows are rows."""
+    many = " ".join(f"token={'ab' * 3}{k:05d}" for k in range(3000))
+    rows = [(1, many, "b", "t", "f"), (1, many, "b", "t", "f"), (None, "x" * 400_000, None, None, None), (3, None, "b", None, None)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, base string, Tokens string, found string")).collect()
+    assert [tuple(r[:5]) for r in sorted(got, key=lambda r: (r[0] is None, r[0]))] == [rows[0], rows[1], rows[3], rows[2]]
+    for r in got:
+        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(r["text"] or "")]
+        assert [tuple(x) for x in r["secret_spans"] if x["k"] == 0] == spans
+    assert sum(len(r["secret_spans"]) for r in got) == 6000
+
+
 def test_normal_distribution(spark):
     z = [-8.0, -3.0, -1.0, 0.0, 0.5, 2.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.normal_cdf(F.col("z"))).collect()]

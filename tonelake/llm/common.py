@@ -48,14 +48,20 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what a task holds in Python at once; texts are long, so a few thousand rows are enough."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what a task holds in Python at once; texts are long, so a few thousand rows are enough.
+
+    The setting is the session's and every operator asks for the same bound; a smaller one that is set already stays.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder of the cluster; a temporary one where none is set (tests, local mode)."""
+    """A new folder below the checkpoint folder of the cluster; a temporary one where none is set in local mode (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-tonelake-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tonelake-{uuid.uuid4().hex}"
@@ -79,6 +85,14 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that none of the columns has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, parts: int):
     """``crc32(doc_id as text) mod parts``; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

@@ -41,7 +41,7 @@ def op4_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("secret_spans", lambda x: x["k"] < 3)
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["k"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.named(base), 256).alias("base_sha256"), secret_scan.named(F.col("secret_spans")).alias("spans"))
