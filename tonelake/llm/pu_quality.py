@@ -136,6 +136,14 @@ class Model:
         return _sigmoid(self.inputs(x) @ self.weights)
 
 
+MASK = (1 << 62) - 1
+
+
+def hash_bar(most: int, n: int) -> int:
+    """Of ``n`` rows about ``most`` have 62 bits of a hash below this number, however large ``n`` is; all have it where there are no more."""
+    return MASK + 1 if n <= most else (MASK + 1) * most // n
+
+
 def _rows(batches):
     for batch in slices(batches):
         x = features(batch.column(1))
@@ -150,7 +158,7 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
         return None
 
     def part(column, salt: int, most: int, n: int):
-        return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 20)) < int(min(1.0, most / n) * (1 << 20))
+        return F.xxhash64(column, F.lit(salt)).bitwiseAND(F.lit(MASK)) < hash_bar(most, n)
 
     some = F.broadcast(ids.where(part("__id", 3, TRUSTED, known)).withColumn("__p", F.lit(True)))  # about TRUSTED ids at most
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("text"), part(F.col(doc_id), 5, UNLABELLED, every).alias("__u")).join(some, "__id", "left")
@@ -170,8 +178,9 @@ def _score(batches, shared):
 def classify(docs: DataFrame, learn_from: DataFrame, trusted: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
-    A null text is an empty one and has a score like any other. Where nothing can be learned all scores are 0.5. Repeated rows
-    give repeated rows; columns not in ``keep`` are not carried.
+    A null text is an empty one and has a score like any other. Very long texts are read whole, one slice each. Where nothing can be
+    learned all scores are 0.5. Null ids, ties and repeated rows are rows like any other; columns not in ``keep`` are not carried, so their
+    names cannot clash. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__body"))
