@@ -94,6 +94,26 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
     assert have[None] == (0, None, True)
 
 
+def test_vectors_of_any_length_and_label(spark):
+    """Very long and short vectors, text labels, ids that repeat, columns that clash."""
+    rows = [(1, [1e-200, 1e-200], "x", 9), (2, [1e200, 1e200], "x", 9), (3, [3.0, 3.1], "x", 9), (4, [5e-324, 0.0], "x", 9), (5, [1e308, 0.0], "x", 9), (6, [1.0, 1.0], "y", 9), (7, [2.0, 2.0], "y", 9), (7, [2.0, 2.0], "y", 9), (8, [1.0, 1.0], None, 9)]
+    got = vector_copies.vector_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 2, 6), (7, 2, 6), (7, 2, 6), (8, 0, 8)]
+
+
+def test_vectors_shipped_grow_in_proportion(spark, monkeypatch):
+    """On clustered data what is shipped grows with the probes: five times the vectors, about five times the rows."""
+    monkeypatch.setattr(vector_copies, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    shipped = []
+    for n in (1000, 5000):
+        centres = rng.standard_normal((n // 50, 32))
+        x = centres[np.arange(n) % len(centres)] + 0.05 * rng.standard_normal((n, 32))
+        classes = spark.createDataFrame([(i, "a", y.tobytes(), 1) for i, y in enumerate(x)], "node long, label string, vec binary, copies long")
+        shipped.append(vector_copies._dealt(vector_copies._index(classes, 0.93)[1]).count())
+    assert shipped[0] >= 2000 and shipped[1] < 9 * shipped[0] and shipped[1] < 10 * 5000, shipped
+
+
 def test_no_vectors(spark):
     assert vector_copies.vector_copies(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert vector_copies.vector_copies(spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")).first()["n_links"] == 0

@@ -4,8 +4,9 @@ Coarse centroids and residual codebooks are fitted on a bounded sample; every ve
 probes every list that can hold a partner: a vector within distance r of the query lies in list c only if the query is within
 r of the plane between its own centroid and c. In a probed list the asymmetric distance to a code is off by at most the code's
 stored error, so codes farther than r plus that error are passed over, and the rest are compared by exact cosine. Both bounds hold
-for every pair, so no link is lost. Equal vectors are one class. Lists are cut into blocks, and queries too;
-a block reports how many partners each query has and links that join, never all pairs.
+for every pair, so no link is lost. Equal vectors are one class. Each label's lists are cut into blocks. A vector asks in its own
+block and in those after it that hold a list it probes; what is asked of a block is cut into slices, and the block meets each of them.
+So what is shipped grows with the probes. There both sides' partners are counted and links that join are reported, never all pairs.
 """
 
 from __future__ import annotations
@@ -15,27 +16,30 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 
-#: Vectors that the index is fitted on, at most.
-SAMPLE = 16_384
+#: Vectors that the index is fitted on, and lists, at most; below that a list for every ``PER_LIST`` vectors.
+SAMPLE, LISTS, PER_LIST = 16_384, 2048, 32
 BLOCK = 1024
 SUBSPACES, CODES = 8, 64
 SLACK = 1e-6
 
 
 def _usable(batches):
-    """Vectors as bytes of doubles; None where a vector is null, zero or holds null or non-finite components."""
+    """Vectors as bytes of doubles; None where a vector is null, zero or holds null or non-finite components.
+
+    They are scaled by a power of two, which changes no cosine, so that squares neither overflow nor vanish.
+    """
     for batch in batches:
         out = []
         for v in batch.column(2).to_pylist():
             x = None if not v or None in v else np.asarray(v, np.float64)
-            norm = 0.0 if x is None else math.sqrt(float(x @ x))
-            out.append(x.tobytes() if norm > 0 and math.isfinite(norm) else None)
+            top = 0.0 if x is None else float(np.abs(x).max())
+            out.append(np.ldexp(x, -math.frexp(top)[1]).tobytes() if top > 0 and math.isfinite(top) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
 
@@ -110,7 +114,7 @@ def _indexed(batches, shared, radius: float):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off), cells], names=["node", "label", "vec", "copies", "cell", "code", "off", "probes"])
 
 
-def _compare(rows: pd.DataFrame, shared, cosine: float) -> pd.DataFrame:
+def _compare(key, rows: pd.DataFrame, shared, cosine: float) -> pd.DataFrame:
     index, radius = shared.value, math.sqrt(2 - 2 * cosine)
     asks = rows[rows["ask"]].sort_values("node", ignore_index=True)
     held = rows[~rows["ask"]].sort_values("node", ignore_index=True)
@@ -130,9 +134,13 @@ def _compare(rows: pd.DataFrame, shared, cosine: float) -> pd.DataFrame:
         if len(q):
             linked = np.zeros((len(x), len(y)), bool)
             linked[q, p] = True
-            n = linked @ copies
-            some = np.flatnonzero(n)
-            out = {"a": node[some].tolist(), "b": [None] * len(some), "links": n[some].tolist()}
+            # a vector of this block asks for itself; one of another block counts for both
+            guests = np.where(asks["own"].to_numpy() != key[1], asks["copies"].to_numpy(), 0)
+            for ids, n in ((node, linked @ copies), (other, guests @ linked)):
+                some = np.flatnonzero(n)
+                out["a"] += ids[some].tolist()
+                out["b"] += [None] * len(some)
+                out["links"] += n[some].tolist()
             # the smallest node of each connected part of this block
             a, b, big = node.copy(), other.copy(), np.iinfo(np.int64).max
             while True:
@@ -149,42 +157,52 @@ def _compare(rows: pd.DataFrame, shared, cosine: float) -> pd.DataFrame:
     return pd.DataFrame(out).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
 
 
-def _links(classes: DataFrame, cosine: float) -> DataFrame:
-    """Partners of each class (``a``, ``links``) and joining links (``a``, ``b``) among vectors of one dimension."""
+def _dealt(indexed: DataFrame) -> DataFrame:
+    """Rows by ``label``, ``block`` and ``part``: the vectors of a block, and a slice of the vectors that ask for one of its lists."""
+    sizes = indexed.groupBy("label", "cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a label's lists in order, cut into blocks of about BLOCK vectors; a long list has several
+    sizes = stored(sizes.select("label", "cell", F.floor(before / BLOCK).cast("int").alias("first"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    home = indexed.join(sizes, ["label", "cell"]).withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("first", "parts")
+    home = stored(home)
+    asked = home.select("node", "label", "own", F.explode("probes").alias("cell")).join(sizes, ["label", "cell"])
+    asked = stored(asked.select("node", "label", "own", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block")).where("own <= block").distinct())
+    slices = asked.groupBy("label", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
+    cols = ["label", "block", "part", "node", "vec", "copies", "cell", "code", "off", "own"]
+    held = home.withColumn("block", F.col("own")).join(slices, ["label", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    asks = asked.join(slices, ["label", "block"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "slices").cast("int")).join(home.drop("probes", "own"), ["node", "label"])
+    return held.select(*cols, F.lit(False).alias("ask")).union(asks.select(*cols, F.lit(True).alias("ask")))
+
+
+def _index(classes: DataFrame, cosine: float) -> tuple:
+    """The shared index, and every vector with its list, code, the code's error and the lists it probes."""
     spark = classes.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
     n = classes.count()
     sample = classes.select("vec").orderBy(F.xxhash64("node", "label")).limit(SAMPLE).toArrow().to_pandas()
-    lists = int(min(1024, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(n) / 2))))))
+    lists = min(LISTS, max(1, n // PER_LIST))
     shared = spark.sparkContext.broadcast(Index(_unit(sample["vec"]), lists))
-    indexed = stored(classes.select("node", "label", "vec", "copies").mapInArrow(lambda it: _indexed(it, shared, radius), "node long, label long, vec binary, copies long, cell int, code binary, off double, probes array<int>"))
-    # a label's lists in order, cut into blocks of about BLOCK vectors; a long list has several
-    from pyspark.sql import Window
+    indexed = classes.select("node", "label", "vec", "copies").mapInArrow(lambda it: _indexed(it, shared, radius), "node long, label string, vec binary, copies long, cell int, code binary, off double, probes array<int>")
+    return shared, stored(indexed)
 
-    sizes = indexed.groupBy("label", "cell").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = F.sum("n").over(Window.partitionBy("label"))
-    sizes = stored(sizes.select("label", "cell", F.floor(before / BLOCK).cast("int").alias("block"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil(every / BLOCK).cast("int").alias("asks")))
-    held = indexed.join(sizes, ["label", "cell"]).withColumn("block", F.col("block") + F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    asked = indexed.select("node", "label", F.explode("probes").alias("cell")).join(sizes, ["label", "cell"])
-    asked = asked.select("node", "label", F.explode(F.sequence("block", F.col("block") + F.col("parts") - 1)).alias("block"), F.pmod(F.hash("node"), "asks").alias("part")).distinct()
-    asked = asked.join(indexed.drop("probes"), ["node", "label"])
-    cols = ["label", "block", "part", "node", "vec", "copies", "cell", "code", "off"]
-    rows = held.select(*cols, F.lit(False).alias("ask")).union(asked.select(*cols, F.lit(True).alias("ask")))
-    return rows.groupBy("label", "block", "part").applyInPandas(lambda rows: _compare(rows, shared, cosine), "a long, b long, links long")
+
+def _links(classes: DataFrame, cosine: float) -> DataFrame:
+    """Partners of each class (``a``, ``links``) and joining links (``a``, ``b``) among vectors of one dimension."""
+    shared, indexed = _index(classes, cosine)
+    return _dealt(indexed).groupBy("label", "block", "part").applyInPandas(lambda key, rows: _compare(key, rows, shared, cosine), "a long, b long, links long")
 
 
 def vector_copies(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links`` (other vectors linked directly), ``component_id``, ``kept``.
 
-    Vectors are compared when labels are equal and not null and dimensions agree. Null or zero vectors and vectors with null or
-    non-finite components link with nothing, nor do rows without an id (component null, kept). Copies link with each
-    other. Rows that share an id count as one node of the components. Other columns are not carried.
+    Vectors are compared when labels (of any type) are equal and not null and dimensions agree. Null, empty or zero vectors and vectors with
+    null or non-finite components link with nothing, nor do rows without an id (component null, kept). Very long and very short
+    vectors are compared by direction. Copies and repeated rows link with each other; a cosine of exactly ``cosine`` links. Rows that
+    share an id count as one node of the components. Other columns are not carried, so their names cannot clash. An empty table gives no rows.
     """
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[label].cast("long").alias("label"), vectors[embedding].cast("array<double>").alias("embedding"))
-    usable = stored(rows.mapInArrow(_usable, "vec_id long, label long, vec binary"))
+    small_batches(vectors.sparkSession)
+    rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[label].cast("string").alias("label"), vectors[embedding].cast("array<double>").alias("embedding"))
+    usable = stored(rows.mapInArrow(_usable, "vec_id long, label string, vec binary"))
     good = usable.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull())
     classes = stored(good.groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("width", F.length("vec")))
     found = None
