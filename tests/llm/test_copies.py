@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonelake.llm import near_copies, vector_copies
 from tonelake.llm.components import components
@@ -57,7 +58,9 @@ def test_near_copies_equal_all_pairs(spark, width, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 16)  # several blocks a meeting
     texts = made_texts()
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, texts[0], None)]
-    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string, component_id string"), width=width).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = near_copies.near_copies(docs.withColumn("sig", F.lit(5)), width=width, keep=["sig"]).collect()
+    assert {r["sig"] for r in got} == {5}
     sets = [shingles(t, width) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = component_of(len(texts), links)
@@ -65,6 +68,41 @@ def test_near_copies_equal_all_pairs(spark, width, monkeypatch):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_large_meetings_lose_no_link(spark, rounds, monkeypatch):
+    """Chains and rings of near copies around hot documents, in meetings of many blocks, with and without the rounds against one document."""
+    monkeypatch.setattr(near_copies, "BLOCK", 20)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rng = np.random.default_rng(6)
+    text = [f"a{i}" for i in range(120)]
+    texts = []
+    for start in range(2):
+        for k in range(90):  # each next one has one word more of another text
+            w = list(text)
+            for at in range(0, k // 2):
+                w[(at * 7 + 3 * start) % 120] = f"b{start}{at}"
+            for at in rng.integers(0, 120, 2):
+                w[at] = f"c{rng.integers(0, 1000)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts)) + [(0, " ".join(text[::-1])), (3, texts[5])]  # ids that repeat
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    sets = [shingles(t, 2) for _, t in rows]
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = component_of(len(texts), links)
+    assert len(set(want)) < 60
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] not in (0, 3)} == {(i, want[i]) for i in range(len(texts)) if i not in (0, 3)}
+
+
+def test_skips_lose_no_collision():
+    rng = np.random.default_rng(7)
+    signatures = rng.integers(0, 3, (80, 32)).astype(np.uint32)
+    signatures[:40, :20] = signatures[0, :20]
+    hits = (signatures[:, None] == signatures[None]).sum(2)
+    for i, later, count in near_copies.candidates(signatures, 14):
+        want = [j for j in range(i + 1, 80) if hits[i, j] >= 14]
+        assert set(want) <= set(later.tolist()) and count(later, i).tolist() == hits[i, later].tolist()
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_copies.near_copies(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()

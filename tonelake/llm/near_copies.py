@@ -3,9 +3,13 @@
 A document is posted under its coordinate-value pairs. A pair of documents with a match on at least ``need`` of the
 ``size`` coordinates shares a pair among the ``size - need + 1`` of each that come first in any common order, so only that
 prefix is posted, rarest first. Documents that meet under a posting are brought together once for each smallest document of
-such a posting; there the signatures' collisions are counted, and what reaches ``need`` is confirmed on the full shingle sets.
-Equal sets are one class from the start. Large meetings are cut into blocks that meet in pairs, and a
-block reports links that join what was not joined yet, never all pairs.
+such a posting. There collisions are counted by merging posting lists with skips: a document's ``need - 1`` longest lists are left out,
+as a partner must stand in one of the others; who does is looked up in all lists, and what reaches ``need`` is confirmed on the full
+shingle sets. Equal sets are one class from the start.
+
+A meeting too large for one task is first held against its smallest document. Members linked with it need no comparison among
+themselves. The rest meet again, and those near enough to reach a linked member (the set distance is a metric) also meet the linked ones. What
+is still too large after ``ROUNDS`` of that is cut into blocks that meet in pairs.
 """
 
 from __future__ import annotations
@@ -18,16 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored
+from .common import slices, small_batches, stored, unused
 from .components import components
 from .shingles import MinHasher, overlap, shingle_sets
 
-BLOCK = 1024
+#: Documents, and bytes of their shingles, that meet in one task at a time.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+FEW = 16
+#: How often large meetings are held against one document before they are cut into pairs of blocks.
+ROUNDS = 4
 #: Rows of ids that may be broadcast (8 bytes each); above it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: A key with more than 1 / ``HOT`` of all rows is joined by broadcast, so at most that many keys are.
+HOT = 1 << 14
 
 
-def _signed(batches, width: int, size: int):
+def _signed(batches, width: int, size: int, names: list[str]):
     hasher = MinHasher(size)
     for batch in slices(batches):
         sets = shingle_sets(batch.column(1), width)
@@ -36,7 +46,7 @@ def _signed(batches, width: int, size: int):
         sig, digest = [None] * len(sets), [None] * len(sets)
         for i, row in zip(full, signatures, strict=True):
             sig[i], digest[i] = row.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=names)
 
 
 def _coordinate_keys(column: pa.Array, size: int) -> np.ndarray:
@@ -46,23 +56,32 @@ def _coordinate_keys(column: pa.Array, size: int) -> np.ndarray:
 
 def _postings(batches, size: int):
     for batch in batches:
-        keys = _coordinate_keys(batch.column(1), size)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size))], names=["key", "node"])
+        keys = _coordinate_keys(batch.column(2), size)
+        node, weight = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(weight)], names=["key", "node", "weight"])
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` with what ``keys`` (one row a key, ``n``: its number of rows) says of them; hot keys by broadcast, so that no task gets all rows of one."""
+    bar = max(2, -(-total // HOT))
+    hot, cold = keys.where(F.col("n") >= bar), keys.where(F.col("n") < bar)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
 
 
 def meetings(nodes: DataFrame, size: int, need: int) -> DataFrame:
-    """``hub, node``: documents that share a posting of their prefixes, once for each smallest document of such a posting.
+    """``hub, node, weight``: documents that share a posting of their prefixes, once for each smallest document of such a posting.
 
     Pairs that only one document has come first in the order of rarity; they meet nobody and are not posted again. Of the
     rest a document keeps as many as its prefix has left, the rarest.
     """
-    postings = nodes.mapInArrow(lambda it: _postings(it, size), "key long, node long")
-    often = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = postings.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("x"))  # at most ``size`` each
+    total = nodes.count() * size
+    postings = nodes.mapInArrow(lambda it: _postings(it, size), "key long, node long, weight long")
+    often = stored(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = joined_by_key(postings, often, "key", total).groupBy("node", "weight").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("x"))  # at most ``size`` each
     room = F.lit(size - need + 1) - (size - F.size("x"))
-    first = stored(shared.where(room > 0).select("node", F.explode(F.slice("x", F.lit(1), room)).alias("y")).select("node", "y.key"))
-    hubs = first.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("key", "hub")
-    return stored(first.join(hubs, "key").select("hub", "node").distinct())
+    first = stored(shared.where(room > 0).select("node", "weight", F.explode(F.slice("x", F.lit(1), room)).alias("y")).select("node", "weight", "y.key"))
+    hubs = stored(first.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    return stored(joined_by_key(first, hubs, "key", total).select("hub", "node", "weight").distinct())
 
 
 def _sets(batches, width: int, size: int):
@@ -75,24 +94,43 @@ def _sets(batches, width: int, size: int):
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in full], pa.int64()), pa.array([sets[i].tobytes() for i in full], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["node", "shingles", "sig"])
 
 
-def linked(sets: list[np.ndarray], signatures: np.ndarray, need: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some sets: pairs with enough collisions, best first, confirmed on the full sets."""
-    n = len(sets)
+def candidates(signatures: np.ndarray, need: int):
+    """For each row the later rows that can have ``need`` collisions with it, and a function that counts them: posting lists merged with skips."""
+    n, size = signatures.shape
+    hits_of = lambda some, i: (signatures[some] == signatures[i]).sum(1)
+    if n <= FEW:  # lists would be longer work than looking at all
+        yield from ((i, np.arange(i + 1, n), hits_of) for i in range(n))
+        return
+    lists, place, length = [], np.empty((n, size), np.int64), np.empty((n, size), np.int64)
+    for c in range(size):
+        order = np.argsort(signatures[:, c], kind="stable")
+        _, start, own, count = np.unique(signatures[order, c], return_index=True, return_inverse=True, return_counts=True)
+        lists.append(np.split(order, start[1:]))
+        place[order, c], length[order, c] = own, count[own]
+    short = np.argsort(length, axis=1, kind="stable")[:, : size - need + 1]
+    for i in range(n):
+        parts = [x[np.searchsorted(x, i, "right") :] for x in (lists[c][place[i, c]] for c in short[i] if length[i, c] > 1)]
+        later = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+        yield i, later, hits_of
+
+
+def linked(sets: list[np.ndarray], signatures: np.ndarray, need: int, percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets (between two sides, if given): pairs with enough collisions, best first, confirmed on the full sets."""
     sizes = np.array([len(s) for s in sets])
-    hits = np.zeros((n, n), np.int16)
-    for column in signatures.T:
-        hits += column[:, None] == column[None, :]
-    fits = (hits >= need) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
-    left, right = np.nonzero(np.triu(fits, 1))
-    order = np.argsort(-hits[left, right], kind="stable")
-    label, out = np.arange(n), []
-    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
-        if label[i] == label[j]:
-            continue
-        common = overlap(sets[i], sets[j])
-        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-            label[label == label[j]] = label[i]
-            out.append((i, j))
+    label, out = np.arange(len(sets)), []
+    for i, later, hits_of in candidates(signatures, need):
+        later = later[(label[later] != label[i]) & (100 * np.minimum(sizes[later], sizes[i]) >= percent * np.maximum(sizes[later], sizes[i]))]
+        if sides is not None:
+            later = later[sides[later] != sides[i]]
+        hits = hits_of(later, i)
+        later, hits = later[hits >= need], hits[hits >= need]
+        for j in later[np.argsort(-hits, kind="stable")].tolist():
+            if label[i] == label[j]:
+                continue
+            common = overlap(sets[i], sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                label[label == label[j]] = label[i]
+                out.append((i, j))
     return out
 
 
@@ -100,39 +138,110 @@ def _meet(rows: pd.DataFrame, need: int, percent: int) -> pd.DataFrame:
     rows = rows.drop_duplicates(["node", "shingles"]).sort_values("node", ignore_index=True)
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
     signatures = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
-    node = rows["node"].to_numpy()
-    pairs = linked(sets, signatures, need, percent)
+    node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
+    pairs = linked(sets, signatures, need, percent, side if side.min() < side.max() else None)
     return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype=np.int64)
 
 
-def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, size: int = 32, need: int = 14, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked id) and ``kept``.
+def _against_one(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Every member of a slice against the meeting's one: 0 linked, 1 near enough to reach one that is linked, 2 beyond that."""
+    first, rest = rows[rows["first"]], rows[~rows["first"]]
+    ones = [np.frombuffer(s, np.uint64) for s in first["shingles"].drop_duplicates()]  # more than one only where texts share an id
+    zone = np.full(len(rest), 2)
+    for k, s in enumerate(rest["shingles"]):
+        x = np.frombuffer(s, np.uint64)
+        for one in ones:
+            common = overlap(one, x)
+            union = len(one) + len(x) - common
+            zone[k] = min(zone[k], 0 if 100 * common >= percent * union else 1 if 100 * common >= (2 * percent - 100) * union else 2)
+    return pd.DataFrame({"hub": rest["hub"], "node": rest["node"], "weight": rest["weight"], "one": first["node"].iloc[0], "zone": zone})
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """``hub, n, blocks, one`` of the meetings that are too large for one task; ``one``: the smallest member."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") * 8 / BLOCK_BYTES)).cast("int")
+    return stored(members.groupBy("hub").agg(F.count("*").alias("n"), blocks.alias("blocks"), F.min("node").alias("one")).where("blocks > 1 and n > 1"))
+
+
+def _in_pairs(members: DataFrame, large: DataFrame, total: int) -> DataFrame:
+    """``hub, lo, hi, node, side``: blocks of one meeting in pairs."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = joined_by_key(members, large, "hub", total).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.where("other <> own or blocks = 1").select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", F.lit(0).alias("side"))
+
+
+def _two_sides(zones: DataFrame) -> DataFrame:
+    """The same for the linked members of a meeting and those near enough to reach one: every block of the one side with every block of the other."""
+    room = lambda zone: F.greatest(F.ceil(F.count_if(F.col("zone") == zone) / BLOCK), F.ceil(F.sum(F.when(F.col("zone") == zone, F.col("weight"))) * 8 / BLOCK_BYTES)).cast("int")
+    parts = stored(zones.groupBy("hub").agg(F.count("*").alias("n"), room(0).alias("p"), room(1).alias("q")).where("p > 0 and q > 0"))
+    total = zones.count()
+    rows = joined_by_key(zones.where("zone < 2").select("hub", "node", "zone"), parts, "hub", total)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("zone") == 0, F.col("p")).otherwise(F.col("q"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("zone") == 0, F.col("q")).otherwise(F.col("p")) - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    first = F.col("zone") == 0
+    return rows.select("hub", F.when(first, F.col("own")).otherwise(F.col("other")).alias("lo"), (-1 - F.when(first, F.col("other")).otherwise(F.col("own"))).alias("hi"), "node", F.col("zone").alias("side"))
+
+
+def _meeting_links(members: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) of all meetings."""
+    links, dealt, todo = [], [], members
+    for k in range(ROUNDS + 1):
+        large, total = _large(todo), todo.count()
+        few = large.count()
+        small = todo.join(F.broadcast(large.select("hub")) if few <= BROADCAST_ROWS else large.select("hub"), "hub", "left_anti")
+        dealt.append(small.select(F.lit(k).alias("salt"), "hub", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(0).alias("side")))
+        if not few:
+            break
+        if k == ROUNDS:
+            dealt.append(_in_pairs(todo, large, total).select(F.lit(1000 + k).alias("salt"), "hub", "lo", "hi", "node", "side"))
+            break
+        rows = joined_by_key(todo, large, "hub", total)
+        slices = rows.where("node <> one").select("hub", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("slice"), "node", "weight", F.lit(False).alias("first"))
+        ones = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slice"), F.col("one").alias("node"), F.lit(0).cast("long").alias("weight"), F.lit(True).alias("first"))
+        every = slices.union(ones).join(sets.select("node", "shingles"), "node")
+        zones = stored(every.groupBy("hub", "slice").applyInPandas(lambda rows: _against_one(rows, percent), "hub long, node long, weight long, one long, zone int"))
+        links.append(zones.where("zone = 0").select(F.col("one").alias("a"), F.col("node").alias("b")))
+        dealt.append(_two_sides(zones).select(F.lit(2000 + k).alias("salt"), "hub", "lo", "hi", "node", "side"))
+        todo = stored(zones.where("zone > 0").select("hub", "node", "weight"))
+    rows = dealt[0]
+    for more in dealt[1:]:
+        rows = rows.unionByName(more)
+    out = rows.join(sets, "node").groupBy("salt", "hub", "lo", "hi").applyInPandas(lambda rows: _meet(rows, need, percent), "a long, b long")
+    for more in links:
+        out = out.unionByName(more)
+    return out
+
+
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, size: int = 32, need: int = 14, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked id), ``kept``, and the columns ``keep`` as they are.
 
     Two texts are linked when 100 * common shingles >= ``percent`` * all their shingles. With ``size`` 32 and ``need`` 14 a pair
     right at 80 % falls below ``need`` collisions about twice in a million; every pair that reaches it is confirmed exactly.
-    Texts without words link with nothing. A row without an id cannot be named: it links with nothing, its component is null
-    and it is kept. Rows that share an id count as one document. Empty tables give no rows; other columns are not carried.
+    Null texts and texts without words link with nothing; very long ones are read whole. A row without an id cannot be named: it links
+    with nothing, its component is null and it is kept. Rows that share an id are judged by their own texts, repeated rows alike. A pair
+    right at ``percent`` is a link. Empty tables give no rows; columns not in ``keep`` are not carried, so their names cannot clash.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(lambda it: _signed(it, width, size), "doc_id long, n_shingles long, digest binary, sig binary"))
+    more = docs.select(*(keep or [])).schema.fields
+    extra = [unused(f"more{k}", ["doc_id", "text"]) for k in range(len(more))]
+    wide = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *(docs[f.name].alias(x) for f, x in zip(more, extra, strict=True)))
+    kinds = ["doc_id long", "n_shingles long", "digest binary", "sig binary", *(f"{x} {f.dataType.simpleString()}" for f, x in zip(more, extra, strict=True))]
+    names = [k.split()[0] for k in kinds]
+    signed = stored(wide.mapInArrow(lambda it: _signed(it, width, size, names), ", ".join(kinds)))
     named = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    members = meetings(classes.select("node", "sig"), size, need)
+    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig")))
+    members = meetings(classes.select("node", "weight", "sig"), size, need)
     wanted = stored(members.select("node").distinct())
     side = wanted.withColumnRenamed("node", "doc_id")
     if wanted.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     sets = stored(rows.join(side, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, width, size), "node long, shingles binary, sig binary"))
-    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select("hub", "blocks")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "hub").withColumn("own", own).withColumn("other", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), x -> x <> own) END")))
-    dealt = dealt.select("hub", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    links = dealt.join(sets, "node").groupBy("hub", "lo", "hi").applyInPandas(lambda rows: _meet(rows, need, percent), "a long, b long")
-    joined = components(links, "a", "b")
+    joined = components(stored(_meeting_links(members, sets, need, percent)), "a", "b")
 
     named_class = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named_class, "digest", "left").select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    out = signed.join(named_class, "digest", "left").select("doc_id", "n_shingles", component.cast("long").alias("component_id"), *(F.col(x).alias(f.name) for f, x in zip(more, extra, strict=True)))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
