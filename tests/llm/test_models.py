@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tonelake.llm import context_tree, language_id, pu_quality, quality_rules, secret_scan
+from tonelake.llm import common, context_tree, language_id, pu_quality, quality_rules, secret_scan
 from tonelake.llm.common import fold
 from tonelake.llm.queries import PIECE_MODEL
 from tonelake.llm.shingles import MinHasher, overlap, shingle_sets, word_hashes
@@ -135,7 +135,8 @@ def test_context_tree_keeps_rare_contexts(spark, monkeypatch):
     both = [b"\xff" * context_tree.DEPTH + t.encode() + b"\xff" for t in (texts[-1], "qrstuv zz!")]
     asked = [(x[k - context_tree.DEPTH : k], x[k]) for x in both for k in range(context_tree.DEPTH, len(x))]
     logs, cut = whole_tree(texts, asked), len(both[0]) - context_tree.DEPTH
-    for shares in (1 << 21, 64):
+    for shares, hot in ((1 << 21, 1), (64, 1 << 14)):
+        monkeypatch.setattr(common, "HOT", hot)
         monkeypatch.setattr(context_tree, "GRAM_SHARES", shares, raising=False)
         got = {r["doc_id"]: r["score"] for r in context_tree.score(docs, docs.where(~held), held).where("doc_id >= 27").collect()}
         assert np.allclose([got[27], got[28]], [sum(logs[:cut]), sum(logs[cut:])], atol=1e-6)
@@ -212,6 +213,13 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(used[vocab[k], 0] * len(k) for k in vocab), 2 * 3)  # expected pieces cover every character
 
 
+def test_sample_at_any_size():
+    """The share of a hash's values that is taken never falls to none."""
+    for n in (10, 12_000, 12_001, 10**7, 5 * 10**10, 10**15):
+        share = pu_quality.hash_bar(12_000, n) / (pu_quality.MASK + 1)
+        assert np.isclose(share * n, min(n, 12_000), rtol=1e-3)
+
+
 def test_quality_classifier(spark):
     rng = np.random.default_rng(5)
     rows = []

@@ -51,3 +51,17 @@ def test_odd_rows(spark):
     assert cp.without_secrets(spark, docs, SF).count() == len(rows)
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_id_with_two_texts_and_clashing_columns(spark):
+    """Two texts under one id are judged each for itself; very long texts and extra columns do no harm."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, text, "en", "s", 1), (5, other, "en", "s", 2), (5, text, "en", "b", 3), (7, other + " x", "en", "s", 4), (8, "y " * 200_000, "en", "s", 5), (8, "y " * 200_000, "en", "a", 6)]
+    docs = spark.createDataFrame([(*r, 1, "clash", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, base string, rid double")
+    got = cp.one_of_each_group(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got) == [(3, 1), (5, 2), (8, 6)]
+    assert cp.without_secrets(spark, docs, SF).columns == cp.COLUMNS
+    assert cp.packed(spark, docs, SF).select("doc_id").distinct().count() == 4
+    assert {r["doc_id"] for r in cp.known_language(spark, docs.select("*", docs["kept"].alias("lang_pred")), SF).collect()} == {3, 5, 7, 8}
+    assert cp.good_quality(spark, docs, SF).columns == cp.COLUMNS

@@ -10,9 +10,10 @@ All counted nodes are kept. The counts are a stored table of the distinct grams
 depth ``CUT`` and deeper hang together only below one context of ``CUT`` bytes, a branch; tasks take whole branches, weight them from the
 bottom up and give sums for each node above. Only those above are collected: their number is bounded by the byte values, not by
 the corpus. With them, tasks go through the branches again and give the probability of every gram that is asked for. Frequent grams (at
-least 1 / ``GRAM_SHARES`` of all training bytes, so at most that many) are broadcast with their probabilities; occurrences of all others
-are joined by shuffle. Word counts for the base are whole too: the frequent words (at least 1 / ``WORD_SHARES`` of all tokens) are
-broadcast, occurrences of all others are joined by shuffle. Words are counted by a 64-bit hash.
+least 1 / ``GRAM_SHARES`` of all training bytes, so at most that many) are broadcast with their probabilities; all others are counted
+in each text and joined by shuffle. Word counts for the base are whole too: the frequent words (at least 1 / ``WORD_SHARES`` of all
+tokens) are broadcast, all others are counted in each text and joined by shuffle. A gram or word that is rare in training and yet stands in
+a large share of the texts is joined by broadcast as well. Words are counted by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored
+from .common import joined_by_key, slices, small_batches, stored
 from .shingles import _LOWER, flat_bytes, word_hashes
 
 DEPTH = 5
@@ -191,7 +192,7 @@ def _up(keys: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _branches(batches, least: int = 200_000):
-    """Rows in order of their branches -> distinct grams in order, their counts, and which are asked for; whole branches, some at a time."""
+    """Rows in order of their branches -> distinct grams in order, their counts, and how often they are asked for; whole branches, some at a time."""
     held, size, next_cut = [], 0, least
 
     def joined():
@@ -201,12 +202,12 @@ def _branches(batches, least: int = 200_000):
         order = np.argsort(gram)
         gram, n, wanted = gram[order], n[order], wanted[order]
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        return gram[first], np.add.reduceat(n, first), np.logical_or.reduceat(wanted, first)
+        return gram[first], np.add.reduceat(n, first), np.add.reduceat(wanted, first)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)))
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
         size += batch.num_rows
         if size >= next_cut:
             rows = joined()
@@ -254,11 +255,11 @@ def _sums_above(batches):
 
 
 def _gram_scores(batches, shared):
-    """log10 probabilities of the grams that are asked for; branches without one are left out."""
+    """log10 probabilities of the grams that are asked for, and how often they are; branches without one are left out."""
     top = shared.value
     for gram, n, wanted in _branches(batches):
         branch = _context(gram, CUT)
-        some = np.isin(branch, np.unique(branch[wanted]))
+        some = np.isin(branch, np.unique(branch[wanted > 0]))
         gram, n, wanted = gram[some], n[some], wanted[some]
         if not len(gram):
             continue
@@ -269,7 +270,8 @@ def _gram_scores(batches, shared):
                 _, place, a, b, weight, _ = levels[k]
                 done, left = (done + left * weight * (b + 0.5) / (a + b + 1))[place], (left * (1 - weight))[place]
             out += np.log10(np.where(one, done, 1 - done))
-        yield pa.RecordBatch.from_arrays([pa.array(gram[wanted].view(np.int64)), pa.array(out[wanted])], names=["gram", "log10"])
+        asked = wanted > 0
+        yield pa.RecordBatch.from_arrays([pa.array(gram[asked].view(np.int64)), pa.array(out[asked]), pa.array(wanted[asked])], names=["gram", "log10", "n"])
 
 
 class Model:
@@ -277,7 +279,7 @@ class Model:
 
     def __init__(self, grams: DataFrame):
         self.grams = grams
-        rows = self._by_branch(grams.select("gram", "n", F.lit(False).alias("wanted"))).mapInArrow(_sums_above, "key long, zeros double, ones double, below double")
+        rows = self._by_branch(grams.select("gram", "n", F.lit(0).cast("long").alias("wanted"))).mapInArrow(_sums_above, "key long, zeros double, ones double, below double")
         got = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow().to_pandas()
         key, values = got["key"].to_numpy(np.int64).view(np.uint64), [got[c].to_numpy(float) for c in ("zeros", "ones", "below")]
         keys, sums = [], []
@@ -294,17 +296,18 @@ class Model:
         return rows.repartition(branch).sortWithinPartitions(branch)
 
     def scores(self, wanted: DataFrame) -> DataFrame:
-        """``gram`` and ``log10`` of the distinct values of ``gram`` in ``wanted``."""
-        rows = self.grams.select("gram", "n", F.lit(False).alias("wanted")).unionByName(wanted.select("gram").distinct().select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted")))
+        """``gram``, ``log10`` and ``n`` (its rows) of the distinct values of ``gram`` in ``wanted``."""
+        asked = wanted.groupBy("gram").agg(F.count("*").alias("wanted"))
+        rows = self.grams.select("gram", "n", F.lit(0).cast("long").alias("wanted")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("n"), "wanted"))
         return self._scored(rows)
 
     def frequent(self, least: int) -> DataFrame:
         """``gram`` and ``log10`` of the grams counted at least ``least`` times."""
-        return self._scored(self.grams.select("gram", "n", (F.col("n") >= least).alias("wanted")))
+        return self._scored(self.grams.select("gram", "n", (F.col("n") >= least).cast("long").alias("wanted")))
 
     def _scored(self, rows: DataFrame) -> DataFrame:
         shared = self.shared
-        return self._by_branch(rows).mapInArrow(lambda it: _gram_scores(it, shared), "gram long, log10 double")
+        return self._by_branch(rows).mapInArrow(lambda it: _gram_scores(it, shared), "gram long, log10 double, n long")
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte after the bytes before it, for few grams."""
@@ -313,7 +316,17 @@ class Model:
         return np.array([found[int(g)] for g in gram])
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, grams array<long>, gram_counts array<long>"
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, words array<long>, word_counts array<long>, grams array<long>, gram_counts array<long>"
+
+
+def _counted(keys: np.ndarray, owner: np.ndarray, n: int) -> list[pa.ListArray]:
+    """For each of ``n`` owners its distinct keys, and how often it has each."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.empty(0, np.int64)
+    times = np.diff(np.concatenate([first, [len(keys)]])) if len(keys) else first
+    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=n))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, pa.array(x)) for x in (keys[first].view(np.int64), times.astype(np.int64))]
 
 
 def _score(batches, shared):
@@ -330,7 +343,7 @@ def _score(batches, shared):
         hit = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
         base = np.bincount(owner[hit], value[at[hit]], n) + math.log10(ends + 0.5) - scale
         known = np.bincount(owner[hit], minlength=n) + (ends > 0)
-        rare, cut = hashes[~hit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=n))])
+        words_left = _counted(hashes[~hit], owner[~hit], n)
         gram, size = grams(column)
         code, own = pd.factorize(gram)
         at = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
@@ -338,14 +351,8 @@ def _score(batches, shared):
         sums = np.concatenate([[0.0], np.cumsum((np.where(hit, logs[at], 0.0) if len(often) else np.zeros(len(own)))[code])])
         stop = np.cumsum(size)
         miss = ~hit[code]
-        left, holder = gram[miss], np.repeat(np.arange(n), size)[miss]
-        order = np.lexsort((left, holder))
-        left, holder = left[order], holder[order]
-        first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (holder[1:] != holder[:-1])])) if len(left) else np.empty(0, np.int64)
-        times = np.diff(np.concatenate([first, [len(left)]])) if len(left) else first
-        ends_at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(holder[first], minlength=n))]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(rare)), *(pa.ListArray.from_arrays(ends_at, pa.array(x)) for x in (left[first].view(np.int64), times.astype(np.int64)))]
-        yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(n)), batch.column(0), batch.column(1), pa.array(per + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums[stop] - sums[stop - size]), *lists], names=[c.split()[0] for c in SCORED.split(", ")])
+        grams_left = _counted(gram[miss], np.repeat(np.arange(n), size)[miss], n)
+        yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(n)), batch.column(0), batch.column(1), pa.array(per + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums[stop] - sums[stop - size]), *words_left, *grams_left], names=[c.split()[0] for c in SCORED.split(", ")])
         rid += n
 
 
@@ -370,8 +377,9 @@ def fit(train: DataFrame, text: str = "text") -> tuple:
 def score(docs: DataFrame, train: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
-    Null text counts as empty: the end alone. Null ids and repeated rows are rows like any other. Without training texts every
-    binary decision has probability one half. Other columns are not carried.
+    Null text counts as empty: the end alone. Very long texts are scored whole. Null ids, ties and repeated rows are rows like any other.
+    Without training texts every binary decision has probability one half. Other columns are not carried, so their names cannot
+    clash; an empty table gives no rows.
     """
     spark = docs.sparkSession
     model, rest = fit(train, text)
@@ -379,9 +387,15 @@ def score(docs: DataFrame, train: DataFrame, held_out, doc_id: str = "doc_id", t
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
     scored = stored(rows.mapInArrow(lambda it: _score(it, shared), SCORED))
     tokens, distinct = model[5], model[6]
-    c = F.coalesce(F.col("n"), F.lit(0))
-    terms = scored.select("rid", F.explode("rare").alias("key")).join(rest, "key", "left").groupBy("rid").agg(F.sum(F.log10(c + 0.5) - math.log10(tokens + 0.5 * (distinct + 1))).alias("more"), F.count("n").alias("more_known"))
-    rare = scored.select("rid", F.explode(F.arrays_zip("grams", "gram_counts")).alias("x")).select("rid", "x.grams", "x.gram_counts").toDF("rid", "gram", "times")
-    deep = rare.join(model[0].scores(rare), "gram").groupBy("rid").agg(F.sum(F.col("times") * F.col("log10")).alias("deep"))
-    out = scored.drop("rare", "grams", "gram_counts").join(terms, "rid", "left").join(deep, "rid", "left")
+    sizes = scored.agg(F.sum(F.size("words")), F.sum(F.size("grams"))).first()
+    left = lambda key, times: scored.select("rid", F.explode(F.arrays_zip(key, times)).alias("x")).select("rid", f"x.{key}", f"x.{times}").toDF("rid", "key", "times")
+    words = left("words", "word_counts")
+    counts = stored(words.groupBy("key").agg(F.count("*").alias("n")).join(rest.withColumnRenamed("n", "c"), "key", "left"))
+    c = F.coalesce(F.col("c"), F.lit(0))
+    more = F.sum(F.col("times") * (F.log10(c + 0.5) - math.log10(tokens + 0.5 * (distinct + 1))))
+    terms = joined_by_key(words, counts, "key", sizes[0] or 0).groupBy("rid").agg(more.alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more_known"))
+    rare = left("grams", "gram_counts")
+    found = stored(model[0].scores(rare.select(F.col("key").alias("gram"))).withColumnRenamed("gram", "key"))
+    deep = joined_by_key(rare, found, "key", sizes[1] or 0).groupBy("rid").agg(F.sum(F.col("times") * F.col("log10")).alias("deep"))
+    out = scored.drop("words", "word_counts", "grams", "gram_counts").join(terms, "rid", "left").join(deep, "rid", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored, unused
+from .common import joined_by_key, slices, small_batches, stored, unused
 from .components import components
 from .shingles import MinHasher, overlap, shingle_sets
 
@@ -33,8 +33,6 @@ FEW = 16
 ROUNDS = 4
 #: Rows of ids that may be broadcast (8 bytes each); above it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
-#: A key with more than 1 / ``HOT`` of all rows is joined by broadcast, so at most that many keys are.
-HOT = 1 << 14
 
 
 def _signed(batches, width: int, size: int, names: list[str]):
@@ -61,13 +59,6 @@ def _postings(batches, size: int):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(weight)], names=["key", "node", "weight"])
 
 
-def joined_by_key(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
-    """``rows`` with what ``keys`` (one row a key, ``n``: its number of rows) says of them; hot keys by broadcast, so that no task gets all rows of one."""
-    bar = max(2, -(-total // HOT))
-    hot, cold = keys.where(F.col("n") >= bar), keys.where(F.col("n") < bar)
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
-
-
 def meetings(nodes: DataFrame, size: int, need: int) -> DataFrame:
     """``hub, node, weight``: documents that share a posting of their prefixes, once for each smallest document of such a posting.
 
