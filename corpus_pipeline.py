@@ -19,14 +19,22 @@ LANGUAGE_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learned language stay; a missing ``lang`` is filled in. Texts without letters and undecided ones go."""
+    """Texts in a learned language stay; a missing ``lang`` is filled in. Texts without letters (null and empty ones too) and undecided ones go.
+
+    Very long texts are read whole; ids and other columns may be null; repeated rows share one fate. Columns beside those of ``documents``
+    are dropped here, so their names cannot clash later. An empty table stays empty.
+    """
     found = language_id.identify(docs, docs, PIECE_MODEL, COLUMNS)
     good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE))
     return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier predicts as good stay. It learns from the labels of two folds of three."""
+    """Texts that the classifier predicts as good stay. It learns from the labels of two folds of three.
+
+    Null and empty texts are judged like any other, very long ones are read whole; a score of exactly one half stays. Without labels to
+    learn from all stay. Repeated rows share one fate; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = fold("doc_id", 3) != 1
     trusted = labels.where((F.col("quality") == 1) & learn).select("doc_id")
@@ -35,21 +43,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by 80 % of their five-word shingles, the one with the smallest id stays. Rows without an id stay."""
-    ids = near_copies.near_copies(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id")
-    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of texts linked by 80 % of their five-word shingles, the one with the smallest id stays.
+
+    Texts without words are no copies of each other and stay. Rows without an id stay. Repeated rows (one id, one text) become one row, with
+    the smallest of their other columns; different texts under one id are judged each for itself. Very long texts are read whole; an
+    empty table stays empty.
+    """
+    marked = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    kept = near_copies.near_copies(marked, width=5, percent=80, keep=["text_hash"]).where("kept and doc_id is not null").select("doc_id", "text_hash").distinct()
+    named = marked.join(kept, ["doc_id", "text_hash"], "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; what is found in its text is replaced by a mark."""
-    found = secret_scan.scan(docs.select(*COLUMNS))
+    """Every document stays; what is found in its text is replaced by a mark, and ``n_chars`` follows.
+
+    Null and empty texts stay as they are, very long ones are read whole; repeated rows stay repeated, an empty table empty.
+    """
+    found = secret_scan.scan(docs, keep=COLUMNS)
     clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("secret_spans")))
     return clean.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All tokens of all documents in sequences of at most 2048."""
+    """All tokens of all documents in sequences of at most 2048; a null or empty text is its end token, a very long one several pieces. Repeated rows are pieces of their own."""
     return packing.pack(docs, BYTE_BPE, capacity=2048)
 
 
