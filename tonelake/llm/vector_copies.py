@@ -4,7 +4,7 @@ Coarse centroids and residual codebooks are fitted on a bounded sample; every ve
 probes every list that can hold a partner: a vector within distance r of the query lies in list c only if the query is within
 r of the plane between its own centroid and c. In a probed list the asymmetric distance to a code is off by at most the code's
 stored error, so codes farther than r plus that error are passed over, and the rest are compared by exact cosine. Both bounds hold
-for every pair, so no link is lost. Equal vectors are one class. Each label's lists are cut into blocks. A vector asks in its own
+for every pair, so no link is lost. Equal vectors are one class. Each label's lists are put together or cut into blocks. A vector asks in its own
 block and in those after it that hold a list it probes; what is asked of a block is cut into slices, and the block meets each of them.
 So what is shipped grows with the probes. There both sides' partners are counted and links that join are reported, never all pairs.
 """
@@ -16,10 +16,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import joined_by_key, small_batches, stored
 from .components import components
 
 #: Vectors that the index is fitted on, and lists, at most; below that a list for every ``PER_LIST`` vectors.
@@ -52,11 +52,16 @@ def _sq(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector, some vectors at a time."""
+    return np.concatenate([_sq(x[k : k + 1024], c).argmin(1) for k in range(0, len(x), 1024)])
+
+
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        home = _sq(x, centres).argmin(1)
+        home = _nearest(x, centres)
         total = np.zeros_like(centres)
         np.add.at(total, home, x)
         n = np.bincount(home, minlength=len(centres))
@@ -69,13 +74,13 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = _kmeans(sample, min(lists, len(sample)), 1)
-        rest = sample - self.centres[_sq(sample, self.centres).argmin(1)]
+        rest = sample - self.centres[_nearest(sample, self.centres)]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [_kmeans(rest[:, a:b], min(CODES, len(rest)), 2 + k) for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, code and the distance between the vector and what its code stands for."""
-        home = _sq(x, self.centres).argmin(1)
+        home = _nearest(x, self.centres)
         rest = x - self.centres[home]
         code = np.stack([_sq(rest[:, a:b], book).argmin(1) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
         return home, code, np.linalg.norm(rest - self.decode(code), axis=1)
@@ -104,14 +109,20 @@ class Index:
         return _sq(x, c) - 2 * dots + own[None, :]
 
 
+INDEXED = "node long, label string, vec binary, copies long, cell int, code binary, off double, team int, probes array<int>"
+
+
 def _indexed(batches, shared, radius: float):
     index = shared.value
+    lists = len(index.centres)
     for batch in batches:
         x = _unit(batch.column(2).to_pylist())
         home, code, off = index.encode(x)
-        probe = index.probes(x, radius)
-        cells = pa.array([np.flatnonzero(p).astype(np.int32) for p in probe], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off), cells], names=["node", "label", "vec", "copies", "cell", "code", "off", "probes"])
+        teams = batch.column(4).to_numpy()
+        # lists that stand together are one team; a vector asks a team once, however many of its lists it probes
+        asked = pa.array([np.unique(np.flatnonzero(p) * t // lists).astype(np.int32) for p, t in zip(index.probes(x, radius), teams, strict=True)], pa.list_(pa.int32()))
+        out = [*batch.columns[:4], pa.array(home, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(off), pa.array(home * teams // lists, pa.int32()), asked]
+        yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in INDEXED.split(", ")])
 
 
 def _compare(key, rows: pd.DataFrame, shared, cosine: float) -> pd.DataFrame:
@@ -159,14 +170,11 @@ def _compare(key, rows: pd.DataFrame, shared, cosine: float) -> pd.DataFrame:
 
 def _dealt(indexed: DataFrame) -> DataFrame:
     """Rows by ``label``, ``block`` and ``part``: the vectors of a block, and a slice of the vectors that ask for one of its lists."""
-    sizes = indexed.groupBy("label", "cell").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a label's lists in order, cut into blocks of about BLOCK vectors; a long list has several
-    sizes = stored(sizes.select("label", "cell", F.floor(before / BLOCK).cast("int").alias("first"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
-    home = indexed.join(sizes, ["label", "cell"]).withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("first", "parts")
-    home = stored(home)
-    asked = home.select("node", "label", "own", F.explode("probes").alias("cell")).join(sizes, ["label", "cell"])
-    asked = stored(asked.select("node", "label", "own", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block")).where("own <= block").distinct())
+    sizes = stored(indexed.groupBy("label", "team").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    block = lambda k: F.shiftleft(F.col("team").cast("long"), 32) + k
+    home = stored(indexed.join(sizes, ["label", "team"]).withColumn("own", block(F.pmod(F.xxhash64("node"), "parts"))).drop("parts", "team"))
+    asked = home.select("node", "label", "own", F.explode("probes").alias("team")).where(F.col("team") >= F.shiftright("own", 32)).join(sizes, ["label", "team"])
+    asked = stored(asked.select("node", "label", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), block)).alias("block")).where("own <= block"))
     slices = asked.groupBy("label", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
     cols = ["label", "block", "part", "node", "vec", "copies", "cell", "code", "off", "own"]
     held = home.withColumn("block", F.col("own")).join(slices, ["label", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -175,15 +183,18 @@ def _dealt(indexed: DataFrame) -> DataFrame:
 
 
 def _index(classes: DataFrame, cosine: float) -> tuple:
-    """The shared index, and every vector with its list, code, the code's error and the lists it probes."""
+    """The shared index, and every vector with its list, code, the code's error and the teams of lists it asks."""
     spark = classes.sparkSession
     radius = math.sqrt(2 - 2 * cosine)
-    n = classes.count()
+    per = stored(classes.groupBy("label").agg(F.count("*").alias("n")))
+    n = per.agg(F.sum("n")).first()[0]
     sample = classes.select("vec").orderBy(F.xxhash64("node", "label")).limit(SAMPLE).toArrow().to_pandas()
     lists = min(LISTS, max(1, n // PER_LIST))
     shared = spark.sparkContext.broadcast(Index(_unit(sample["vec"]), lists))
-    indexed = classes.select("node", "label", "vec", "copies").mapInArrow(lambda it: _indexed(it, shared, radius), "node long, label string, vec binary, copies long, cell int, code binary, off double, probes array<int>")
-    return shared, stored(indexed)
+    # as many teams of lists as a label has blocks; a team that is still too large is cut into several
+    teams = F.least(F.ceil(F.col("n") / BLOCK), F.lit(lists)).cast("long").alias("teams")
+    rows = joined_by_key(classes.select("label", "node", "vec", "copies"), per.select("label", "n", teams), "label", n).select("node", "label", "vec", "copies", "teams")
+    return shared, stored(rows.mapInArrow(lambda it: _indexed(it, shared, radius), INDEXED))
 
 
 def _links(classes: DataFrame, cosine: float) -> DataFrame:
