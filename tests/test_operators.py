@@ -418,3 +418,48 @@ def test_recordings_stream_once(spark, tmp_path):
     assert step() == 1
     (tmp_path / "in" / "b.raw").write_bytes(b"\0\0")
     assert step() == 2
+
+
+def test_word_error_rate_of_many_words(spark):
+    """More distinct words than one block of characters holds, past the reserved range."""
+    known = F.array(F.lit(1), F.lit(55_039), F.lit(55_040), F.lit(63_231), F.lit(63_232), F.lit(70_000), F.lit(1_000_000))
+    letters = spark.range(1).select(F.transform(known, metrics._character).alias("c")).first()["c"]
+    assert len(set(letters)) == 7 and all(len(c) == 1 and not 0xD800 <= ord(c) < 0xE000 for c in letters)
+
+
+def test_sums_before(spark):
+    values = [float(i % 7) for i in range(1000)]
+    got = spark.createDataFrame([(values,), ([],)], "v array<double>").select(text.sums_before(F.col("v"), 16).alias("s")).collect()
+    assert [r["s"] for r in got] == [[sum(values[:k]) for k in range(1000)], []]
+
+
+def test_label_recordings_names_what_went_wrong(spark):
+    rows = [(1, b"RIFFxx", "A B C", 20.0), (2, b"", "A B C", 20.0), (3, None, "A B C", None), (4, bytes(16000), None, 5.0), (5, bytes(32000), "A B C", 20.0)]
+    got = {r["k"]: r["error"] for r in label.label_recordings(spark.createDataFrame(rows, "k int, c binary, t string, w double"), "k", "c", "t", "w").collect()}
+    assert "Error" in got[1] and got[2] == got[3] == "no sound" and got[4] == "no text" and got[5] == "nothing decoded"
+
+
+def test_failed_rows_carry_their_message(spark):
+    df = spark.createDataFrame([(1, b"RIFF"), (2, b"\x00\x40" * 4), (3, None)], "k int, content binary")
+    got = {r["k"]: r for r in signal.decode_pcm(df, error="why").collect()}
+    assert got[1]["audio"] is None and got[1]["why"] and got[2]["audio"] == [0.5] * 4 and got[2]["why"] is None and got[3]["audio"] is None
+    back = signal.encode_pcm(signal.decode_pcm(df.where("k = 2"))).first()["content"]
+    assert np.allclose(np.frombuffer(back, "<i2"), 0x4000, atol=1)
+
+
+def test_known_speed_needs_no_measure(spark):
+    df = spark.createDataFrame([(1, [0.1] * 8000, 10.0), (2, [0.0] * 8000, None)], "k int, audio array<float>, wpm double")
+    got = {r["k"]: len(r["audio"]) for r in signal.normalize_speed(df, known_wpm="wpm").collect()}
+    assert got == {1: 4000, 2: 8000}  # half speed is stretched to half the length
+
+
+def test_top_tokens_and_folded_frames(spark):
+    df = spark.createDataFrame([([0.1, 0.9, 0.9, 0.2, 5.0],)], "p array<double>")
+    r = df.select(ctc.top_tokens(F.col("p"), 3).alias("t"), ctc.folded(F.col("p"), 3).alias("f")).first()
+    assert r["t"] == [4, 1, 2] and r["f"] == [0.2, 5.0, 0.9]
+
+
+def test_shares_are_the_same_everywhere(spark):
+    df = spark.range(4000).withColumn("x", splits.drawn(1, "a", "id", 0.3)).withColumn("y", splits.drawn(1, "a", "id", 1.0)).withColumn("z", splits.drawn(1, "a", "id", 0.0))
+    n = df.agg(F.count_if("x").alias("x"), F.count_if("y").alias("y"), F.count_if("z").alias("z")).first()
+    assert 1080 < n["x"] < 1320 and n["y"] == 4000 and n["z"] == 0

@@ -19,11 +19,21 @@ def cer(pred: Column, target: Column, variant: str = "nospace") -> Column:
     return F.when(by == 0, F.when(F.length(p) == F.length(t), 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / by)
 
 
+def _character(n: Column) -> Column:
+    """A character of its own for each number from 1 on, past those that UTF-16 keeps for its pairs."""
+    at = F.when(n < 55_040, n + 256).otherwise(n + 2304)
+    pair = F.concat(F.hex(55_232 + F.shiftright(at, 10)), F.hex(56_320 + at.bitwiseAND(F.lit(1023))))
+    return F.decode(F.unhex(F.when(at < 65_536, F.lpad(F.hex(at), 4, "0")).otherwise(pair)), "UTF-16BE")
+
+
 def wer(pred: Column, target: Column) -> Column:
-    """The same over words: each distinct word of the pair becomes one character, so the built-in distance does the work."""
+    """The same over words: each distinct word of the pair becomes one character, so the built-in distance does the work.
+
+    Good for a million distinct words in a pair; like every edit distance its work grows with the product of the two lengths.
+    """
     p, t = words(F.upper(pred)), words(F.upper(target))
     known = F.array_distinct(F.concat(p, t))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 256), 4, "0")), "UTF-16BE")
+    letter = lambda w: _character(F.array_position(known, w))
     spell = lambda ws: F.array_join(F.transform(ws, letter), "")
     return F.when(F.size(t) == 0, F.when(F.size(p) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(spell(p), spell(t)) / F.size(t))
 

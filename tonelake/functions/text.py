@@ -95,15 +95,32 @@ def word_units(word: Column) -> Column:
     return F.greatest(F.aggregate(known, F.lit(0), lambda a, u: a + u) + GAP_CHAR * (F.size(known) - 1), F.lit(1))
 
 
+def sums_before(values: Column, run: int = 256) -> Column:
+    """Of an array of doubles the sum of all before each. It is built in runs: appending to one long array would cost the square of its length."""
+    state = "struct<at:double,out:array<double>>"
+    first = lambda at: F.struct(at.alias("at"), F.array().cast("array<double>").alias("out")).cast(state)
+    put = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(state)
+
+    def of(v: Column) -> Column:
+        part = lambda k: F.slice(v, k * run + 1, F.lit(run))
+        runs = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / run).cast("int"))
+        totals = F.transform(runs, lambda k: F.aggregate(part(k), F.lit(0.0), lambda n, x: n + x))
+        starts = F.aggregate(totals, first(F.lit(0.0)), put, lambda acc: acc["out"])
+        sums = F.flatten(F.transform(starts, lambda at, k: F.aggregate(part(k), first(at), put, lambda acc: acc["out"])))
+        return F.when(F.size(v) > 0, sums).otherwise(F.array().cast("array<double>"))
+
+    return let(values, of)
+
+
 def word_spans(text: Column) -> Column:
     """Start and end of every word in units, a word gap between."""
-    first = F.struct(F.lit(0.0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        end = acc["at"] + word_units(w)
-        return F.struct((end + float(GAP_WORD)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start_u"), end.alias("end_u"), w.alias("word")))).alias("out"))
+    def of(ws: Column) -> Column:
+        units = F.transform(ws, lambda w: word_units(w).cast("double"))
+        starts = lambda u: sums_before(F.transform(u, lambda x: x + float(GAP_WORD)))
+        span = lambda u, at: F.transform(ws, lambda w, i: F.struct(F.get(at, i).alias("start_u"), (F.get(at, i) + F.get(u, i)).alias("end_u"), w.alias("word")))
+        return let(units, lambda u: let(starts(u), lambda at: span(u, at)))
 
-    return F.aggregate(words(text), first, step, lambda acc: acc["out"])
+    return let(words(text), of).cast(SPAN)
 
 
 def slice_by_fraction(text: Column, frac_s: Column | float, frac_e: Column | float) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHUNK_SECONDS, SAMPLE_RATE, VOCABULARY
+from ..sources.io import stored
 
 
 def overlap_windows(df: DataFrame, key: str, n_samples: str, window: int = int(CHUNK_SECONDS) * SAMPLE_RATE, step: int = 7 * SAMPLE_RATE) -> DataFrame:
@@ -71,15 +72,36 @@ def ngram_lm(texts: DataFrame, text: str, n: int = 3) -> DataFrame:
     return counts.join(total, "context").join(F.broadcast(size)).select("context", "ch", F.ln((F.col("count") + 1) / (F.col("total") + F.col("v"))).alias("logp"), F.ln(1 / (F.col("total") + F.col("v"))).alias("unseen"), "v")  # ``size`` is one row
 
 
+#: Rows of a model that are shared with every task; a larger one is joined by shuffle.
+MODEL_ROWS = 1_000_000
+
+
 def lm_score(texts: DataFrame, key: str, text: str, lm: DataFrame, n: int = 3) -> DataFrame:
-    """Sum of log-probabilities of the characters after their contexts; a context that was never seen gives the uniform share."""
+    """Sum of log-probabilities of the characters after their contexts; a context that was never seen gives the uniform share.
+
+    The model is a table of its own, written once. If it is small (over this alphabet it has at most 55 ** 3 rows), every n-gram meets it in
+    place, and only one partial sum of each text is shuffled.
+    """
+    model = stored(lm.select(F.concat("context", "ch").alias("g"), "context", "logp", "unseen", "v"))
+    rows, size = model.agg(F.count("*"), F.max("v")).first()
+    place = F.broadcast if rows <= MODEL_ROWS else lambda df: df
+    contexts = model.groupBy("context").agg(F.first("unseen").alias("unseen"))
     grams = texts.select(key, F.explode(ngrams(F.col(text), n, include_last=True)).alias("g"))
-    grams = grams.groupBy(key, F.substring("g", 1, n - 1).alias("context"), F.substring("g", n, 1).alias("ch")).agg(F.count("*").alias("m"))
-    contexts = lm.groupBy("context").agg(F.first("unseen").alias("unseen"))
-    size = lm.agg(F.max("v").alias("v"))
-    joined = grams.join(lm.select("context", "ch", "logp"), ["context", "ch"], "left").join(contexts, "context", "left").join(F.broadcast(size))
-    per = F.coalesce("logp", "unseen", F.ln(1 / F.col("v")))
-    return joined.groupBy(key).agg(F.sum(per * F.col("m")).alias("score"), F.sum("m").alias("n"))
+    joined = grams.join(place(model.select("g", "logp")), "g", "left").withColumn("context", F.substring("g", 1, n - 1)).join(place(contexts), "context", "left")
+    per = F.coalesce("logp", "unseen", F.lit(-math.log(size)) if size else F.lit(0.0))
+    return joined.groupBy(key).agg(F.sum(per).alias("score"), F.count("*").alias("n"))
+
+
+def top_tokens(frame: Column, k: int) -> Column:
+    """Numbers of the ``k`` highest scores of a frame, best first; of equal scores the first."""
+    ranked = F.array_sort(F.transform(frame, lambda p, i: F.struct((-p).alias("p"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, k), lambda x: x["i"])
+
+
+def folded(frame: Column, width: int) -> Column:
+    """A wide score vector as a frame of ``width`` signs: sign i has the best score of places i, i + width, ..."""
+    places = lambda i: F.sequence(i, F.size(frame) - 1, F.lit(width))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_max(F.transform(places(i), lambda k: F.get(frame, k))))
 
 
 def prefix_search(frames: np.ndarray, lm: dict | None, width: int, alpha: float, n: int = 3, vocabulary: list[str] = VOCABULARY) -> str:

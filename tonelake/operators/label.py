@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import CHUNK_SECONDS, MIN_WORDS_DURATION, MIN_WPM_EPISODE, PSEUDO_CHUNK_SECONDS
-from ..functions.text import clean_vocab, slice_by_chars, slice_by_fraction, words
+from ..functions.constants import CHUNK_SECONDS, MIN_WORDS_ALIGNED, MIN_WORDS_DURATION, MIN_WPM_EPISODE, MIN_WPM_SEQUENTIAL, PSEUDO_CHUNK_SECONDS, TARGET_WPM
+from ..functions.text import character_speed, clean_vocab, slice_by_chars, slice_by_fraction, word_spans, words
+from ..sources.io import stored
 
 TIMED = "array<struct<word:string,start_s:double,end_s:double>>"
 
@@ -47,6 +48,22 @@ def segment_offsets(segments: DataFrame, key: str, order: str, seconds: str) ->
     return segments.withColumn("seg_start_s", start).withColumn("seg_end_s", start + F.col(seconds))
 
 
+def label_sequential(segments: DataFrame, texts: DataFrame, key: str, order: str, seconds: str, text: str, min_wpm: float = MIN_WPM_SEQUENTIAL, min_words: int = MIN_WORDS_DURATION, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
+    """Chunks of datasets that are many segments with one text: ``key, chunk_idx, text, start_s, end_s, wpm, pieces``.
+
+    The dataset's rate is its words over the sum of its segments; one that is slower than ``min_wpm`` gives nothing. Words are dealt at that rate over
+    the whole time line, and ``pieces`` names the parts of segments whose sound a chunk is joined from, in order.
+    """
+    line = segment_offsets(segments, key, order, seconds)
+    total = line.groupBy(key).agg(F.max("seg_end_s").alias("__total"))
+    chunks = label_by_duration(texts.join(total, key), key, text, "__total", min_wpm, min_words, chunk_s)
+    both = overlapping(chunks, line.select(key, order, "seg_start_s", "seg_end_s"), key, chunk_s)
+    start, end = F.greatest("seg_start_s", "start_s"), F.least("seg_end_s", "end_s")
+    piece = F.struct(F.col("seg_start_s"), F.col(order).alias("segment"), (start - F.col("seg_start_s")).alias("from_s"), (end - F.col("seg_start_s")).alias("to_s"))
+    got = both.groupBy(key, "chunk_idx").agg(F.first("text").alias("text"), F.first("start_s").alias("start_s"), F.first("end_s").alias("end_s"), F.first("wpm").alias("wpm"), F.sort_array(F.collect_list(piece)).alias("__p"))
+    return got.withColumn("pieces", F.transform("__p", lambda p: F.struct(p["segment"].alias("segment"), p["from_s"].alias("from_s"), p["to_s"].alias("to_s")))).drop("__p")
+
+
 def overlapping(chunks: DataFrame, segments: DataFrame, key: str, bucket_s: float = CHUNK_SECONDS) -> DataFrame:
     """Chunks with the segments that they overlap: an equi-join on time buckets, then the exact test. Each pair comes once."""
     def buckets(a: str, b: str) -> Column:
@@ -60,11 +77,31 @@ def overlapping(chunks: DataFrame, segments: DataFrame, key: str, bucket_s: floa
 
 
 def proportional_chunks(recordings: DataFrame, key: str, text: str, seconds: str, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
-    """Equal shares of a recording, each with the words that its share of the time covers."""
+    """Equal shares of a recording, each with the words that its share of the time covers.
+
+    A recording's words are placed once; each goes to the one or two shares that it touches, so the work grows with words plus
+    shares. Only shares that no word touches (a gap longer than a share) look at the whole recording for the nearest one.
+    """
     n = F.greatest(F.lit(1), F.ceil(F.col(seconds) / chunk_s).cast("int"))
-    rows = recordings.withColumn("__n", n).withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rows = recordings.select(key, F.col(text).alias("__text"), n.alias("__n"), word_spans(F.col(text)).alias("__spans")).withColumn("__total", F.try_element_at("__spans", F.lit(-1))["end_u"])
+    shares = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("chunk_idx"), "__n").select(key, "chunk_idx", (F.col("chunk_idx") / F.col("__n")).alias("frac_s"), ((F.col("chunk_idx") + 1) / F.col("__n")).alias("frac_e"))
+    placed = rows.select(key, "__n", "__total", F.posexplode("__spans").alias("__i", "__w")).select(key, "__n", "__total", "__i", "__w.*")
+    near = lambda c, d: F.greatest(F.lit(0), F.least(F.col("__n") - 1, F.floor(F.col(c) / F.col("__total") * F.col("__n")).cast("int") + d))
+    placed = placed.withColumn("chunk_idx", F.explode(F.sequence(near("start_u", -1), near("end_u", 1))))
     fs, fe = F.col("chunk_idx") / F.col("__n"), (F.col("chunk_idx") + 1) / F.col("__n")
-    return rows.select(key, "chunk_idx", fs.alias("frac_s"), fe.alias("frac_e"), slice_by_fraction(F.col(text), fs, fe).alias("text"))
+    placed = placed.withColumn("__a", fs * F.col("__total")).withColumn("__b", fe * F.col("__total")).where((F.col("end_u") > F.col("__a")) & (F.col("start_u") < F.col("__b")))
+    margin = F.least((F.col("__b") - F.col("__a")) * 0.15, F.col("__total") * 0.05)
+    low = F.when(fs <= 0.02, F.col("__a")).otherwise(F.least(F.col("__b"), F.col("__a") + margin))
+    high = F.when(fe >= 0.98, F.col("__b")).otherwise(F.greatest(F.col("__a"), F.col("__b") - margin))
+    middle = (F.col("start_u") + F.col("end_u")) / 2
+    core = F.when((middle >= low) & (middle <= high), F.struct("__i", "word"))
+    joined = lambda c: F.upper(F.array_join(F.transform(F.sort_array(c), lambda x: x["word"]), " "))
+    got = placed.groupBy(key, "chunk_idx").agg(F.collect_list(core).alias("__core"), F.collect_list(F.struct("__i", "word")).alias("__all"))
+    got = got.select(key, "chunk_idx", F.when(F.size("__core") > 0, joined(F.col("__core"))).otherwise(joined(F.col("__all"))).alias("__got"))
+    every = shares.join(got, [key, "chunk_idx"], "left")
+    empty = every.where("__got is null").drop("__got").join(rows.select(key, "__text"), key)
+    rest = empty.select(key, "chunk_idx", "frac_s", "frac_e", slice_by_fraction(F.col("__text"), F.col("frac_s"), F.col("frac_e")).alias("text"))
+    return every.where("__got is not null").select(key, "chunk_idx", "frac_s", "frac_e", F.col("__got").alias("text")).unionByName(rest)
 
 
 def label_pseudo(decoded: DataFrame, key: str, text: str, seconds: str, chunk_s: float = PSEUDO_CHUNK_SECONDS) -> DataFrame:
@@ -143,6 +180,38 @@ def align_words(df: DataFrame, key: str, decoded: str, truth: str, fill: bool =
     return df.select(key, decoded, truth).mapInPandas(run, f"{key} {kind}, aligned {TIMED}")
 
 
+def label_aligned(decoded: DataFrame, key: str, words_at: str, text: str, seconds: str, error: str | None = None, min_words: int = MIN_WORDS_ALIGNED, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
+    """The aligned labelling job: ``key, chunk_idx, text, n_words, start_s, end_s, error``.
+
+    ``words_at``: decoded words with times. Transcript words take their times, missing ones are filled in, and chunks with ``min_words`` words stay
+    under their number among all chunks. A recording that gives none is one row with what went wrong; nothing is passed over in silence.
+    """
+    truth = words(clean_vocab(F.col(text)))
+    known = F.col(error) if error else F.lit(None).cast("string")
+    wrong = F.coalesce(known, F.when(F.coalesce(F.size(truth), F.lit(0)) <= 0, "no text"), F.when(F.coalesce(F.size(words_at), F.lit(0)) <= 0, "nothing decoded"))
+    rows = decoded.select(key, F.col(words_at).alias("__decoded"), truth.alias("__truth"), F.col(seconds).alias("__s"), wrong.alias("__wrong"))
+    good = rows.where("__wrong is null")
+    aligned = align_words(good, key, "__decoded", "__truth").join(good.select(key, "__s"), key)
+    chunks = chunk_aligned(aligned, key, "aligned", "__s", chunk_s).where(F.col("n_words") >= min_words)
+    short = good.select(key).join(chunks.select(key).distinct(), key, "left_anti").select(key, F.lit("too few words").alias("error"))
+    failed = rows.where("__wrong is not null").select(key, F.col("__wrong").alias("error")).unionByName(short)
+    return chunks.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+
+
+def label_recordings(recordings: DataFrame, key: str, content: str, text: str, wpm: str) -> DataFrame:
+    """The same from stored recordings: PCM or WAV bytes to sound, pulses and words at the declared speed of their signs."""
+    from . import pulses, signal
+
+    heard = signal.decode_pcm(recordings.select(key, content, text, wpm), content, "__audio", "__error")
+    heard = stored(heard.withColumn("__seconds", signal.seconds(F.col("__audio"))).drop(content))
+    flat = signal.to_pulses(heard.where(F.size("__audio") > 0), key, "__audio")
+    heard = heard.drop("__audio")
+    dit = heard.select(key, (1.2 / F.coalesce(character_speed(F.col(wpm)), F.lit(TARGET_WPM))).alias("dit_s"))
+    got = pulses.decode_words(flat, dit, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "word"))).alias("__words"))
+    silent = F.coalesce("__error", F.when(F.coalesce("__seconds", F.lit(0.0)) <= 0, "no sound"))
+    return label_aligned(heard.join(got, key, "left").withColumn("__error", silent), key, "__words", text, "__seconds", "__error")
+
+
 def chunk_aligned(df: DataFrame, key: str, aligned: str, seconds: str, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
     """Chunks of timed words: a word that starts ``chunk_s`` or more after the chunk's first one opens the next.
 

@@ -19,6 +19,11 @@ def sample_per_episode(chunks: DataFrame, episode: str, chunk: str, n: int, seed
     return chunks.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+def audible(chunks: DataFrame, wpm: str, above: float = 5.0) -> DataFrame:
+    """Chunks that an audit can judge: very slow ones have stretched gaps, which no decoder reads well. An unknown speed stays."""
+    return chunks.where(F.col(wpm).isNull() | (F.col(wpm) > above))
+
+
 def audit_episodes(scored: DataFrame, episode: str, cer: str = "cer", bad_above: float = 0.5) -> DataFrame:
     """Mean, median and share of bad chunks; a chunk whose decoding failed (null) counts as wholly wrong."""
     c = F.coalesce(F.col(cer), F.lit(1.0))

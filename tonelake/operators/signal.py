@@ -11,15 +11,15 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import SAMPLE_RATE, TARGET_WPM, WPM_HIGH, WPM_LOW
 
-PULSES = "array<struct<start_s:double,dur_s:double,is_tone:boolean>>"
-ROWS_PER_BATCH = 16
+#: Rows whose waveforms a task holds at a time.
+ROWS_AT_A_TIME = 16
 
 
 # --- one waveform ---
@@ -71,7 +71,11 @@ def bandpass(x: np.ndarray, centre: float, width: float = 400) -> np.ndarray:
     low, high = max(50.0, centre - width / 2), min(SAMPLE_RATE / 2 - 50, centre + width / 2)
     n = 1 << int(np.ceil(np.log2(max(8192, 2 * len(x)))))
     z = np.exp(2j * np.pi * np.fft.rfftfreq(n))
-    response = np.prod([np.polyval(num, z) / np.polyval(den, z) for num, den in band_sections(low, high)], axis=0)
+    sections, square = band_sections(low, high), z * z
+    below = np.ones_like(z)
+    for _, den in sections:
+        below *= square + den[1] * z + den[2]
+    response = np.prod([num[0] for num, _ in sections]) * (square - 1) ** len(sections) / below  # every numerator is z^2 - 1, times a gain
     return np.fft.irfft(np.fft.rfft(x, n) * response, n)[: len(x)]
 
 
@@ -81,15 +85,6 @@ def envelope(x: np.ndarray, window_ms: float = 5) -> np.ndarray:
     return np.sqrt((x[: len(x) // k * k].reshape(-1, k).astype(float) ** 2).mean(1))
 
 
-def binarize(rms: np.ndarray) -> np.ndarray:
-    if not len(rms):
-        return np.empty(0, bool)
-    wide = np.concatenate([rms[:1], rms, rms[-1:]])
-    smooth = (wide[:-2] + wide[1:-1] + wide[2:]) / 3
-    low, high = np.percentile(smooth, [10, 90])
-    return smooth > low + 0.35 * (high - low)
-
-
 def runs(on: np.ndarray, frame_s: float) -> list[tuple[float, float, bool]]:
     if not len(on):
         return []
@@ -97,9 +92,9 @@ def runs(on: np.ndarray, frame_s: float) -> list[tuple[float, float, bool]]:
     return [(a * frame_s, (b - a) * frame_s, bool(on[a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def pulses_of(x: np.ndarray, carrier_hz: float | None = None, window_ms: float = 5) -> list[tuple[float, float, bool]]:
-    hz = carrier(x) if carrier_hz is None else carrier_hz
-    return runs(binarize(envelope(bandpass(x, hz), window_ms)), int(SAMPLE_RATE * window_ms / 1000) / SAMPLE_RATE)
+def levels(x: np.ndarray, carrier_hz: float | None = None, window_ms: float = 5) -> np.ndarray:
+    """Power of each frame in a band around the carrier."""
+    return envelope(bandpass(x, carrier(x) if carrier_hz is None else carrier_hz), window_ms)
 
 
 def speed(x: np.ndarray, window_ms: float = 2) -> float:
@@ -190,26 +185,69 @@ def disturbed(x: np.ndarray, seed: int) -> np.ndarray:
 # --- columns ---
 
 
-def _mapped(df: DataFrame, inputs: list[str], out: str, kind: str, fn) -> DataFrame:
-    """``df`` with ``out`` = fn(*inputs) for each row; a null first input gives null."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    schema = T.StructType([f for f in df.schema if f.name != out]).add(out, T._parse_datatype_string(kind))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = zip(*[p[c] for c in inputs], strict=True)
-            got = [None if r[0] is None else fn(*r) for r in rows]
-            yield p.drop(columns=[out], errors="ignore").assign(**{out: pd.Series(got, index=p.index, dtype=object)})
-
-    return df.mapInPandas(run, schema)
-
-
-def decode_pcm(df: DataFrame, raw: str = "content", out: str = "audio") -> DataFrame:
-    return _mapped(df, [raw], out, "array<float>", lambda b: pcm(bytes(b)))
-
-
-def render(df: DataFrame, events: str, out: str = "audio", hz: float = 700, noise: float = 0.0) -> DataFrame:
-    """``events``: array<struct<dur_s, is_tone>>."""
+def _cells(column: pa.Array) -> list:
+    """Values of a column; lists of floats as arrays without a copy."""
+    if not (pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type)):
+        return column.to_pylist()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    cuts = column.offsets.to_numpy()
+    return [flat[i:j] if ok else None for i, j, ok in zip(cuts[:-1], cuts[1:], column.is_valid().to_pylist(), strict=True)]
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """The other way: arrays of one or two dimensions as lists, anything else as it is."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    some = [v for v in values if v is not None]
+    cuts = pa.array(np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32))
+    inner = kind.value_type
+    if pa.types.is_list(inner):
+        rows = np.concatenate(some) if some else np.empty((0, 0))
+        flat = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)), pa.array(rows.ravel(), inner.value_type))
+    else:
+        flat = pa.array(np.concatenate(some) if some else np.empty(0), inner)
+    return pa.ListArray.from_arrays(cuts, flat, mask=pa.array([v is None for v in values]))
+
+
+def _mapped(df: DataFrame, inputs: list[str], out: str, kind: str, fn, error: str | None = None) -> DataFrame:
+    """``df`` with ``out`` = fn(*inputs) for each row; a null first input gives null. With ``error`` a failed row has null and the message there."""
+    schema = T.StructType([f for f in df.schema if f.name not in (out, error)]).add(out, T._parse_datatype_string(kind))
+    new = [schema[out]]
+    if error:
+        schema = schema.add(error, "string")
+
+    def one(row: tuple) -> tuple:
+        try:
+            return (None if row[0] is None else fn(*row)), None
+        except Exception as e:  # noqa: BLE001 - the message is part of the result
+            if error is None:
+                raise
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS_AT_A_TIME):
+                p = whole.slice(k, ROWS_AT_A_TIME)
+                got = [one(r) for r in zip(*[_cells(p.column(c)) for c in inputs], strict=True)]
+                columns = {c: p.column(c) for c in p.schema.names if c not in (out, error)}
+                columns[out] = _column([g for g, _ in got], to_arrow_type(new[0].dataType))
+                if error:
+                    columns[error] = pa.array([e for _, e in got], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return df.mapInArrow(run, schema)
+
+
+def decode_pcm(df: DataFrame, raw: str = "content", out: str = "audio", error: str | None = None) -> DataFrame:
+    return _mapped(df, [raw], out, "array<float>", lambda b: pcm(bytes(b)), error)
+
+
+def render(df: DataFrame, events: str, out: str = "audio", hz: float | str = 700, noise: float = 0.0) -> DataFrame:
+    """``events``: array<struct<dur_s, is_tone>>; ``hz``: one tone for all, or a column."""
+    if isinstance(hz, str):
+        return _mapped(df, [events, hz], out, "array<float>", lambda e, f: rendered(np.array([x["dur_s"] for x in e]), [x["is_tone"] for x in e], hz=f, noise=noise))
     return _mapped(df, [events], out, "array<float>", lambda e: rendered(np.array([x["dur_s"] for x in e]), [x["is_tone"] for x in e], hz=hz, noise=noise))
 
 
@@ -217,20 +255,35 @@ def detect_carrier(df: DataFrame, audio: str = "audio", out: str = "carrier_hz")
     return _mapped(df, [audio], out, "double", lambda x: round(carrier(np.asarray(x)), 1))
 
 
-def to_pulses(df: DataFrame, audio: str = "audio", out: str = "pulses") -> DataFrame:
-    return _mapped(df, [audio], out, PULSES, lambda x: [{"start_s": a, "dur_s": b, "is_tone": c} for a, b, c in pulses_of(np.asarray(x))])
+def encode_pcm(df: DataFrame, audio: str = "audio", out: str = "content") -> DataFrame:
+    """Waveforms as bare 16-bit samples."""
+    return _mapped(df, [audio], out, "binary", lambda x: np.round(np.clip(np.asarray(x), -1, 1) * 32767).astype("<i2").tobytes())
+
+
+def to_pulses(df: DataFrame, key: str, audio: str = "audio", window_ms: float = 5) -> DataFrame:
+    """``key, start_s, dur_s, is_tone``. Only the filter runs on whole waveforms in a task; frames become pulses in windows over each recording."""
+    from ..sources.io import stored
+    from .pulses import binarize_frames, frames_to_pulses, moving_mean
+
+    frames = _mapped(df.select(key, audio), [audio], audio, "array<double>", lambda x: levels(np.asarray(x), None, window_ms))
+    frames = stored(frames).select(key, F.posexplode(audio).alias("frame", "level"))  # read twice: for the bounds and for the frames
+    on = binarize_frames(moving_mean(frames, key, "frame", "level"), key, "smooth")
+    return frames_to_pulses(on, key, "frame", "is_on", int(SAMPLE_RATE * window_ms / 1000) / SAMPLE_RATE)
 
 
 def detect_wpm(df: DataFrame, audio: str = "audio", out: str = "wpm") -> DataFrame:
     return _mapped(df, [audio], out, "double", lambda x: speed(np.asarray(x)))
 
 
-def normalize_speed(df: DataFrame, audio: str = "audio", out: str = "audio", target: float = TARGET_WPM) -> DataFrame:
+def normalize_speed(df: DataFrame, audio: str = "audio", out: str = "audio", target: float = TARGET_WPM, known_wpm: str | None = None) -> DataFrame:
+    """Stretched to the target speed; ``known_wpm``: a column of speeds, where null the speed is measured."""
+    if known_wpm:
+        return _mapped(df, [audio, known_wpm], out, "array<float>", lambda x, w: at_speed(np.asarray(x), w, target))
     return _mapped(df, [audio], out, "array<float>", lambda x: at_speed(np.asarray(x), None, target))
 
 
 def log_mel(df: DataFrame, audio: str = "audio", out: str = "mel") -> DataFrame:
-    return _mapped(df, [audio], out, "array<array<float>>", lambda x: [list(r) for r in log_mel_of(np.asarray(x))])
+    return _mapped(df, [audio], out, "array<array<float>>", lambda x: log_mel_of(np.asarray(x)))
 
 
 def augment(df: DataFrame, key: str, seed: int, audio: str = "audio") -> DataFrame:
@@ -238,11 +291,28 @@ def augment(df: DataFrame, key: str, seed: int, audio: str = "audio") -> DataFra
     return _mapped(seeded, [audio, "__seed"], audio, "array<float>", lambda x, s: disturbed(np.asarray(x), int(s))).drop("__seed")
 
 
+def prepared(df: DataFrame, key: str, seed: int, audio: str = "audio", normalize_share: float = 0.5, augment_share: float = 0.5) -> DataFrame:
+    """A share of the rows at the target speed, a share disturbed, each drawn by a hash of its own; ``normalized`` and ``augmented`` say which."""
+    from .splits import drawn
+
+    rows = df.withColumn("normalized", drawn(seed, "normalize", key, normalize_share)).withColumn("augmented", drawn(seed, "augment", key, augment_share)).withColumn("__seed", F.xxhash64(F.lit(seed), F.col(key)))
+
+    def one(x, normalize: bool, augment: bool, s: int) -> np.ndarray:
+        x = np.asarray(x)
+        x = at_speed(x) if normalize else x
+        return disturbed(x, int(s)) if augment else x
+
+    return _mapped(rows, [audio, "normalized", "augmented", "__seed"], audio, "array<float>", one).drop("__seed")
+
+
 def decode_audio(df: DataFrame, key: str, audio: str = "audio", known_wpm: float | None = None) -> DataFrame:
-    """Words of recordings: waveforms become pulses in tasks, pulses become words in windows."""
+    """Words of recordings. The pulses are written once, as their speed and their words are found from them."""
+    from ..sources.io import stored
     from .pulses import decode_words, estimate_dit
 
-    flat = to_pulses(df.select(key, audio), audio).select(key, F.explode("pulses").alias("p")).select(key, "p.*")
+    flat = to_pulses(df, key, audio)
+    if not known_wpm:
+        flat = stored(flat)
     return decode_words(flat, 1.2 / known_wpm if known_wpm else estimate_dit(flat, key), key)
 
 
@@ -252,7 +322,7 @@ def peak_normalized(audio: Column) -> Column:
 
 
 def rms(audio: Column) -> Column:
-    return F.sqrt(F.aggregate(audio, F.lit(0.0), lambda a, x: a + x * x) / F.size(audio))
+    return F.sqrt(F.aggregate(audio, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(audio))
 
 
 def seconds(audio: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
 from .quality import hash_order
 
 #: Keys that may be broadcast; above it Spark shuffles both sides.
@@ -29,9 +30,11 @@ def pick_evenly(sources: DataFrame, bucket: str, order: str, k: int) -> DataFram
 
 def holdout_sources(sources: DataFrame, source: str, bucket: str, order: list[str], target: int = 50) -> DataFrame:
     """Whole sources until ``target`` chunks are held out: one from each bucket in turn, each time the one whose size is nearest to what
-    is missing (then the smaller, then the first by key); then from all. Looks at the table of sources only, one row a step."""
+    is missing (then the smaller, then the first by key); then from all. Each choice depends on the one before. The table of sources is
+    written once; a step reads it and brings one row, and as each source has a chunk at least there are ``target`` steps at most."""
     chosen: list[tuple] = []
-    total, fields = 0, sources.select(source, bucket, "n").schema
+    sources = stored(sources.select(source, bucket, "n"))
+    total, fields = 0, sources.schema
 
     def take(pool: DataFrame) -> bool:
         nonlocal total
@@ -86,6 +89,30 @@ def training_set(chunks: DataFrame, excluded: DataFrame, chunk: str, source: str
     return out.where(F.coalesce(F.col(wpm), F.lit(0.0)) >= min_wpm) if wpm and min_wpm > 0 else out
 
 
+def skip_counts(chunks: DataFrame, excluded: DataFrame, chunk: str, source: str, wpm: str, min_wpm: float) -> DataFrame:
+    """One row: how many chunks a training set leaves out as held-out files, as held-out sources, as too slow, and how many it keeps."""
+    rows = chunks.select(chunk, source, wpm)
+    for kind, key in (("file", chunk), ("source", source)):
+        keys = excluded.where(F.col("kind") == kind).select(F.col("key").alias(key), F.lit(True).alias(f"__{kind}"))
+        if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        rows = rows.join(keys, key, "left")
+    file, held = F.col("__file").isNotNull(), F.col("__file").isNotNull() | F.col("__source").isNotNull()
+    slow = ~held & (F.coalesce(F.col(wpm), F.lit(0.0)) < min_wpm)
+    return rows.agg(F.count_if(file).alias("held_files"), F.count_if(held & ~file).alias("held_sources"), F.count_if(slow).alias("low_speed"), F.count_if(~held & ~slow).alias("kept"))
+
+
+def usable(chunks: DataFrame, name: str, n_samples: str) -> DataFrame:
+    """Chunks with sound, without those whose name says that they are tests."""
+    return chunks.where((F.col(n_samples) > 0) & ~F.col(name).rlike("^test_"))
+
+
+def drawn(seed: int, what: str, key: str, share: float) -> Column:
+    """Whether a row is in a share of all, by a hash of seed, purpose and key: the same on every engine and partitioning."""
+    bar = f"{int(share * (1 << 32)):09x}"  # nine digits, so that a share of 1 takes all
+    return F.concat(F.lit("0"), F.substring(F.md5(F.concat(F.lit(f"{seed}:{what}:"), F.col(key).cast("string"))), 1, 8)) < bar
+
+
 def leaks(train: DataFrame, held: DataFrame, key: str) -> DataFrame:
     """Keys on both sides; must be empty."""
     return train.select(key).intersect(held.select(key))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ RESULT = "timestamp timestamp_ntz, checkpoint string, decoder string, kaggle_cer
 CASES = "timestamp timestamp_ntz, synthetic map<string,struct<target:string,decoded:string,wpm:double,bucket:string,content_type:string,cer:double,wer:double>>"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder that the cluster shares; a temporary one where none is set in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-tonelake-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/tonelake-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table written once to the shared folder: what reads it several times does not compute it several times, and a lost executor costs no more than a read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_recordings(spark: SparkSession, path: str, wpm: float | None = None) -> DataFrame:
     """Binary files with the speed of their folder and their base name; decode ``content`` with ``signal.decode_pcm``."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -36,8 +57,8 @@ def pair(recordings: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """``ID,PREDICTION`` rows with the name of the clip; a blank transcript is null (unlabelled)."""
-    rows = spark.read.csv(path, header=True, schema="ID int, PREDICTION string")
+    """``ID,PREDICTION`` rows with the name of the clip; a blank transcript is null (unlabelled). Quoted transcripts may have several lines."""
+    rows = spark.read.csv(path, header=True, schema="ID int, PREDICTION string", multiLine=True, escape='"')
     t = F.trim("PREDICTION")
     return rows.select(F.format_string("cw%03d.wav", "ID").alias("clip"), F.when(t != "", t).alias("transcript"))
 
@@ -93,6 +114,12 @@ def write_chunks(chunks: DataFrame, path: str, by: tuple[str, ...] = ("dataset",
     out.mode("overwrite" if replace else "append").parquet(path)
 
 
+def write_label_map(rows: DataFrame, name: str, text: str, path: str) -> None:
+    """One JSON object file of name -> text; such a map is one document, so it is for small tables."""
+    pairs = F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, text))))
+    rows.agg(F.to_json(pairs).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """A small report as one JSON document."""
     rows.agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).write.mode("overwrite").json(path)
