@@ -12,7 +12,7 @@ from ..functions import keys, metrics, text
 from ..functions.constants import CODES, SIGNS, VOCABULARY, units
 from ..operators import ctc, evaluate, label, pulses, quality, signal, splits
 from ..sources import io
-from ..streaming import logs
+from ..streaming import arrivals, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -757,6 +757,42 @@ def improvements(spark, d):
     return logs.improvements(logs.parse_epochs(_lines(spark, d)), "run").select("run", "epoch", "is_best")
 
 
+# --- streams ---
+
+
+def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's files as a stream, as if they arrived."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+
+
+DURATION_SQL = SQL["duration_chunks"]
+
+
+@query(DURATION_SQL)
+def arriving_labels(spark, d):
+    """Texts labelled as they arrive; a second run over the same files adds nothing."""
+    out, checkpoint = io.scratch(spark), io.scratch(spark)
+    rows = _streamed(spark, d, "benchmark").select("item_id", "text", (F.length("text") / 9.0).alias("seconds"))
+    for _ in range(2):
+        arrivals.label_arrivals(rows, lambda x: label.label_by_duration(x, "item_id", "text", "seconds"), "item_id", out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+
+
+@query("""WITH e AS (SELECT event_type AS run, CAST(event_id AS INT) AS epoch, value AS cer FROM events WHERE event_id > 0), g AS (SELECT *, sum(CASE WHEN cer < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS g FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY run, g ORDER BY epoch) AS k FROM g WHERE cer < 40) SELECT run, epoch, round(cer, 6) AS cer FROM k WHERE k = 3""")
+def streamed_alarms(spark, d):
+    """The stateful alarm over events as training epochs: each time three in a row are below the target."""
+    out, checkpoint = io.scratch(spark), io.scratch(spark)
+    rows = _streamed(spark, d, "events").where("event_id > 0").select(F.col("event_type").alias("run"), F.col("event_id").cast("int").alias("epoch"), F.col("value").alias("cer"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        logs.stream_target_alarm(rows, target=40.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema("run string, epoch int, cer double").parquet(out).withColumn("cer", r6("cer"))
+
+
 # --- waveforms ---
 
 RECORDING_WORDS = 4
