@@ -219,7 +219,8 @@ def identify(docs: DataFrame, labelled: DataFrame, model: str, keep: list[str],
     """The columns ``keep`` of every row, ``lang_pred`` and ``score`` (its share among the learned languages, 0 to 1).
 
     A null text or one without a letter is ``und`` with score 0; so is every text when nothing can be learned. Rows
-    without a language or text teach nothing. Repeated rows give repeated rows; columns not in ``keep`` are not carried.
+    without a language or text teach nothing. Very long texts are read whole; of languages that tie the first by name is taken. Repeated rows
+    give repeated rows; columns not in ``keep`` are not carried, so their names cannot clash. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     body: Column = F.col(text).cast("string")

@@ -55,8 +55,8 @@ def _run(batches, model: str, begin_end: bool, digests: bool):
 def encode_decode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", begin_end: bool = True, digests: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again; one row per input row.
 
-    Null text counts as empty: begin and end ids only, decoded to ''. Null ids stay null, repeated rows give
-    repeated rows, an empty table gives none; other columns are not carried, so their names cannot clash.
+    Null text counts as empty: begin and end ids only, decoded to ''. Very long texts are encoded whole. Null ids stay null, repeated
+    rows give repeated rows, an empty table gives none; other columns are not carried, so their names cannot clash.
     With ``digests`` the lists and texts are replaced by their SHA-256.
     """
     small_batches(docs.sparkSession)
