@@ -33,9 +33,17 @@ class PrefixTable(BpeTable):
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         super().__init__(json_path, ranks_path, pattern)
         self.pattern, self.gaps = regex.compile(pattern), regex.compile(r"\s\s+")
-        self.reach = [0] * 256  # the longest token that ends in a byte
-        for t in self.ranks:
-            self.reach[t[-1]] = max(self.reach[t[-1]], len(t))
+        # tokens as a tree from their last byte on: the child of a node by a byte, and the token that a node completes
+        self.nodes: dict[int, int] = {}
+        self.ends: list[int | None] = [None]
+        for t, i in self.ranks.items():
+            at = 0
+            for c in reversed(t):
+                if (at << 8 | c) not in self.nodes:
+                    self.nodes[at << 8 | c] = len(self.ends)
+                    self.ends.append(None)
+                at = self.nodes[at << 8 | c]
+            self.ends[at] = i
         merges = json.loads(self.exact.to_str())["model"]["merges"]
         name = {i: t for t, i in self.ranks.items()}
         of = {self.exact.id_to_token(i): t for i, t in name.items()}
@@ -85,7 +93,7 @@ class PrefixTable(BpeTable):
     def solve(self, words: list[str]) -> dict[str, list[int]]:
         """Token counts at every character of each pre-token. In sorted order a word begins with what it shares with the one before it, already solved."""
         out: dict[str, list[int]] = {}
-        rank, apart, reach = self.ranks.get, self.pairs.get, self.reach
+        child, ends_of, apart = self.nodes.get, self.ends, self.pairs.get
         before, last, count = b"", [0], [0]
         for raw, word in sorted((w.encode(), w) for w in words):
             same = 0
@@ -95,8 +103,10 @@ class PrefixTable(BpeTable):
                 same += 1
             del last[same + 1 :], count[same + 1 :]
             for j in range(same + 1, len(raw) + 1):
-                for i in range(max(0, j - reach[raw[j - 1]]), j):
-                    t = rank(raw[i:j])
+                at = 0
+                for i in range(j - 1, -1, -1):
+                    at = child(at << 8 | raw[i])
+                    t = ends_of[at]
                     if t is None:
                         continue
                     if i:
@@ -214,7 +224,8 @@ def _run(batches, files: tuple, budget: int, arrays: bool):
 def prefix_counts(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row with ``prefix_tokens``: at place i (from 0) the tokens of the first i + 1 characters.
 
-    Null text counts as empty (no prefixes, 0 tokens). Repeated rows give repeated rows; other columns are not carried.
+    Null text counts as empty (no prefixes, 0 tokens); very long texts are counted whole, also where they have no white space. Null ids, ties
+    and repeated rows are rows like any other; other columns are not carried, so their names cannot clash. An empty table gives no rows.
     Special strings count as the one token that they are once complete.
     """
     return _apply(docs, (json_path, ranks_path, pattern), 0, True, doc_id, text)
