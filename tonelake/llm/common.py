@@ -94,6 +94,14 @@ def joined_by_key(rows: DataFrame, keys: DataFrame, on: str, total: int) -> Data
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
 
 
+def with_body(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
+    """The columns ``keep``, and the name of the one that holds the text: a string column among them is not shipped twice."""
+    if text in keep and dict(docs.dtypes)[text] == "string":
+        return docs.select(*keep), text
+    body = unused("body", keep)
+    return docs.select(*keep, F.col(text).cast("string").alias(body)), body
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, or a longer one that none of the columns has, in whatever case."""
     taken = {c.lower() for c in columns}

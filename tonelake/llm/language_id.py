@@ -15,11 +15,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored, texts_of
-from .tables import ChunkTable
+from .common import slices, small_batches, stored, texts_of, with_body
+from .tables import ChunkTable, held
 
 #: Labelled texts that the model is fitted on, about at most, shared out evenly among the languages; and at least so many of each.
 SAMPLE, EACH = 6000, 500
@@ -196,15 +196,10 @@ def fit(labelled: DataFrame, model: str, lang: str = "lang", text: str = "text",
     return langs, p, np.log((sizes + 1) / (sizes.sum() + len(langs)))
 
 
-_kept: dict = {}
-
-
-def _predict(batches, vocab: dict[str, int], shared, langs: list[str], prior: np.ndarray, name: str):
-    if _kept.get("of") != name:
-        _kept.update(of=name, table=WordScores(vocab, _padded(shared.value, vocab)))
-    table = _kept["table"]
-    for batch in slices(batches, "__body"):
-        codes, counts = table.look_up([words_of(t) for t in texts_of(batch, "__body")])
+def _predict(batches, vocab: dict[str, int], shared, langs: list[str], prior: np.ndarray, name: str, body: str, n_keep: int):
+    table = held((WordScores, name), lambda: WordScores(vocab, _padded(shared.value, vocab)))
+    for batch in slices(batches, body):
+        codes, counts = table.look_up([words_of(t) for t in texts_of(batch, body)])
         sums = np.concatenate([np.zeros((1, len(langs))), np.cumsum(table.scores[codes], 0, dtype=np.float64)])
         ends = np.cumsum(counts)
         total = sums[ends] - sums[ends - counts] + prior
@@ -212,7 +207,7 @@ def _predict(batches, vocab: dict[str, int], shared, langs: list[str], prior: np
         chance = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         some = counts > 0
         names = [langs[b] if s else "und" for b, s in zip(best, some, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(some, chance, 0.0))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(names, pa.string()), pa.array(np.where(some, chance, 0.0))], names=[*batch.schema.names[:n_keep], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, labelled: DataFrame, model: str, keep: list[str], lang: str = "lang", text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -223,8 +218,7 @@ def identify(docs: DataFrame, labelled: DataFrame, model: str, keep: list[str],
     give repeated rows; columns not in ``keep`` are not carried, so their names cannot clash. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    body: Column = F.col(text).cast("string")
-    rows = docs.select(*keep, body.alias("__body"))
+    rows, body = with_body(docs, keep, text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
     found = fit(labelled, model, lang, text, order)
     if found is None:
@@ -232,4 +226,4 @@ def identify(docs: DataFrame, labelled: DataFrame, model: str, keep: list[str],
     langs, p, prior = found
     vocab = vocabulary(model)
     shared, name = docs.sparkSession.sparkContext.broadcast(p), uuid.uuid4().hex
-    return rows.mapInArrow(lambda it: _predict(it, vocab, shared, langs, prior, name), ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(lambda it: _predict(it, vocab, shared, langs, prior, name, body, len(keep)), ", ".join([*fields, "lang_pred string", "score double"]))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices, small_batches, with_body
 from .shingles import flat_bytes, mixed, word_hashes, word_spans
 
 #: Trusted and unlabelled texts that the model is fitted on, about at most.
@@ -169,10 +169,10 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     return Model(x[t], x[~t]) if t.any() and (~t).any() else None
 
 
-def _score(batches, shared):
-    for batch in slices(batches, "__body"):
-        s = shared.value.scores(features(batch.column(batch.num_columns - 1)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names=[*batch.schema.names[:-1], "score"])
+def _score(batches, shared, body: str, n_keep: int):
+    for batch in slices(batches, body):
+        s = shared.value.scores(features(batch.column(batch.schema.get_field_index(body))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(s)], names=[*batch.schema.names[:n_keep], "score"])
 
 
 def classify(docs: DataFrame, learn_from: DataFrame, trusted: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,12 +183,12 @@ def classify(docs: DataFrame, learn_from: DataFrame, trusted: DataFrame, keep: l
     names cannot clash. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__body"))
+    rows, body = with_body(docs, keep, text)
     model = fit(learn_from, trusted, doc_id, text)
     if model is None:
         scored = rows.select(*keep, F.lit(0.5).alias("score"))
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema]
-        scored = rows.mapInArrow(lambda it: _score(it, shared), ", ".join([*fields, "score double"]))
+        scored = rows.mapInArrow(lambda it: _score(it, shared, body, len(keep)), ", ".join([*fields, "score double"]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

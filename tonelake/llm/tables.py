@@ -235,7 +235,12 @@ def kept(kind: type, *args):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (kind, args) not in _kept:
+    return held((kind, args), lambda: kind(*args))
+
+
+def held(key: tuple, build):
+    """One table at a time: what an earlier stage left in the worker is given up before another is built."""
+    if key not in _kept:
         _kept.clear()
-        _kept[kind, args] = kind(*args)
-    return _kept[kind, args]
+        _kept[key] = build()
+    return _kept[key]
