@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, language_id, near_copies, packing, piece_codec, prefix_counts, pu_quality, quality_rules, secret_scan, vector_copies
+from . import collocations, context_tree, language_id, near_copies, packing, piece_codec, prefix_counts, pu_quality, quality_rules, secret_scan, spelling, url_filter, vector_copies
 from .common import fold
 
 #: Where the public vocabularies are; a parameter of every operator that reads one.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
+#: The URL rules of the query, as its contract states them.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,4 +74,16 @@ def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_context_tree_lm, op3_quality_classifier, op4_vector_copies, op5_secret_spans, op6_language_id, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_context_tree_lm, op3_quality_classifier, op4_vector_copies, op5_secret_spans, op6_language_id, op7_packing, op8_token_counts, op9_minhash_near_copies, op10_quality_rules, op11_spelling_variants, op12_phrase_collocations, op13_url_filter)}
