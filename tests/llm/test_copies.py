@@ -69,6 +69,38 @@ def test_near_copies_equal_all_pairs(spark, width, monkeypatch):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
 
 
+@pytest.mark.parametrize("ids", [(1, 5, 5, 9), (5, 1, 9, 5), (9, 5, 1, 5), (5, 9, 5, 1), (5, 5, 1, 9), (5, 5, 5, 5)])
+def test_texts_that_share_an_id(spark, ids):
+    """Two pairs of near copies, ids in all places: each pair is a component of its own, with one first class."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    texts = [a, a + " q", b, b + " z"]
+    got = near_copies.near_copies(spark.createDataFrame([(i, t, t[0]) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, pair string"), keep=["pair"]).collect()
+    for pair, own in (("a", ids[:2]), ("b", ids[2:])):
+        rows = [r for r in got if r["pair"] == pair]
+        assert {r["component_id"] for r in rows} == {min(own)} and sum(r["first"] for r in rows) == 1 and len({r["class_id"] for r in rows}) == 2
+        assert all(r["kept"] == (r["doc_id"] == min(own)) for r in rows) and all(r["kept"] for r in rows if r["first"])
+
+
+def test_repeated_ids_against_all_pairs(spark, monkeypatch):
+    """Random ids with repetitions over copies, near copies and repeated rows, in meetings of one block and of many."""
+    texts = [t for t in made_texts() if t and t.strip()]
+    rng = np.random.default_rng(9)
+    rows = [(int(i), t) for i, t in zip(rng.integers(0, 60, len(texts)), texts, strict=True)]
+    rows += rows[:40]
+    sets = [shingles(t, 5) for _, t in rows]
+    label = component_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(least.get(c, i), i)
+    want = sorted((i, t, least[c]) for (i, t), c in zip(rows, label, strict=True))
+    for block in (1024, 16):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), keep=["text"]).collect()
+        assert sorted((r["doc_id"], r["text"], r["component_id"]) for r in got) == want
+        heads = {r["class_id"] for r in got if r["first"]}
+        assert len(heads) == len(set(label))
+
+
 @pytest.mark.parametrize("rounds", [0, 4])
 def test_large_meetings_lose_no_link(spark, rounds, monkeypatch):
     """Chains and rings of near copies around hot documents, in meetings of many blocks, with and without the rounds against one document."""

@@ -35,6 +35,10 @@ ROUNDS = 4
 BROADCAST_ROWS = 1_000_000
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signed(batches, width: int, size: int, names: list[str]):
     hasher = MinHasher(size)
     for batch in slices(batches):
@@ -43,7 +47,7 @@ def _signed(batches, width: int, size: int, names: list[str]):
         signatures = hasher([sets[i] for i in full]) if full else np.empty((0, size), np.uint32)
         sig, digest = [None] * len(sets), [None] * len(sets)
         for i, row in zip(full, signatures, strict=True):
-            sig[i], digest[i] = row.tobytes(), hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+            sig[i], digest[i] = row.tobytes(), _digest(sets[i])
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), *batch.columns[2:]], names=names)
 
 
@@ -79,7 +83,7 @@ def _sets(batches, width: int, size: int):
     hasher = MinHasher(size)
     for batch in slices(batches):
         sets = shingle_sets(batch.column(1), width)
-        full = [i for i, s in enumerate(sets) if len(s)]
+        full = [i for i, (s, d) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)) if len(s) and _digest(s) == d]
         nodes = batch.column(0).to_pylist()
         sig = hasher([sets[i] for i in full]) if full else []
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in full], pa.int64()), pa.array([sets[i].tobytes() for i in full], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["node", "shingles", "sig"])
@@ -126,7 +130,7 @@ def linked(sets: list[np.ndarray], signatures: np.ndarray, need: int, percent: i
 
 
 def _meet(rows: pd.DataFrame, need: int, percent: int) -> pd.DataFrame:
-    rows = rows.drop_duplicates(["node", "shingles"]).sort_values("node", ignore_index=True)
+    rows = rows.sort_values("node", ignore_index=True)
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
     signatures = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
     node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
@@ -137,14 +141,13 @@ def _meet(rows: pd.DataFrame, need: int, percent: int) -> pd.DataFrame:
 def _against_one(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Every member of a slice against the meeting's one: 0 linked, 1 near enough to reach one that is linked, 2 beyond that."""
     first, rest = rows[rows["first"]], rows[~rows["first"]]
-    ones = [np.frombuffer(s, np.uint64) for s in first["shingles"].drop_duplicates()]  # more than one only where texts share an id
+    one = np.frombuffer(first["shingles"].iloc[0], np.uint64)
     zone = np.full(len(rest), 2)
     for k, s in enumerate(rest["shingles"]):
         x = np.frombuffer(s, np.uint64)
-        for one in ones:
-            common = overlap(one, x)
-            union = len(one) + len(x) - common
-            zone[k] = min(zone[k], 0 if 100 * common >= percent * union else 1 if 100 * common >= (2 * percent - 100) * union else 2)
+        common = overlap(one, x)
+        union = len(one) + len(x) - common
+        zone[k] = 0 if 100 * common >= percent * union else 1 if 100 * common >= (2 * percent - 100) * union else 2
     return pd.DataFrame({"hub": rest["hub"], "node": rest["node"], "weight": rest["weight"], "one": first["node"].iloc[0], "zone": zone})
 
 
@@ -205,12 +208,14 @@ def _meeting_links(members: DataFrame, sets: DataFrame, need: int, percent: int)
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, size: int = 32, need: int = 14, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked id), ``kept``, and the columns ``keep`` as they are.
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked id), ``kept``, ``first``, ``class_id``, and the columns ``keep`` as they are.
 
     Two texts are linked when 100 * common shingles >= ``percent`` * all their shingles. With ``size`` 32 and ``need`` 14 a pair
     right at 80 % falls below ``need`` collisions about twice in a million; every pair that reaches it is confirmed exactly.
-    Null texts and texts without words link with nothing; very long ones are read whole. A row without an id cannot be named: it links
-    with nothing, its component is null and it is kept. Rows that share an id are judged by their own texts, repeated rows alike. A pair
+    What is compared is sets of shingles, each a class (``class_id``) of the rows that have it; ids come in at the end, so rows that share an id are
+    judged by their own texts. ``kept`` is ``doc_id = component_id``; ``first`` marks the rows of one class of each component, that of the smallest id
+    (then the smallest class), also where ids repeat. Null texts and texts without words link with nothing, have no class, are kept and first;
+    very long ones are read whole. A row without an id cannot be named: it links with nothing, its component is null and it is kept and first. A pair
     right at ``percent`` is a link. Empty tables give no rows; columns not in ``keep`` are not carried, so their names cannot clash.
     """
     spark = docs.sparkSession
@@ -223,16 +228,23 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, size: int =
     names = [k.split()[0] for k in kinds]
     signed = stored(wide.mapInArrow(lambda it: _signed(it, width, size, names), ", ".join(kinds)))
     named = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig")))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))  # any number of its own; written, so it stays
     members = meetings(classes.select("node", "weight", "sig"), size, need)
-    wanted = stored(members.select("node").distinct())
-    side = wanted.withColumnRenamed("node", "doc_id")
-    if wanted.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    sets = stored(rows.join(side, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lambda it: _sets(it, width, size), "node long, shingles binary, sig binary"))
-    joined = components(stored(_meeting_links(members, sets, need, percent)), "a", "b")
-
-    named_class = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    out = signed.join(named_class, "digest", "left").select("doc_id", "n_shingles", component.cast("long").alias("component_id"), *(F.col(x).alias(f.name) for f, x in zip(more, extra, strict=True)))
+    wanted = stored(members.select("node").distinct().join(classes.select("node", "digest", F.col("least").alias("doc_id")), "node"))
+    count = wanted.count()
+    side = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
+    sets = stored(rows.join(side, "doc_id").select("node", "text", "digest").mapInArrow(lambda it: _sets(it, width, size), "node long, shingles binary, sig binary"))
+    if sets.count() > count:  # repeated rows
+        sets = stored(sets.dropDuplicates(["node"]))
+    joined = stored(components(stored(_meeting_links(members, sets, need, percent)), "a", "b").join(classes.select("node", "digest", "least"), "node"))
+    firsts = stored(joined.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("least", "digest")).alias("head")))
+    heads = joined_by_key(joined.select("component", "digest"), firsts, "component", joined.count()).select("digest", "head")
+    every = classes.join(heads, "digest", "left").select("digest", F.coalesce("head.least", "least").alias("component"), F.coalesce("head.digest", "digest").alias("head"))
+
+    out = signed.join(every, "digest", "left")
+    unnamed = F.col("doc_id").isNull()
+    component = F.when(~unnamed, F.coalesce("component", "doc_id"))
+    first = unnamed | F.col("digest").isNull() | ((F.col("doc_id") == F.col("component")) & (F.col("digest") == F.col("head")))
+    out = out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), first.alias("first"), F.when(~unnamed, F.hex("digest")).alias("class_id"), *(F.col(x).alias(f.name) for f, x in zip(more, extra, strict=True)))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

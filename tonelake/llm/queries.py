@@ -71,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_copies.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
