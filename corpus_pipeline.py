@@ -46,11 +46,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of texts linked by 80 % of their five-word shingles, the one with the smallest id stays.
 
     Texts without words are no copies of each other and stay. Rows without an id stay. Repeated rows (one id, one text) become one row, with
-    the smallest of their other columns; different texts under one id are judged each for itself. Very long texts are read whole; an
-    empty table stays empty.
+    the smallest of their other columns; different texts under one id are judged each for itself, and of linked ones under one id one stays.
+    Very long texts are read whole; an empty table stays empty.
     """
     marked = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
-    kept = near_copies.near_copies(marked, width=5, percent=80, keep=["text_hash"]).where("kept and doc_id is not null").select("doc_id", "text_hash").distinct()
+    found = near_copies.near_copies(marked, width=5, percent=80, keep=["text_hash"]).where("first and doc_id is not null")
+    same = F.coalesce("class_id", F.concat(F.lit("text "), F.col("text_hash").cast("string")))  # one text of those with equal shingles
+    kept = found.groupBy("doc_id", same.alias("same")).agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
     named = marked.join(kept, ["doc_id", "text_hash"], "left_semi")
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     one = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
