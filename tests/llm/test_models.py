@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -160,7 +161,7 @@ def test_language_id(spark):
     right = [r["lang_pred"] == lang[r["doc_id"]] for r in got if lang[r["doc_id"]]]
     assert np.mean(right) > 0.97
     for r in got:
-        letters = re.search(r"[^\W\d_]", r["text"] or "")
+        letters = any(unicodedata.category(c)[0] == "L" for c in r["text"] or "") or None
         assert (r["lang_pred"] == "und") == (letters is None) and 0 <= r["score"] <= 1
     none = language_id.identify(docs, docs.limit(0), PIECE_MODEL, ["doc_id"]).select("lang_pred").distinct().collect()
     assert [r["lang_pred"] for r in none] == ["und"]
@@ -184,6 +185,60 @@ def test_language_id_of_scripts_without_case(spark):
     assert 0 < got[200]["score"] <= 1
 
 
+def test_letters_are_those_of_unicode(spark):
+    """Numbers of all kinds are no letters; marks stay with theirs; a pair of languages of one script with vowel signs is told apart."""
+    assert [language_id.words_of(t) for t in ("½ ② Ⅷ 5 _", "हिन्दी Ünï a1b", "x́y")] == [[], ["हिन्दी", "ünï", "a", "b"], ["x́y"]]
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    found = {c for c in every if language_id.words_of(c)}
+    assert found == {c for c in every if any(unicodedata.category(x)[0] == "L" for x in c.lower())}
+    rng = np.random.default_rng(4)
+    parts = {"hi": ["है", "की", "में", "नहीं", "यह", "और"], "mr": ["आहे", "ची", "मध्ये", "नाही", "हा", "आणि"]}
+    rows = [(i, " ".join(rng.choice(parts[x], 12)), x, None, None) for i in range(120) for x in [("hi", "mr")[i % 2]]]
+    odd = [(500 + k, t, None, None, None) for k, t in enumerate(("½", "②", "Ⅷ", "ि"))] + [(600, "की " * 40_000, None, None, None)]
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, docs.where("doc_id % 4 <> 0"), PIECE_MODEL, ["doc_id"]).collect()}
+    assert all(got[i]["lang_pred"] == x for i, _, x, *_ in rows)
+    assert all((got[500 + k]["lang_pred"], got[500 + k]["score"]) == ("und", 0.0) for k in range(4)) and got[600]["lang_pred"] == "hi"
+
+
+def test_long_words_equal_the_recursion():
+    """Words far beyond what plain products can hold: sums over all segmentations, and expected pieces, as of short ones."""
+    vocab = {"▁": 0, "a": 1, "b": 2, "▁a": 3, "ab": 4, "▁ab": 5, "aba": 6}
+    rng = np.random.default_rng(5)
+    p = np.append(rng.random((7, 3)) / 10, [[0.0] * 3, [1e-9] * 3], axis=0)
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    for n in (3, 39, 40, 41, 500):
+        word = "".join(rng.choice(list("aabx"), n))
+        marked = "▁" + word
+        want = np.full((n + 2, 3), -np.inf)
+        want[0] = 0
+        for j in range(1, n + 2):
+            for i in range(max(0, j - 4), j):
+                q = p[vocab[marked[i:j]]] if marked[i:j] in vocab else p[8] if j == i + 1 else p[7]
+                with np.errstate(divide="ignore"):
+                    want[j] = np.logaddexp(want[j], want[i] + np.log(q))
+        lattice = language_id.Lattice([word, word], vocab)
+        assert np.allclose(lattice.totals(p, log_p), want[-1], atol=1e-6)
+        assert np.allclose(lattice.log_forward(log_p)[-1], want[-1], atol=1e-6)
+        used = lattice.expected(p, np.array([[1.0, 0, 2], [0, 0, 0]]))
+        sizes = np.array([*map(len, vocab), 0, 1])[:, None]
+        assert np.allclose((used * sizes).sum(0), [n + 1, 0, 2 * (n + 1)])
+
+
+def test_very_long_texts_of_models(spark):
+    """One run of 30,000 letters, and a text of a million characters, beside plain ones."""
+    rows = corpus(60) + [(900, "ka" * 15_000, None, None, None), (901, "ka lo mi " * 110_000, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, docs.where("lang is not null"), PIECE_MODEL, ["doc_id"]).collect()}
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "aa" and got[901]["score"] > 0.99
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    assert all(0 <= r["score"] <= 1 for r in pu_quality.classify(docs, docs, trusted, ["doc_id"]).collect())
+    held = F.col("doc_id") == 901
+    scored = {r["doc_id"]: r for r in context_tree.score(docs, docs.where("doc_id <> 901"), held).collect()}
+    assert scored[901]["n_tokens"] == 330_001 and scored[901]["score"] < scored[901]["n_tokens"] * -0.0001 and scored[900]["n_tokens"] == 2
+
+
 def test_language_sample_keeps_rare_languages(spark, monkeypatch):
     """However few rows the sample has, each language is learned; the prior follows the full counts."""
     monkeypatch.setattr(language_id, "SAMPLE", 20)
@@ -367,9 +422,14 @@ def rule_scores(texts, good):
         every.update(grams(t))
         if i in good:
             trusted.update(grams(t))
-    share = max(sum(trusted.values()), 1) / max(sum(every.values()), 1)
-    ratio = {b: round(math.log((trusted[b] + quality_rules.DRAW * share) / (n + quality_rules.DRAW) / share), 4) for b, n in every.items()}
-    return [sum(ratio[b] for b in grams(t)) / (len(grams(t)) + quality_rules.PRIOR) for t in texts]
+    out = []
+    for i, t in enumerate(texts):  # without the document's own n-grams
+        own = collections.Counter(grams(t))
+        size, mine = sum(own.values()), i in good
+        share = max(sum(trusted.values()) - mine * size, 1) / max(sum(every.values()) - size, 1)
+        ratio = lambda b, c: math.log((trusted[b] - mine * c + quality_rules.DRAW * share) / (every[b] - c + quality_rules.DRAW) / share)
+        out.append(sum(c * ratio(b, c) for b, c in own.items()) / (size + quality_rules.PRIOR))
+    return out
 
 
 def test_quality_scores_equal_plain_python(spark):
@@ -382,8 +442,9 @@ def test_quality_scores_equal_plain_python(spark):
     trusted = spark.createDataFrame([(i,) for i in good], "doc_id long")
     got = {r["doc_id"]: r for r in quality_rules.judge(docs, trusted).collect()}
     want = rule_scores(texts, good)
-    assert np.allclose([got[i]["score"] for i in range(len(texts))], want, atol=1e-6)
-    assert all(got[i]["kept"] == (not got[i]["base_failed"] and want[i] >= quality_rules.THRESHOLD) for i in range(len(texts)))
+    assert np.allclose([got[i]["score"] for i in range(len(texts))], want, atol=1e-4)
+    bar = np.percentile([math.floor(got[i]["score"] * 1000) for i in good if not got[i]["base_failed"]], 100 * quality_rules.LOSE) / 1000
+    assert all(got[i]["kept"] == (not got[i]["base_failed"] and got[i]["score"] >= bar) for i in range(len(texts)))
 
 
 def test_quality_rules(spark):
@@ -400,11 +461,24 @@ def test_quality_rules(spark):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, *rest), t
         assert r["base_failed"] == (n < 50 or 100 * rest[3] > 50 * n) and not (r["base_failed"] and r["kept"])
-    assert all(got[i]["score"] >= quality_rules.THRESHOLD for i in range(60)) and not any(got[i]["kept"] for i in range(60, 75))
+    assert sum(got[i]["kept"] for i in range(60)) >= 57 and not any(got[i]["kept"] for i in range(60, 75))
     assert {r["score"] for r in quality_rules.judge(docs, trusted.limit(0)).collect()} == {0.0}
     assert quality_rules.judge(docs.limit(0), trusted).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_of_unseen_documents(spark, size):
+    """Half of the good labels are trusted: the other half is kept as often, and bad documents that pass the base mostly go."""
+    d = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    got = quality_rules.judge(spark.read.parquet(f"{d}/documents.parquet"), labels.where((F.col("quality") == 1) & seen))
+    rows = got.where("not base_failed").join(labels, "doc_id").select("quality", seen.alias("seen"), "kept").collect()
+    share = lambda q, s=None: np.mean([r["kept"] for r in rows if r["quality"] == q and s in (None, r["seen"])])
+    assert share(1, False) >= share(1, True) - 0.05 and share(1, False) > 0.95
+    assert share(0) < {"sf0.01": 0.3, "sf0.1": 0.05}[size]
+
+
 def test_fold(spark):
     got = [r[0] for r in spark.createDataFrame([(5,), (None,)], "doc_id long").select(fold("doc_id", 5)).collect()]
     assert got == [zlib.crc32(b"5") % 5, 0]

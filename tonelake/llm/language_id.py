@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +28,37 @@ from .tables import ChunkTable, held
 #: Labelled texts that the model is fitted on, about at most, shared out evenly among the languages; and at least so many of each.
 SAMPLE, EACH = 6000, 500
 ROUNDS = 3
-LONGEST_PIECE, LONGEST_WORD = 16, 48
+LONGEST_PIECE = 16
+#: Words longer than this are summed as logarithms, which neither overflow nor fall to 0.
+PLAIN = 40
 #: Probability of a letter that is no piece.
 UNKNOWN = 1e-9
-#: Every piece counts times this for each of its letters, else the product over a long word of a large script falls to 0.
+#: Every piece counts times this for each of its letters, else the product over a word of a large script falls to 0.
 SCALE = 1e6
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def _pattern() -> re.Pattern:
+    """A letter of any script, then letters and the marks that scripts write on them."""
+    kinds = {"L": [], "M": []}
+    for c in range(sys.maxunicode + 1):
+        own = kinds.get(unicodedata.category(chr(c))[0])
+        if own is not None:
+            if own and own[-1][1] == c - 1:
+                own[-1][1] = c
+            else:
+                own.append([c, c])
+    letters, marks = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in kinds[k]) for k in "LM")
+    return re.compile(f"[{letters}][{letters}{marks}]*")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case with a marker in front; very long runs are cut into words of ``LONGEST_WORD``."""
-    found = _LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    """Runs of letters in lower case, with their marks."""
+    return _pattern().findall(text.lower())
+
+
+def _is_word(text: str) -> bool:
+    return all(unicodedata.category(c)[0] in "LM" for c in text) and text != ""
 
 
 def vocabulary(model: str) -> dict[str, int]:
@@ -46,7 +67,7 @@ def vocabulary(model: str) -> dict[str, int]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    good = [p for p in pieces if len(p) <= LONGEST_PIECE and (p == "▁" or p.removeprefix("▁").isalpha() and p == p.lower())]
+    good = [p for p in pieces if len(p) <= LONGEST_PIECE and (p == "▁" or _is_word(p.removeprefix("▁")) and p == p.lower())]
     return {p: i for i, p in enumerate(good)}
 
 
@@ -54,27 +75,44 @@ class Lattice:
     """Arcs of all segmentations of words of one length: for each (start, end) the piece of every word, or none."""
 
     def __init__(self, words: list[str], vocab: dict[str, int]):
-        self.n = len(words[0]) + 1
-        marked = ["▁" + w for w in words]
-        none, letter = len(vocab), len(vocab) + 1
-        self.arcs = []
-        for j in range(1, self.n + 1):
-            for i in range(max(0, j - LONGEST_PIECE), j):
-                other = letter if j == i + 1 else none
-                ids = np.fromiter((vocab.get(w[i:j], other) for w in marked), np.int64, len(words))
-                if j == i + 1 or (ids != none).any():
-                    self.arcs.append((i, j, ids))
+        self.n, self.size = len(words[0]) + 1, len(words)
+        self.marked, self.vocab = ["▁" + w for w in words], vocab
+        self.arcs = [x for j in range(1, self.n + 1) for x in self.ending(j)] if self.n <= PLAIN else None
+
+    def ending(self, j: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Arcs that end at a place."""
+        none, letter = len(self.vocab), len(self.vocab) + 1
+        for i in range(max(0, j - LONGEST_PIECE), j):
+            other = letter if j == i + 1 else none
+            ids = np.fromiter((self.vocab.get(w[i:j], other) for w in self.marked), np.int64, self.size)
+            if j == i + 1 or (ids != none).any():
+                yield i, j, ids
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """``p``: pieces x languages, with a row of 0 and one of UNKNOWN at the end. Gives positions x words x languages."""
-        a = np.zeros((self.n + 1, len(self.arcs[0][2]), p.shape[1]))
+        a = np.zeros((self.n + 1, self.size, p.shape[1]))
         a[0] = 1
         for i, j, ids in self.arcs:
             a[j] += a[i] * p[ids]
         return a
 
+    def log_forward(self, log_p: np.ndarray) -> np.ndarray:
+        """The same with logarithms."""
+        a = np.full((self.n + 1, self.size, log_p.shape[1]), -np.inf)
+        a[0] = 0
+        for j in range(1, self.n + 1):
+            for i, _, ids in self.ending(j):
+                a[j] = np.logaddexp(a[j], a[i] + log_p[ids])
+        return a
+
+    def totals(self, p: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' sums."""
+        return np.log(self.forward(p)[-1]) if self.n <= PLAIN else self.log_forward(log_p)[-1]
+
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of every piece, for word counts of words x languages."""
+        if self.n > PLAIN:
+            return self._log_expected(p, counts)
         a = self.forward(p)
         b = np.zeros_like(a)
         b[self.n] = counts / a[self.n]
@@ -85,6 +123,25 @@ class Lattice:
             np.add.at(out, ids, a[i] * use)
         return out
 
+    def _log_expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            log_p, log_n = np.log(p), np.log(counts)
+        a = self.log_forward(log_p)
+        b = np.full_like(a, -np.inf)
+        b[self.n] = log_n - a[self.n]
+        out = np.zeros_like(p)
+        for j in range(self.n, 0, -1):
+            for i, _, ids in self.ending(j):
+                use = log_p[ids] + b[j]
+                b[i] = np.logaddexp(b[i], use)
+                np.add.at(out, ids, np.exp(a[i] + use))
+        return out
+
+
+def _together(n: int) -> int:
+    """How many words of ``n`` letters are solved at a time."""
+    return max(1, min(4096, 50_000 // (n + 1)))
+
 
 def _by_length(words: list[str]) -> dict[int, list[int]]:
     out = defaultdict(list)
@@ -100,6 +157,8 @@ class WordScores(ChunkTable):
 
     def __init__(self, vocab: dict[str, int], p: np.ndarray):
         self.vocab, self.p = vocab, p
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(p)
         self.clear()
 
     def clear(self) -> None:
@@ -108,11 +167,11 @@ class WordScores(ChunkTable):
 
     def fill(self, new: list) -> None:
         got = np.empty((len(new), self.p.shape[1]), np.float32)
-        for own in _by_length(new).values():
-            for k in range(0, len(own), 1024):
-                at = own[k : k + 1024]
+        for n, own in _by_length(new).items():
+            for k in range(0, len(own), _together(n)):
+                at = own[k : k + _together(n)]
                 lattice = Lattice([new[i] for i in at], self.vocab)
-                got[at] = np.log(lattice.forward(self.p)[-1]) - lattice.n * math.log(SCALE)
+                got[at] = lattice.totals(self.p, self.log_p) - lattice.n * math.log(SCALE)
         self.scores = np.concatenate([self.scores, got])
 
 
@@ -144,9 +203,9 @@ def _expect(batches, vocab: dict[str, int], shared, langs: list[str]):
     total = np.zeros_like(p)
     for batch in batches:
         lang, word, n = (c.to_pylist() for c in batch.columns)
-        for own in _by_length(word).values():
-            for k in range(0, len(own), 4096):
-                at = own[k : k + 4096]
+        for letters, own in _by_length(word).items():
+            for k in range(0, len(own), _together(letters)):
+                at = own[k : k + _together(letters)]
                 counts = np.zeros((len(at), len(langs)))
                 counts[np.arange(len(at)), [place[lang[i]] for i in at]] = [n[i] for i in at]
                 total += Lattice([word[i] for i in at], vocab).expected(p, counts)
@@ -213,7 +272,7 @@ def _predict(batches, vocab: dict[str, int], shared, langs: list[str], prior: np
 def identify(docs: DataFrame, labelled: DataFrame, model: str, keep: list[str], lang: str = "lang", text: str = "text", order: str = "doc_id") -> DataFrame:
     """The columns ``keep`` of every row, ``lang_pred`` and ``score`` (its share among the learned languages, 0 to 1).
 
-    A null text or one without a letter is ``und`` with score 0; so is every text when nothing can be learned. Rows
+    A null text or one without a letter (Unicode category L; numbers like ½ or Ⅷ are none) is ``und`` with score 0; so is every text when nothing can be learned. Rows
     without a language or text teach nothing. Very long texts are read whole; of languages that tie the first by name is taken. Repeated rows
     give repeated rows; columns not in ``keep`` are not carried, so their names cannot clash. An empty table gives no rows.
     """
