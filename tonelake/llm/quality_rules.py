@@ -2,7 +2,8 @@
 
 Two multinomials over hashed n-grams are counted: one from trusted documents, one from the whole corpus. An n-gram is one whole word
 or two neighbouring ones. A document's score is the mean log-ratio of its n-grams, drawn to 0 by ``PRIOR`` n-grams of ratio 1 so that
-a few words decide nothing; every document is kept or dropped by one fixed threshold.
+a few words decide nothing. Its own n-grams are taken out of both multinomials first, so a trusted document is judged like one that nobody has seen.
+One threshold for every document: the score below which a share ``LOSE`` of the trusted documents falls.
 
 The model is a table of ``SINGLES`` + ``PAIRS`` rows at most on any corpus, so it is broadcast; a text's n-grams meet it row by row
 and are summed before anything is shuffled.
@@ -10,6 +11,8 @@ and are summed before anything is shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ from .common import stored
 #: Hash buckets of words and of pairs: the model has this size on any corpus.
 SINGLES, PAIRS = 1 << 15, 3 << 15
 #: Occurrences at the corpus's own share that every bucket has beforehand: rare n-grams say little.
-DRAW = 3.0
+DRAW = 10.0
 PRIOR = 20
-THRESHOLD = -0.15
+LOSE = 0.01
+#: Log-ratios are summed as whole numbers of these, so that no order of adding matters.
+STEPS = 10_000
 #: The white space between words beside the blank itself.
 OTHER_SPACE = "\t\n\x0b\x0c\r"
 #: Ids that may be broadcast (8 bytes each); above it Spark shuffles both sides.
@@ -39,10 +44,11 @@ def hashes_of(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def counted(docs: DataFrame, text: str) -> DataFrame:
-    """``doc_id``, ``hashes`` of the words, and the base counts."""
+def counted(docs: DataFrame, text: str, more: list[str] | None = None) -> DataFrame:
+    """``doc_id``, the columns ``more``, ``hashes`` of the words, and the base counts."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select("doc_id", body.alias("body"), words_of(body).alias("words")).withColumn("n", F.size("words")).withColumn("hashes", hashes_of(F.col("words")))
+    more = more or []
+    rows = docs.select("doc_id", *more, body.alias("body"), words_of(body).alias("words")).withColumn("n", F.size("words")).withColumn("hashes", hashes_of(F.col("words")))
     windows = F.transform(F.slice("hashes", F.lit(1), F.greatest(F.col("n") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)))
     rows = rows.withColumn("windows", windows)
     rows = rows.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -52,6 +58,7 @@ def counted(docs: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("lines", lines)
     return rows.select(
         "doc_id",
+        *more,
         "hashes",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -68,36 +75,53 @@ def buckets(hashes: str) -> Column:
     return F.concat(singles, pairs)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``bucket, ratio``: log-ratio of every bucket seen, drawn to 0 where it is rare, from the n-grams of the trusted documents and of all documents."""
-    ids = trusted.select(F.col(doc_id).cast("long").alias("__id")).where("__id is not null").distinct()
-    side = F.broadcast(ids) if trusted.count() <= BROADCAST_ROWS else ids
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), body.alias("__text")).join(side.withColumn("__good", F.lit(1)), "__id", "left")
-    hashed = rows.select("__good", hashes_of(words_of(F.col("__text"))).alias("hashes"))
-    grams = hashed.select("__good", F.explode(buckets("hashes")).alias("bucket"))
-    counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count("__good").alias("good")))  # SINGLES + PAIRS rows at most
-    every, good = counts.agg(F.sum("n"), F.sum("good")).first()
-    share = max(good or 0, 1) / max(every or 0, 1)
-    return counts.select("bucket", F.round(F.log((F.col("good") + DRAW * share) / (F.col("n") + DRAW) / share), 4).alias("ratio"))
+def tallied(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``tally``: each bucket of the column ``hashes`` with its count ``c``, and ``size``: all of them."""
+    rows = rows.withColumn("own", F.sort_array(buckets("hashes"))).withColumn("size", F.size("own"))
+    rows = rows.withColumn("cuts", F.filter(F.transform("own", lambda b, i: F.when((i == 0) | (F.get("own", i - 1) != b), i)), lambda i: i.isNotNull()))
+    tally = F.transform("cuts", lambda at, k: F.struct(F.get("own", at).alias("bucket"), (F.coalesce(F.get("cuts", k + 1), F.col("size")) - at).alias("c")))
+    return rows.withColumn("tally", tally).drop("own", "cuts")
+
+
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """``bucket, n, good``: occurrences of every bucket seen, and those in trusted documents, of ``good, hashes``."""
+    grams = rows.select("good", F.explode(buckets("hashes")).alias("bucket"))
+    return stored(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("good"), 1)).alias("good")))  # SINGLES + PAIRS rows at most
+
+
+def scored(rows: DataFrame, counts: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``rid, good, hashes`` and ``score``: each document's own n-grams count in neither multinomial."""
+    every, trusted = counts.agg(F.sum("n"), F.sum("good")).first()
+    grams = tallied(rows).select("rid", "good", "size", *keep, F.explode_outer("tally").alias("x")).select("rid", "good", "size", *keep, "x.*")
+    met = grams.join(F.broadcast(counts.withColumnRenamed("good", "g")), "bucket", "left")
+    mine = F.col("good").cast("int")
+    share = F.greatest(F.lit(trusted or 0) - mine * F.col("size"), F.lit(1)) / F.greatest(F.lit(every or 0) - F.col("size"), F.lit(1))
+    ratio = F.log((F.col("g") - mine * F.col("c") + DRAW * share) / (F.col("n") - F.col("c") + DRAW) / share)
+    steps = F.sum(F.round(ratio * STEPS).cast("long") * F.col("c"))
+    # rows of a text stand together, so one row a text is shuffled
+    whole = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("good", "size", *keep)], steps.alias("steps"))
+    return whole.select("good", *keep, (F.coalesce("steps", F.lit(0)) / STEPS / (F.col("size") + PRIOR)).alias("score"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, lose: float = LOSE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept``.
 
-    ``trusted`` has the ids of trusted documents. Without any, every score is 0 and nothing is dropped for it. Null and empty texts
-    have no words and fail the base. Very long texts are read whole; a task holds the words of one at a time. Null ids, ties and
-    repeated rows are rows like any other; other columns are not carried, so their names cannot clash. An empty table gives no rows.
+    ``trusted`` has the ids of trusted documents; those that pass the base set the threshold, which ``lose`` of them miss. Without any, every score is 0 and
+    nothing is dropped for it. A score at the threshold is kept. Null and empty texts have no words and fail the base. Very long texts are read whole; a task
+    holds the words of one at a time. Null ids are never trusted; ties and repeated rows are rows like any other; other columns are not carried, so their
+    names cannot clash. An empty table gives no rows.
     """
-    rows = counted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text").withColumn("rid", F.monotonically_increasing_id())
-    if trusted.limit(1).count():
-        ratio = log_ratios(docs, trusted, doc_id, text)
-        grams = rows.select("rid", "doc_id", *BASE, F.explode_outer(buckets("hashes")).alias("bucket"))
-        met = grams.join(F.broadcast(ratio), "bucket", "left")
-        # rows of a text stand together, so one row a text is shuffled
-        whole = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("doc_id", *BASE)], F.sum("ratio").alias("total"), F.count("bucket").alias("n"))
-        rows = whole.withColumn("score", F.coalesce("total", F.lit(0.0)) / (F.col("n") + PRIOR))
-    else:
-        rows = rows.withColumn("score", F.lit(0.0))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", *BASE, failed.alias("base_failed"), "score").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    failed = ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed")
+    ids = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    some = ids.count()
+    if not some:
+        return counted(rows, "text").select("doc_id", *BASE, failed, F.lit(0.0).alias("score")).withColumn("kept", ~F.col("base_failed"))
+    side = ids.withColumn("__good", F.lit(True))
+    rows = rows.join(F.broadcast(side) if some <= BROADCAST_ROWS else side, "doc_id", "left").withColumn("good", F.coalesce("__good", F.lit(False)))
+    counts = bucket_counts(rows.select("good", hashes_of(words_of(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("hashes")))
+    found = counted(rows, "text", ["good"]).withColumn("rid", F.monotonically_increasing_id())
+    found = stored(scored(found, counts, ["doc_id", *BASE]).select("good", "doc_id", *BASE, failed, "score"))
+    bar = found.where("good and not base_failed").agg(F.percentile(F.floor(F.col("score") * 1000), F.lit(lose))).first()[0]  # few distinct values on any corpus
+    bar = F.lit(-math.inf if bar is None else bar / 1000)
+    return found.select("doc_id", *BASE, "base_failed", "score").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= bar))
