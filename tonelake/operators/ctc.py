@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHUNK_SECONDS, SAMPLE_RATE, VOCABULARY
 from ..sources.io import stored
+from .scans import joined_text, scan
 
 
 def overlap_windows(df: DataFrame, key: str, n_samples: str, window: int = int(CHUNK_SECONDS) * SAMPLE_RATE, step: int = 7 * SAMPLE_RATE) -> DataFrame:
@@ -46,6 +47,17 @@ def collapse(indices: Column) -> Column:
     return F.array_join(F.transform(kept, lambda e: F.get(names, e["x"])), "")
 
 
+def collapse_frames(frames: DataFrame, key: str, order: str, symbol: str) -> DataFrame:
+    """``key, frames, text`` of a table with one row a frame (its best sign): the same as ``collapse``, for utterances of any length.
+
+    A frame is compared with the one before it, also over the bounds of the slices that tasks work on.
+    """
+    rows = scan(frames.select(key, order, symbol), key, order, {"__before": ("lag", F.col(symbol))}, keep_slice=True)
+    kept = (F.col(symbol) != 0) & (F.col("__before").isNull() | (F.col(symbol) != F.col("__before")))
+    rows = rows.withColumn("__ch", F.when(kept, F.get(F.array(*map(F.lit, VOCABULARY)), F.col(symbol))))
+    return joined_text(rows, key, order, "__ch").withColumnRenamed("n", "frames")
+
+
 def reassemble(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     """Texts of windows in order, without empty ones."""
     item = F.when(F.trim(text) != "", F.struct(F.col(pos), F.trim(text).alias("t")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import scan
+
 
 def summarize_groups(results: DataFrame, bucket: str = "bucket", content: str = "content_type", cer: str = "cer") -> DataFrame:
     """Mean by bucket, by content type and overall, in one pass."""
@@ -25,11 +27,11 @@ def fold_summary(results: DataFrame, fold: str = "fold", cer: str = "cer", digit
 
 
 def run_deltas(runs: DataFrame, suite: str = "suite", ts: str = "ts", metric: str = "cer", same_within: float = 0.001) -> DataFrame:
-    """Difference to the run before it of the same suite."""
-    before = F.lag(metric).over(Window.partitionBy(suite).orderBy(ts))
-    delta = F.col(metric) - before
-    sign = F.when(before.isNull(), None).when(F.abs(delta) < same_within, "=").when(delta < 0, "better").otherwise("worse")
-    return runs.withColumn("delta", delta).withColumn("change", sign)
+    """Difference to the run before it of the same suite, which may have any number of runs."""
+    rows = scan(runs, suite, ts, {"__before": ("lag", F.col(metric))})
+    delta = F.col(metric) - F.col("__before")
+    sign = F.when(F.col("__before").isNull(), None).when(F.abs(delta) < same_within, "=").when(delta < 0, "better").otherwise("worse")
+    return rows.withColumn("delta", delta).withColumn("change", sign).drop("__before")
 
 
 def inventory(chunks: DataFrame, dataset: str, source: str) -> DataFrame:

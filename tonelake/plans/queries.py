@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, metrics, text
 from ..functions.constants import CODES, SIGNS, VOCABULARY, units
-from ..operators import ctc, evaluate, label, pulses, quality, signal, splits
+from ..operators import ctc, evaluate, label, pulses, quality, scans, signal, splits
 from ..sources import io
 from ..streaming import arrivals, logs
 
@@ -668,11 +668,9 @@ BEST_SQL = "fr AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY
 
 @query(f"WITH {BEST_SQL}, p AS (SELECT *, lag(x) OVER (PARTITION BY label ORDER BY t) AS before FROM fr) SELECT label, count(*) AS frames, string_agg(ch, '' ORDER BY t) FILTER (x <> 0 AND (before IS NULL OR x <> before)) AS text FROM p JOIN {_values(list(enumerate(VOCABULARY)))} AS v(x, ch) USING (x) GROUP BY label")
 def ctc_greedy(spark, d):
-    """Utterances are the vectors of a label in order of their ids; places beyond the vocabulary start it anew. Each frame's best sign is found before frames are gathered, so a group holds one number a frame."""
+    """Utterances are the vectors of a label in order of their ids; places beyond the vocabulary start it anew. An utterance may fill all slices or one."""
     best = table(spark, d, "embeddings").where("label is not null").select("label", "vec_id", ((F.array_position("embedding", F.array_max("embedding")) - 1) % len(VOCABULARY)).cast("int").alias("x"))
-    path = best.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("f"))
-    path = path.select("label", F.transform("f", lambda e: e["x"]).alias("path"))
-    return path.select("label", F.size("path").cast("long").alias("frames"), ctc.collapse(F.col("path")).alias("text"))
+    return ctc.collapse_frames(best, "label", "vec_id", "x")
 
 
 TOP_SQL = "e AS (SELECT vec_id, unnest(embedding) AS p, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rn FROM e)"
@@ -724,8 +722,8 @@ LINES_SQL = "ln AS (SELECT event_type AS run, row_number() OVER (PARTITION BY ev
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Events written as lines of a training log, with noise between."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").select(F.col("event_type").alias("run"), F.row_number().over(w).alias("epoch"), (F.floor(F.abs("value") * 10) / 10000).alias("cer"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("run"), "ts", "event_id", (F.floor(F.abs("value") * 10) / 10000).alias("cer"))
+    rows = scans.scan(rows, "run", ["ts", "event_id"], {"epoch": ("sum", F.lit(1))})
     line = F.format_string("[10:05:22] Epoch %3d/20 | Loss: 1.5000 | CER: %.4f | Time: 12.5s | 100ms/batch", F.col("epoch"), F.col("cer"))
     return rows.select("run", F.explode(F.array(line, F.lit("Traceback (most recent call last):"))).alias("value"))
 
@@ -778,12 +776,12 @@ def arriving_labels(spark, d):
     return spark.read.parquet(out).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
 
 
-@query("""WITH e AS (SELECT event_type AS run, CAST(event_id AS INT) AS epoch, value AS cer FROM events WHERE event_id > 0), g AS (SELECT *, sum(CASE WHEN cer < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS g FROM e),
+@query("""WITH e AS (SELECT event_type AS run, CAST(event_id AS INT) AS epoch, value AS cer FROM events), g AS (SELECT *, sum(CASE WHEN cer < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS g FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY run, g ORDER BY epoch) AS k FROM g WHERE cer < 40) SELECT run, epoch, round(cer, 6) AS cer FROM k WHERE k = 3""")
 def streamed_alarms(spark, d):
     """The stateful alarm over events as training epochs: each time three in a row are below the target."""
     out, checkpoint = io.scratch(spark), io.scratch(spark)
-    rows = _streamed(spark, d, "events").where("event_id > 0").select(F.col("event_type").alias("run"), F.col("event_id").cast("int").alias("epoch"), F.col("value").alias("cer"))
+    rows = _streamed(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").cast("int").alias("epoch"), F.col("value").alias("cer"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

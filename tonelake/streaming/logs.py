@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.scans import scan
+
 EPOCH = r"Epoch\s+(\d+)/(\d+)\s+\|\s+Loss:\s+([\d.]+)\s+\|\s+CER:\s+([\d.]+)\s+\|\s+Time:\s+([\d.]+)s\s+\|\s+([\d.]+)ms/batch"
 BATCH = r"\[(\d\d:\d\d:\d\d)\]\s+Epoch\s+(\d+)\s+\|\s+batch\s+(\d+)/(\d+)\s+\|\s+loss\s+([\d.]+)\s+\|\s+([\d.]+)ms/batch\s+\|\s+ETA\s+([\d.]+)min"
 
@@ -34,15 +36,15 @@ def best_epochs(epochs: DataFrame, run: str) -> DataFrame:
 
 
 def improvements(epochs: DataFrame, run: str) -> DataFrame:
-    """Whether an epoch beats all before it."""
-    before = F.min("cer").over(Window.partitionBy(run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
-    return epochs.withColumn("is_best", before.isNull() | (F.col("cer") < before))
+    """Whether an epoch beats all before it; a run may be of any length."""
+    rows = scan(epochs, run, "epoch", {"__before": ("min_before", F.col("cer"))})
+    return rows.withColumn("is_best", F.col("__before").isNull() | (F.col("cer") < F.col("__before"))).drop("__before")
 
 
 def streaks(epochs: DataFrame, run: str, target: float = 0.015, patience: int = 3) -> DataFrame:
     """Runs of epochs in a row below the target: first, last, length and whether it is long enough."""
-    w = Window.partitionBy(run).orderBy("epoch")
-    rows = epochs.withColumn("__ok", F.col("cer") < target).withColumn("__island", F.sum((~F.col("__ok")).cast("int")).over(w))
+    ok = F.col("cer") < target
+    rows = scan(epochs.withColumn("__ok", ok), run, "epoch", {"__island": ("sum", (~ok).cast("int"))})
     got = rows.where("__ok").groupBy(run, "__island").agg(F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"), F.count("*").alias("length"))
     return got.select(run, "first_epoch", "last_epoch", "length", (F.col("length") >= patience).alias("alarm"))
 
@@ -57,11 +59,11 @@ class _Streak(StatefulProcessor):
         self.state = handle.getValueState("streak", "last int, length int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, length = self.state.get() if self.state.exists() else (0, 0)
+        last, length = self.state.get() if self.state.exists() else (None, 0)
         found = []
         every = pd.concat(list(rows)).drop_duplicates("epoch").sort_values("epoch")
         for epoch, cer in zip(every["epoch"], every["cer"], strict=True):
-            if epoch <= last:
+            if last is not None and epoch <= last:
                 continue
             last, length = int(epoch), length + 1 if cer < self.target else 0
             if length == self.patience:
