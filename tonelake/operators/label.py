@@ -198,7 +198,7 @@ def label_aligned(decoded: DataFrame, key: str, words_at: str, text: str, second
     return chunks.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
 
 
-def label_recordings(recordings: DataFrame, key: str, content: str, text: str, wpm: str) -> DataFrame:
+def label_recordings(recordings: DataFrame, key: str, content: str, text: str, wpm: str, min_words: int = MIN_WORDS_ALIGNED, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
     """The same from stored recordings: PCM or WAV bytes to sound, pulses and words at the declared speed of their signs."""
     from . import pulses, signal
 
@@ -209,7 +209,7 @@ def label_recordings(recordings: DataFrame, key: str, content: str, text: str, w
     dit = heard.select(key, (1.2 / F.coalesce(character_speed(F.col(wpm)), F.lit(TARGET_WPM))).alias("dit_s"))
     got = pulses.decode_words(flat, dit, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "word"))).alias("__words"))
     silent = F.coalesce("__error", F.when(F.coalesce("__seconds", F.lit(0.0)) <= 0, "no sound"))
-    return label_aligned(heard.join(got, key, "left").withColumn("__error", silent), key, "__words", text, "__seconds", "__error")
+    return label_aligned(heard.join(got, key, "left").withColumn("__error", silent), key, "__words", text, "__seconds", "__error", min_words, chunk_s)
 
 
 def chunk_aligned(df: DataFrame, key: str, aligned: str, seconds: str, chunk_s: float = CHUNK_SECONDS) -> DataFrame:

@@ -260,6 +260,20 @@ def encode_pcm(df: DataFrame, audio: str = "audio", out: str = "content") -> Dat
     return _mapped(df, [audio], out, "binary", lambda x: np.round(np.clip(np.asarray(x), -1, 1) * 32767).astype("<i2").tobytes())
 
 
+def encode_wav(df: DataFrame, audio: str = "audio", out: str = "content") -> DataFrame:
+    """Waveforms as the bytes of mono 16-bit WAV files."""
+    def one(x) -> bytes:
+        made = io.BytesIO()
+        with wave.open(made, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(SAMPLE_RATE)
+            w.writeframes(np.round(np.clip(np.asarray(x), -1, 1) * 32767).astype("<i2").tobytes())
+        return made.getvalue()
+
+    return _mapped(df, [audio], out, "binary", one)
+
+
 def to_pulses(df: DataFrame, key: str, audio: str = "audio", window_ms: float = 5) -> DataFrame:
     """``key, start_s, dur_s, is_tone``. Only the filter runs on whole waveforms in a task; frames become pulses in windows over each recording."""
     from ..sources.io import stored

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, metrics, text
 from ..functions.constants import CODES, SIGNS, VOCABULARY, units
 from ..operators import ctc, evaluate, label, pulses, quality, scans, signal, splits
-from ..sources import io
+from ..sources import io, recordings
 from ..streaming import arrivals, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,9 +771,11 @@ def arriving_labels(spark, d):
     """Texts labelled as they arrive; a second run over the same files adds nothing."""
     out, checkpoint = io.scratch(spark), io.scratch(spark)
     rows = _streamed(spark, d, "benchmark").select("item_id", "text", (F.length("text") / 9.0).alias("seconds"))
+    job = lambda x: label.label_by_duration(x, "item_id", "text", "seconds")
     for _ in range(2):
-        arrivals.label_arrivals(rows, lambda x: label.label_by_duration(x, "item_id", "text", "seconds"), "item_id", out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+        arrivals.label_arrivals(rows, job, out, checkpoint).awaitTermination()
+    got = arrivals.read_labels(spark, out, "item_id long, chunk_idx int, text string, start_s double, end_s double, wpm double").drop("stream", "batch")
+    return got.withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
 
 
 @query("""WITH e AS (SELECT event_type AS run, CAST(event_id AS INT) AS epoch, value AS cer FROM events), g AS (SELECT *, sum(CASE WHEN cer < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY epoch) AS g FROM e),
@@ -851,6 +853,42 @@ def speed_columns(spark, d):
 # --- files: written from a table, read back ---
 
 
+def _recorded(spark: SparkSession, d: str) -> str:
+    """Every recording of every benchmark text as a WAV file, and beside it what was sent as a text file."""
+    path = io.scratch(spark)
+    sent = io.stored(signal.encode_wav(_rendered(spark, d)).select(F.col("rec_id").cast("string").alias("recording_id"), F.lit(20.0).alias("wpm"), "content", "sent"))
+    recordings.write_files(sent, f"{path}/sound", "wav")
+    recordings.write_files(sent.withColumn("content", F.col("sent").cast("binary")), f"{path}/texts", "txt")
+    return path
+
+
+@query(f"{PARTS_SQL}, string_agg(word, ' ' ORDER BY wi) AS sent, 20.0::DOUBLE AS wpm, string_agg(word, ' ' ORDER BY wi) AS heard FROM words GROUP BY ALL")
+def recordings_from_files(spark, d):
+    """Files of sound paired with files of text, decoded at the speed that their folder names."""
+    path = _recorded(spark, d)
+    both = io.stored(io.pair(io.read_recordings(spark, f"{path}/sound"), io.read_texts(spark, f"{path}/texts")))
+    heard = signal.decode_audio(signal.decode_pcm(both.select("recording_id", "content")), "recording_id", known_wpm=20.0)
+    heard = heard.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "word"))), lambda w: w["word"]), " ").alias("heard"))
+    rec = F.col("recording_id").cast("long")
+    return both.drop("content", "path").join(heard, "recording_id").select(F.floor(rec / 100_000).alias("item_id"), (rec % 100_000).alias("part"), F.col("raw_text").alias("sent"), "wpm", "heard")
+
+
+@query(f"{PARTS_SQL}, string_agg(word, ' ' ORDER BY wi) AS text, count(*) AS n_words FROM words GROUP BY ALL")
+def labels_from_arriving_files(spark, d):
+    """Files of sound labelled as they arrive, with what was sent, from files to chunks of one word or more; a recording's chunks hold all that was sent."""
+    path, out, checkpoint = _recorded(spark, d), io.scratch(spark), io.scratch(spark)
+    texts = io.read_texts(spark, f"{path}/texts")
+
+    def job(files: DataFrame) -> DataFrame:
+        return label.label_recordings(io.pair(io.recordings_of(files), texts), "recording_id", "content", "raw_text", "wpm", min_words=1).where("error is null")
+
+    arrivals.label_arrivals(io.stream_recordings(spark, f"{path}/sound"), job, out, checkpoint).awaitTermination()
+    got = arrivals.read_labels(spark, out, "recording_id string, chunk_idx int, text string, n_words int, start_s double, end_s double, error string")
+    rec = F.col("recording_id").cast("long")
+    every = got.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x["text"]), " ").alias("text"), F.sum("n_words").alias("n_words"))
+    return every.select(F.floor(rec / 100_000).alias("item_id"), (rec % 100_000).alias("part"), "text", "n_words")
+
+
 @query("SELECT format('cw{:03d}.wav', item_id) AS clip, nullif(trim(CASE WHEN item_id % 4 = 0 THEN '' ELSE text END), '') AS transcript FROM benchmark")
 def transcript_file(spark, d):
     path = io.scratch(spark)

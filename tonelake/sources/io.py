@@ -38,12 +38,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 def read_recordings(spark: SparkSession, path: str, wpm: float | None = None) -> DataFrame:
     """Binary files with the speed of their folder and their base name; decode ``content`` with ``signal.decode_pcm``."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    speed = F.regexp_extract("path", r"(\d+)wpm", 1)
-    rows = rows.select(stem(F.col("path")).alias("recording_id"), "path", F.when(speed != "", speed.cast("double")).alias("wpm"), "content")
+    rows = recordings_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     return rows if wpm is None else rows.where(F.col("wpm") == wpm)
 
 
+def recordings_of(files: DataFrame) -> DataFrame:
+    """``recording_id, path, wpm, content`` of binary files, read at once or as they arrive."""
+    speed = F.regexp_extract("path", r"(\d+)wpm", 1)
+    return files.select(stem(F.col("path")).alias("recording_id"), "path", F.when(speed != "", speed.cast("double")).alias("wpm"), "content")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     speed = F.regexp_extract("path", r"(\d+)wpm", 1)

@@ -1,37 +1,57 @@
-"""Labelling recordings as they arrive: each one once, also over restarts."""
+"""Labelling recordings as they arrive: each one once, also over restarts and crashes.
+
+A batch of the stream writes to a folder of its own, named by the stream and the batch, and is then committed by an empty file of the same name. The
+checkpoint replays a batch that was not finished with the same files under the same number, so its folder is written anew; what has no commit
+is not read. No batch reads what earlier ones wrote.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.label import pending
-from ..sources.io import stored
+#: Folder of the commits below the table; its name hides it from readers of the table itself.
+COMMITS = "_commits"
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def committed(spark: SparkSession, out: str) -> list[str]:
+    """Folders of the batches that were committed, one short name a batch."""
+    fs, target = _fs(spark, f"{out}/{COMMITS}")
+    if not fs.exists(target):
+        return []
+    return sorted(f"{out}/{'/'.join(s.getPath().getName().split('-'))}" for s in fs.listStatus(target))
 
 
-def label_arrivals(arriving: DataFrame, job: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run a labelling job on what has arrived since the last time and append its rows to the Parquet table ``out``.
+def read_labels(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """Rows of all committed batches, with the numbers of their stream and batch."""
+    found = committed(spark, out)
+    if not found:
+        return spark.createDataFrame([], f"{schema}, stream string, batch long")
+    return spark.read.schema(f"{schema}, stream string, batch long").option("basePath", out).parquet(*found)
 
-    The checkpoint says which files were read. A batch that was written but not yet noted comes again after a restart: keys that have rows in
-    ``out`` are then left out. ``job`` gives rows with ``key``, one at least for each recording (an error is a row too).
+
+def label_arrivals(arriving: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, available_now: bool = True, written: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Run a labelling job on what has arrived since the last time; ``read_labels`` gives its rows.
+
+    The checkpoint says which files were read; two streams (two checkpoints) may share a table. ``job`` must give the same rows for the same batch.
+    ``written`` is called between a batch's rows and its commit (tests stop there).
     """
-    schema = None
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
-    def batch(rows: DataFrame, _: int) -> None:
-        nonlocal schema
-        spark = rows.sparkSession
-        got = job(rows)
-        schema = schema or got.schema
-        done = spark.read.schema(schema).parquet(out) if _exists(spark, out) else None
-        fresh = got if done is None else pending(got, done, key)
-        stored(fresh).write.mode("append").parquet(out)
+    def batch(rows: DataFrame, number: int) -> None:
+        job(rows).write.mode("overwrite").parquet(f"{out}/stream={stream}/batch={number}")
+        if written is not None:
+            written(number)
+        fs, target = _fs(rows.sparkSession, f"{out}/{COMMITS}/stream={stream}-batch={number}")
+        fs.create(target, True).close()
 
     writer = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
