@@ -132,17 +132,6 @@ def test_runs_and_dit(spark):
 # --- labels ---
 
 
-def test_alignment():
-    d = lambda w, s: {"word": w, "start_s": s, "end_s": s + 1}
-    got = label.align([d("HELLO", 0.0), d("=WORLD=", 2.0)], ["HELLO", "WORLD", "AGAINST"])
-    assert [w["start_s"] for w in got] == [0.0, 2.0, None]
-    assert label.align([], ["A"])[0]["start_s"] is None
-    t = lambda w, s=None, e=None: {"word": w, "start_s": s, "end_s": e}
-    filled = label.fill_times([t("a"), t("b", 2.0, 3.0), t("c"), t("d", 6.0, 6.5), t("e")])
-    assert [(round(w["start_s"], 3), round(w["end_s"], 3)) for w in filled] == [(0.95, 1.95), (2.0, 3.0), (4.5, 5.5), (6.0, 6.5), (6.55, 7.05)]
-    assert label.fill_times([t("a")]) == [t("a")]
-
-
 def test_aligned_chunks_keep_every_word(spark):
     words = [(f"w{i}", i * 1.5, i * 1.5 + 1) for i in range(20)]
     df = spark.createDataFrame([(1, words, 31.0), (2, [], 5.0), (3, [("x", None, None)], 5.0)], "k long, a array<struct<word:string,start_s:double,end_s:double>>, d double")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,16 +60,31 @@ def label_sequential(segments: DataFrame, texts: DataFrame, key: str, order: str
     return got.withColumn("pieces", F.transform("__p", lambda p: F.struct(p["segment"].alias("segment"), p["from_s"].alias("from_s"), p["to_s"].alias("to_s")))).drop("__p")
 
 
+def _level(a: str, b: str, base_s: float) -> Column:
+    """The least power of two of the base width that is as long as a span; such widths cut a span once at most."""
+    return F.ceil(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(base_s)) / base_s) - 1e-9).cast("int")
+
+
+def placed(spans: DataFrame, a: str, b: str, others: list[int], base_s: float) -> DataFrame:
+    """``spans`` in the cells of their own width and of each wider one that the other side has: ``__own``, ``__level``, ``__cell``. Two or three rows a width."""
+    rows = spans.withColumn("__own", _level(a, b, base_s))
+    levels = F.array_union(F.array("__own"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("__own")))
+    rows = rows.withColumn("__level", F.explode(levels)).withColumn("__width", base_s * F.pow(F.lit(2.0), F.col("__level")))
+    return rows.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(a) / F.col("__width")).cast("long"), F.floor(F.col(b) / F.col("__width")).cast("long"))))
+
+
 def overlapping(chunks: DataFrame, segments: DataFrame, key: str, bucket_s: float = CHUNK_SECONDS) -> DataFrame:
-    """Chunks with the segments that they overlap: an equi-join on time buckets, then the exact test. Each pair comes once."""
-    def buckets(a: str, b: str) -> Column:
-        return F.sequence(F.floor(F.col(a) / bucket_s).cast("long"), F.floor(F.col(b) / bucket_s).cast("long"))
+    """Chunks with the segments that they overlap: an equi-join on cells of dyadic widths, then the exact test. Each pair comes once.
 
-    left = chunks.withColumn("__b", F.explode(buckets("start_s", "end_s")))
-    right = segments.withColumn("__b", F.explode(buckets("seg_start_s", "seg_end_s")))
-    both = left.join(right, [key, "__b"])
-    first = F.floor(F.greatest("start_s", "seg_start_s") / bucket_s).cast("long")
-    return both.where((F.col("seg_end_s") > F.col("start_s")) & (F.col("seg_start_s") < F.col("end_s")) & (F.col("__b") == first)).drop("__b")
+    A pair meets in the cells of the longer span's width, which the shorter one touches two of at most; so a span of ten hours is a few rows, not one for
+    every chunk that it could meet. The widths of either side (a few dozen numbers at most) are looked up first.
+    """
+    widths = lambda df, a, b: sorted(r[0] for r in df.select(_level(a, b, bucket_s)).distinct().collect() if r[0] is not None)
+    left = placed(chunks, "start_s", "end_s", widths(segments, "seg_start_s", "seg_end_s"), bucket_s).withColumnRenamed("__own", "__mine")
+    right = placed(segments, "seg_start_s", "seg_end_s", widths(chunks, "start_s", "end_s"), bucket_s).drop("__width")
+    both = left.join(right, [key, "__level", "__cell"]).where(F.col("__level") == F.greatest("__mine", "__own"))
+    first = F.floor(F.greatest("start_s", "seg_start_s") / F.col("__width")).cast("long")
+    return both.where((F.col("seg_end_s") > F.col("start_s")) & (F.col("seg_start_s") < F.col("end_s")) & (F.col("__cell") == first)).drop("__level", "__cell", "__width", "__mine", "__own")
 
 
 def proportional_chunks(recordings: DataFrame, key: str, text: str, seconds: str, chunk_s: float = CHUNK_SECONDS) -> DataFrame:
@@ -115,69 +126,64 @@ def label_pseudo(decoded: DataFrame, key: str, text: str, seconds: str, chunk_s:
 
 
 def random_windows(recordings: DataFrame, key: str, text: str, n_samples: str, seed: int, epoch: int, window: int = 64_000) -> DataFrame:
-    """One window of each recording, its start drawn by a hash of seed, id and epoch; short recordings are taken whole."""
+    """One window of each recording, its start drawn by a hash of seed, epoch and id; short recordings are taken whole."""
     room = F.greatest(F.col(n_samples) - window, F.lit(0))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(epoch)), room + 1)
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long"), room + 1)
     fs, fe = start / F.col(n_samples), F.least(F.lit(1.0), (start + window) / F.col(n_samples))
     cut = F.when(F.col(n_samples) > window, slice_by_fraction(F.col(text), fs, fe)).otherwise(F.upper(F.trim(text)))
     return recordings.select(key, start.alias("start"), cut.alias("text"))
 
 
-def _distance(a: str, b: str) -> int:
-    row = np.arange(len(b) + 1)
-    letters = np.array(list(b))
-    for i, c in enumerate(a, 1):
-        best = np.minimum(row[:-1] + (letters != c), row[1:] + 1)
-        new = np.concatenate([[i], best])
-        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-    return int(row[-1])
-
-
-def align(decoded: list, truth: list[str]) -> list[dict]:
-    """Times for the words of a transcript, from the nearest decoded word in a small moving window."""
-    out, at = [], 0
-    for word in truth:
-        low = max(0, at - 2)
-        scored = [(_distance(word, decoded[k]["word"].strip("=<>?")), k) for k in range(low, min(len(decoded), at + 5))]
-        d, k = min(scored, default=(1 << 30, low))
-        at = k + 1
-        hit = decoded[k] if d <= max(2, len(word) // 2) else None
-        out.append({"word": word, "start_s": hit["start_s"] if hit else None, "end_s": hit["end_s"] if hit else None})
-    return out
-
-
-def fill_times(aligned: list[dict], gap_s: float = 0.05) -> list[dict]:
-    """Missing times: evenly between two known words, chained with a small gap before the first and after the last."""
-    known = [i for i, w in enumerate(aligned) if w["start_s"] is not None]
-    if not known:
-        return aligned
-    s = np.array([np.nan if w["start_s"] is None else w["start_s"] for w in aligned], float)
-    e = np.array([np.nan if w["end_s"] is None else w["end_s"] for w in aligned], float)
-    for a, b in zip(known[:-1], known[1:], strict=True):
-        k = np.arange(a + 1, b)
-        s[k] = e[a] + (k - a) / (b - a) * (s[b] - e[a])
-        e[k] = s[k] + (e[a] - s[a])
-    first, last = known[0], known[-1]
-    length = e[first] - s[first]
-    for k in range(first - 1, -1, -1):
-        e[k] = s[k + 1] - gap_s
-        s[k] = e[k] - length
-    length = e[last] - s[last]
-    for k in range(last + 1, len(s)):
-        s[k] = e[k - 1] + gap_s
-        e[k] = s[k] + length
-    return [{"word": w["word"], "start_s": float(a), "end_s": float(b)} for w, a, b in zip(aligned, s, e, strict=True)]
+def _hits(decoded: Column, truth: Column) -> Column:
+    """For each transcript word the number of its decoded word, or -1: one fold whose state is where to look next.
+
+    A word looks at two decoded words before that place and five from it on, takes the least edit distance (the first of equal ones), and moves the place behind
+    the one it looked at best, even if that was too far off to count.
+    """
+    heard = F.transform(decoded, lambda d: F.btrim(d["word"], F.lit("=<>?")))
+    n = F.size(decoded)
+
+    def step(acc: Column, word: Column) -> Column:
+        low = F.greatest(F.lit(0), acc["at"] - 2)
+        near = F.slice(heard, low + 1, F.greatest(F.lit(0), F.least(n, acc["at"] + 5) - low))
+        best = F.array_min(F.transform(near, lambda h, i: F.struct(F.levenshtein(word, h).alias("d"), (low + i).alias("k"))))
+        hit = F.when(best["d"] <= F.greatest(F.lit(2), F.floor(F.length(word) / 2).cast("int")), best["k"]).otherwise(-1)
+        return F.struct((F.coalesce(best["k"], low) + 1).alias("at"), F.concat(acc["hits"], F.array(F.coalesce(hit, F.lit(-1)))).alias("hits"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
+    return F.aggregate(truth, start, step, lambda acc: acc["hits"])
+
+
+def fill_times(words: DataFrame, key: str, gap_s: float = 0.05) -> DataFrame:
+    """Missing times of ``key, pos, word, start_s, end_s``: evenly between two known words, chained with a small gap before the first and after the last."""
+    known = F.when(F.col("start_s").isNotNull(), F.struct("pos", "start_s", "end_s"))
+    w = Window.partitionBy(key).orderBy("pos")
+    rows = words.withColumn("__a", F.last(known, ignorenulls=True).over(w)).withColumn("__b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    a, b, pos = F.col("__a"), F.col("__b"), F.col("pos")
+    length = F.coalesce(a["end_s"] - a["start_s"], b["end_s"] - b["start_s"])
+    between = a["end_s"] + (pos - a["pos"]) / (b["pos"] - a["pos"]) * (b["start_s"] - a["end_s"])
+    before = b["start_s"] - (b["pos"] - pos) * (length + gap_s)
+    after = a["end_s"] + gap_s + (pos - a["pos"] - 1) * (length + gap_s)
+    start = F.coalesce("start_s", F.when(a.isNotNull() & b.isNotNull(), between).when(b.isNotNull(), before).when(a.isNotNull(), after))
+    return rows.withColumn("end_s", F.coalesce("end_s", start + length)).withColumn("start_s", start).drop("__a", "__b")
 
 
 def align_words(df: DataFrame, key: str, decoded: str, truth: str, fill: bool = True) -> DataFrame:
-    """``key, aligned``: every transcript word with times; ``decoded`` is an array of words with times, ``truth`` an array of strings."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            got = [align([] if d is None else list(d), [] if t is None else list(t)) for d, t in zip(p[decoded], p[truth], strict=True)]
-            yield pd.DataFrame({key: p[key], "aligned": [fill_times(x) if fill else x for x in got]})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, decoded, truth).mapInPandas(run, f"{key} {kind}, aligned {TIMED}")
+    """``key, aligned``: every transcript word with times; ``decoded`` is an array of words with times, ``truth`` an array of strings.
+
+    Without decoded words all times are null; without transcript words ``aligned`` is empty. Nulls count as empty. Keys must be distinct.
+    """
+    rows = df.select(key, F.coalesce(F.col(decoded), F.array().cast(df.schema[decoded].dataType)).alias("__d"), F.coalesce(F.col(truth), F.array().cast("array<string>")).alias("__t"))
+    hit = lambda k: F.when(k >= 0, F.get(F.col("__d"), k))
+    rows = rows.withColumn("__h", _hits(F.col("__d"), F.col("__t")))
+    aligned = F.transform("__h", lambda k, i: F.struct(F.get("__t", i).alias("word"), hit(k)["start_s"].alias("start_s"), hit(k)["end_s"].alias("end_s")))
+    rows = rows.select(key, aligned.cast(TIMED).alias("aligned"))
+    if not fill:
+        return rows
+    words_of = rows.select(key, F.posexplode_outer("aligned").alias("pos", "w")).select(key, "pos", "w.*")
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "word", "start_s", "end_s"))
+    got = fill_times(words_of, key).groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("x"))
+    return got.select(key, F.transform("x", lambda x: F.struct(x["word"].alias("word"), x["start_s"].alias("start_s"), x["end_s"].alias("end_s"))).cast(TIMED).alias("aligned"))
 
 
 def label_aligned(decoded: DataFrame, key: str, words_at: str, text: str, seconds: str, error: str | None = None, min_words: int = MIN_WORDS_ALIGNED, chunk_s: float = CHUNK_SECONDS) -> DataFrame:

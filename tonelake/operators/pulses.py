@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CODES, literal_map
+from .percentiles import percentiles
 
 TONE_IS_DAH, GAP_ENDS_SIGN, GAP_ENDS_WORD = 2.0, 2.0, 5.0
 
@@ -18,8 +19,8 @@ def moving_mean(df: DataFrame, key: str, order: str, value: str, out: str = "smo
 
 
 def binarize_frames(df: DataFrame, key: str, value: str, out: str = "is_on") -> DataFrame:
-    """On where a frame is above the 10th percentile plus 35 % of the way to the 90th. Percentiles are grouped, then joined back."""
-    bounds = df.groupBy(key).agg(F.percentile(value, F.lit(0.1)).alias("__low"), F.percentile(value, F.lit(0.9)).alias("__high"))
+    """On where a frame is above the 10th percentile plus 35 % of the way to the 90th. Percentiles are exact and bounded in memory, then joined back."""
+    bounds = percentiles(df, key, value, {"__low": 0.1, "__high": 0.9})
     joined = df.join(bounds, key)
     return joined.withColumn(out, F.col(value) > F.col("__low") + (F.col("__high") - F.col("__low")) * 0.35).drop("__low", "__high")
 
@@ -36,8 +37,8 @@ def frames_to_pulses(df: DataFrame, key: str, frame: str, is_on: str, frame_s: f
 def estimate_dit(pulses: DataFrame, key: str, shortest_s: float = 0.01, default_s: float = 0.06) -> DataFrame:
     """Median of the tones near the short third of them; a default where a recording has none."""
     tones = pulses.where(F.col("is_tone") & (F.col("dur_s") >= shortest_s))
-    short = tones.groupBy(key).agg(F.percentile("dur_s", F.lit(0.33)).alias("__c"))
-    dits = tones.join(short, key).where(F.col("dur_s") <= 1.5 * F.col("__c")).groupBy(key).agg(F.median("dur_s").alias("dit_s"))
+    short = percentiles(tones, key, "dur_s", {"__c": 0.33})
+    dits = percentiles(tones.join(short, key).where(F.col("dur_s") <= 1.5 * F.col("__c")), key, "dur_s", {"dit_s": 0.5})
     return pulses.select(key).distinct().join(dits, key, "left").select(key, F.coalesce("dit_s", F.lit(default_s)).alias("dit_s"))
 
 

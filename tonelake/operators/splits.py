@@ -30,29 +30,32 @@ def pick_evenly(sources: DataFrame, bucket: str, order: str, k: int) -> DataFram
 
 def holdout_sources(sources: DataFrame, source: str, bucket: str, order: list[str], target: int = 50) -> DataFrame:
     """Whole sources until ``target`` chunks are held out: one from each bucket in turn, each time the one whose size is nearest to what
-    is missing (then the smaller, then the first by key); then from all. Each choice depends on the one before. The table of sources is
-    written once; a step reads it and brings one row, and as each source has a chunk at least there are ``target`` steps at most."""
-    chosen: list[tuple] = []
-    sources = stored(sources.select(source, bucket, "n"))
-    total, fields = 0, sources.schema
+    is missing (then the smaller, then the first by key); then from all.
 
-    def take(pool: DataFrame) -> bool:
+    Each choice depends on the one before, but all come from a small index: of each bucket and size up to the target the first ``target`` keys, and of larger sizes the
+    ``target`` smallest sources. One job gathers it, whatever the number of sources; the steps run on its rows, buckets x target x (target + 1) at most.
+    """
+    first = Window.partitionBy(bucket, F.least("n", F.lit(target + 1))).orderBy("n", source)
+    index = sources.select(source, bucket, "n").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= target).drop("__r")
+    pool, chosen, total = [tuple(r) for r in index.collect()], [], 0
+
+    def take(some: list[tuple]) -> bool:
         nonlocal total
         left = max(1, target - total)
-        free = pool.where(~F.col(source).isin([c[0] for c in chosen])) if chosen else pool
-        best = free.select(source, bucket, "n").orderBy(F.abs(F.col("n") - left), "n", source).limit(1).collect()
-        if best:
-            chosen.append(tuple(best[0]))
-            total += best[0]["n"]
-        return bool(best)
+        best = min(some, key=lambda x: (abs(x[2] - left), x[2], x[0]), default=None)
+        if best is not None:
+            pool.remove(best)
+            chosen.append(best)
+            total += best[2]
+        return best is not None
 
     for b in order:
         if total >= target and len(chosen) >= 2:
             break
-        take(sources.where(F.col(bucket) == b))
-    while total < target and take(sources):
+        take([x for x in pool if x[1] == b])
+    while total < target and take(pool):
         pass
-    return sources.sparkSession.createDataFrame(chosen, fields)
+    return sources.sparkSession.createDataFrame(chosen, index.schema)
 
 
 def assign_folds(sources: DataFrame, source: str, bucket: str, buckets: list[str], folds: int = 5) -> DataFrame:
@@ -120,7 +123,7 @@ def leaks(train: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[Column | str], into: str = "i", parts: int = 64) -> DataFrame:
     """Row numbers from 0 in a global order without a single task: sort by range, count each range, add the counts before it."""
-    placed = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    placed = stored(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))  # bounds come from a sample: drawn once
     own = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
