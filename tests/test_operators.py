@@ -254,7 +254,7 @@ def test_beam_equals_all_paths():
                 out += vocab[c] if c and c != last else ""
                 last = c
             total[out] = total.get(out, 0) + math.exp(sum(lp[t, c] for t, c in enumerate(path)))
-        assert ctc.prefix_search(lp, None, 200, 0.0, vocabulary=vocab) == max(total, key=total.get)
+        assert ctc.prefix_search([lp], None, 200, 0.0, vocabulary=vocab) == [max(total, key=total.get)]
 
 
 def test_ngrams_and_windows(spark):

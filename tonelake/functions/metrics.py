@@ -10,13 +10,24 @@ from .text import words
 BANDS = {"synthetic": ((0.05, "OK"), (0.25, "~"), (None, "FAIL")), "holdout": ((0.10, "OK"), (0.40, "~"), (None, "FAIL")), "audit": ((0.30, "GOOD"), (0.50, "MARG"), (None, "BAD"))}
 
 
+#: Bounds that a distance is looked for within, one after another; beyond the last without one.
+BOUNDS = (32, 512, 8192)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Edit distance of texts of any length. Within a bound only a band about the diagonal is filled, so close texts cost their length times their distance."""
+    within = F.aggregate(F.array(*map(F.lit, BOUNDS)), F.lit(-1), lambda got, k: F.when(got >= 0, got).otherwise(F.call_function("levenshtein", a, b, k)))
+    short = F.greatest(F.length(a), F.length(b)) <= BOUNDS[0]
+    return F.when(short, F.levenshtein(a, b)).otherwise(F.transform(F.array(within), lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(a, b)))[0])
+
+
 def cer(pred: Column, target: Column, variant: str = "nospace") -> Column:
     """Edit distance by the target's length. ``nospace``: upper case without spaces; ``spaces``: as it is; ``first``: by the first text's length."""
     p, t = pred, target
     if variant == "nospace":
         p, t = (F.upper(F.replace(x, F.lit(" "), F.lit(""))) for x in (pred, target))
     by = F.length(p) if variant == "first" else F.length(t)
-    return F.when(by == 0, F.when(F.length(p) == F.length(t), 0.0).otherwise(1.0)).otherwise(F.levenshtein(p, t) / by)
+    return F.when(by == 0, F.when(F.length(p) == F.length(t), 0.0).otherwise(1.0)).otherwise(distance(p, t) / by)
 
 
 def _character(n: Column) -> Column:
@@ -29,13 +40,14 @@ def _character(n: Column) -> Column:
 def wer(pred: Column, target: Column) -> Column:
     """The same over words: each distinct word of the pair becomes one character, so the built-in distance does the work.
 
-    Good for a million distinct words in a pair; like every edit distance its work grows with the product of the two lengths.
+    Good for a million distinct words in a pair. Its work grows with the length times the distance, so a long pair that has little in common is dear.
     """
     p, t = words(F.upper(pred)), words(F.upper(target))
-    known = F.array_distinct(F.concat(p, t))
-    letter = lambda w: _character(F.array_position(known, w))
-    spell = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.when(F.size(t) == 0, F.when(F.size(p) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(spell(p), spell(t)) / F.size(t))
+    one = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731 - what a lambda is given is computed once
+    spell = lambda ws, known: F.array_join(F.transform(ws, lambda w: _character(F.array_position(known, w))), "")
+    texts = lambda x: one(F.struct(x["p"].alias("p"), x["t"].alias("t"), F.array_distinct(F.concat(x["p"], x["t"])).alias("known")), lambda y: F.struct(spell(y["p"], y["known"]).alias("p"), spell(y["t"], y["known"]).alias("t")))
+    rate = lambda x: one(texts(x), lambda y: distance(y["p"], y["t"])) / F.size(x["t"])
+    return one(F.struct(p.alias("p"), t.alias("t")), lambda x: F.when(F.size(x["t"]) == 0, F.when(F.size(x["p"]) == 0, 0.0).otherwise(1.0)).otherwise(rate(x)))
 
 
 def band(value: Column, profile: str) -> Column:

@@ -116,38 +116,109 @@ def folded(frame: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_max(F.transform(places(i), lambda k: F.get(frame, k))))
 
 
-def prefix_search(frames: np.ndarray, lm: dict | None, width: int, alpha: float, n: int = 3, vocabulary: list[str] = VOCABULARY) -> str:
-    """Best text under the frame scores and a character model: probabilities of a text ending in a blank or in its last sign are kept apart,
-    so that a sign after a blank is a new one."""
-    uniform = math.log(1 / max(1, lm["size"])) if lm else 0.0
-    beams = {(): (0.0, -math.inf)}
-    for frame in frames:
-        top = np.argpartition(-frame, min(2 * width, len(frame)) - 1)[: 2 * width]
-        new: dict[tuple, list[float]] = {}
-
-        def add(text: tuple, blank: float, sign: float, into=new) -> None:
-            had = into.setdefault(text, [-math.inf, -math.inf])
-            had[0], had[1] = np.logaddexp(had[0], blank), np.logaddexp(had[1], sign)
-
-        for text, (blank, sign) in beams.items():
-            both = np.logaddexp(blank, sign)
-            for c in top:
-                p = float(frame[c])
-                if c == 0:
-                    add(text, both + p, -math.inf)
-                    continue
-                bonus = 0.0
-                if lm:
-                    context = "".join(vocabulary[i] for i in text)[-(n - 1) :]
-                    bonus = alpha * lm["logp"].get((context, vocabulary[c]), lm["unseen"].get(context, uniform))
-                if text and text[-1] == c:
-                    add(text, -math.inf, sign + p)
-                    add((*text, c), -math.inf, blank + p + bonus)
-                else:
-                    add((*text, c), -math.inf, both + p + bonus)
-        beams = dict(sorted(new.items(), key=lambda x: (-np.logaddexp(*x[1]), x[0]))[:width])
-    best = max(beams.items(), key=lambda x: (np.logaddexp(*x[1]), [-i for i in x[0]]))[0] if beams else ()
-    return " ".join("".join(vocabulary[i] for i in best).split())
+class Contexts:
+    """The last ``n - 1`` characters of texts as numbers, with a model's bonus for every sign after each; both are filled in as they are met."""
+
+    def __init__(self, lm: dict | None, alpha: float, n: int, vocabulary: list[str]):
+        self.lm, self.alpha, self.keep, self.vocabulary = lm, alpha, n - 1, vocabulary
+        self.uniform = math.log(1 / max(1, lm["size"])) if lm else 0.0
+        self.known, self.names = {}, []
+        self.bonus, self.next = np.empty((0, len(vocabulary))), np.empty((0, len(vocabulary)), np.int64)
+        self.number("")
+
+    def number(self, context: str) -> int:
+        if context not in self.known:
+            self.known[context] = len(self.names)
+            self.names.append(context)
+            row = np.zeros(len(self.vocabulary))
+            if self.lm:
+                other = self.lm["unseen"].get(context, self.uniform)
+                row = np.array([self.alpha * self.lm["logp"].get((context, v), other) for v in self.vocabulary])
+            if len(self.names) > len(self.bonus):
+                room = max(64, len(self.bonus))
+                self.bonus = np.concatenate([self.bonus, np.empty((room, row.size))])
+                self.next = np.concatenate([self.next, np.full((room, row.size), -1)])
+            self.bonus[len(self.names) - 1] = row
+        return self.known[context]
+
+    def after(self, context: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        if not self.lm:
+            return context
+        for c, v in set(zip(*(x[self.next[context, sign] < 0].tolist() for x in (context, sign)), strict=True)):
+            text = self.names[c] + self.vocabulary[v]
+            self.next[c, v] = self.number(text[max(0, len(text) - self.keep) :])
+        return self.next[context, sign]
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def prefix_search(utterances: list[np.ndarray], lm: dict | None, width: int, alpha: float, n: int = 3, vocabulary: list[str] = VOCABULARY) -> list[str]:
+    """Best texts of several utterances under their frame scores and a character model, a frame of all of them at a time.
+
+    Probabilities of a text that ends in a blank or in its last sign are kept apart, so that a sign after a blank is a new one. A text is a hash of itself, a hash of
+    it without its last sign, and that sign; which text it grew from is noted for each frame, so the work of a frame does not grow with the text. Only the
+    best ``2 * width`` signs of a frame are looked at. Of equal scores the text that grew from a better one stays.
+    """
+    u, signs = len(utterances), len(vocabulary)
+    lens = np.array([len(x) for x in utterances], np.int64)
+    if not u or not lens.max():
+        return [""] * u
+    frames = np.zeros((u, int(lens.max()), signs))
+    for k, x in enumerate(utterances):
+        frames[k, : len(x)] = x
+    contexts = Contexts(lm, alpha, n, vocabulary)
+    top_n, none = min(2 * width, signs), -np.inf
+    rows = np.arange(u)[:, None]
+    blank, sign = np.full((u, width), none), np.full((u, width), none)
+    blank[:, 0] = 0.0
+    own = np.tile(np.arange(1, width + 1, dtype=np.uint64), (u, 1))
+    parent, last, context = np.zeros((u, width), np.uint64), np.zeros((u, width), np.int64), np.zeros((u, width), np.int64)
+    grew, said = [], []
+    for t in range(frames.shape[1]):
+        going = (lens > t)[:, None]
+        top = np.argpartition(-frames[:, t], top_n - 1, axis=1)[:, :top_n]
+        score = np.full((u, signs), none)
+        score[rows, top] = frames[:, t][rows, top]
+        both = np.logaddexp(blank, sign)
+        # a sign more: from the blank alone where it is the last one again
+        base = np.where(top[:, None, :] == last[:, :, None], blank[:, :, None], both[:, :, None])
+        longer = base + score[rows, top][:, None, :] + contexts.bonus[context[:, :, None], top[:, None, :]]
+        longer[np.broadcast_to((top == 0)[:, None, :], longer.shape)] = none
+        # the same text: a blank, its last sign once more, or that sign said anew by the text it grew from, if that is still held
+        stay_blank = both + score[:, :1]
+        again = np.where(last > 0, sign + score[rows, last], none)
+        from_ = parent[:, :, None] == own[:, None, :]
+        held, slot = from_.any(2) & (last > 0), from_.argmax(2)
+        anew = np.where(last[rows, slot] == last, blank[rows, slot], both[rows, slot]) + score[rows, last] + contexts.bonus[context[rows, slot], last]
+        stay_sign = np.where(held, np.logaddexp(again, anew), again)
+        taken = (from_ & held[:, :, None])[:, :, :, None] & (last[:, :, None, None] == top[:, None, None, :])
+        longer[taken.any(1)] = none
+        values = np.concatenate([np.logaddexp(stay_blank, stay_sign), longer.reshape(u, -1)], 1)
+        best = np.argsort(-values, axis=1, kind="stable")[:, :width]
+        stays = best < width
+        at = np.where(stays, best, (best - width) // top_n)
+        what = np.where(stays, 0, top[rows, (best - width) % top_n])
+        fresh = values[rows, best]
+        grown = _MIX * (own[rows, at] ^ (own[rows, at] >> np.uint64(29))) + (what.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        moved = {
+            "blank": np.where(stays, stay_blank[rows, at], none), "sign": np.where(stays, stay_sign[rows, at], fresh), "parent": np.where(stays, parent[rows, at], own[rows, at]),
+            "own": np.where(stays, own[rows, at], grown), "last": np.where(stays, last[rows, at], what), "context": np.where(stays, context[rows, at], contexts.after(context[rows, at], what)),
+        }
+        blank, sign, parent, own, last, context = (np.where(going, moved[k], x) for k, x in (("blank", blank), ("sign", sign), ("parent", parent), ("own", own), ("last", last), ("context", context)))
+        grew.append(np.where(going, at, np.arange(width)))
+        said.append(np.where(going, what, 0))
+    slot = np.logaddexp(blank, sign).argmax(1)
+    texts: list[list[int]] = [[] for _ in range(u)]
+    for at, what in zip(reversed(grew), reversed(said), strict=True):
+        for k in np.nonzero(what[np.arange(u), slot])[0].tolist():
+            texts[k].append(int(what[k, slot[k]]))
+        slot = at[np.arange(u), slot]
+    return [" ".join("".join(vocabulary[i] for i in reversed(x)).split()) for x in texts]
+
+
+#: Utterances that are searched together.
+TOGETHER = 64
 
 
 def beam(df: DataFrame, key: str, frames: str, lm: DataFrame | None = None, width: int = 16, alpha: float = 0.35, n: int = 3) -> DataFrame:
@@ -160,6 +231,12 @@ def beam(df: DataFrame, key: str, frames: str, lm: DataFrame | None = None, widt
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({key: p[key], "text": [prefix_search(np.stack(f) if len(f) else np.empty((0, len(VOCABULARY))), shared.value, width, alpha, n) for f in p[frames]]})
+            every = [np.stack(f) if len(f) else np.empty((0, len(VOCABULARY))) for f in p[frames]]
+            order, texts = sorted(range(len(every)), key=lambda k: len(every[k])), [""] * len(every)  # like lengths together
+            for k in range(0, len(order), TOGETHER):
+                own = order[k : k + TOGETHER]
+                for i, text in zip(own, prefix_search([every[i] for i in own], shared.value, width, alpha, n), strict=True):
+                    texts[i] = text
+            yield pd.DataFrame({key: p[key], "text": texts})
 
     return df.select(key, frames).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, text string")
