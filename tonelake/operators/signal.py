@@ -136,7 +136,11 @@ def log_mel_of(x: np.ndarray, n_fft: int = 256, hop: int = 32) -> np.ndarray:
     """Frames x bands: log(1 + power) of triangular bands over a centred Hann spectrum."""
     if len(x) <= n_fft // 2:
         x = np.pad(x, (0, n_fft // 2 + 1 - len(x)))
-    wide = np.pad(x.astype(np.float64), n_fft // 2, mode="reflect")
+    return mel_frames(np.pad(x.astype(np.float64), n_fft // 2, mode="reflect"), n_fft, hop)
+
+
+def mel_frames(wide: np.ndarray, n_fft: int = 256, hop: int = 32) -> np.ndarray:
+    """Frames of a stretch of sound that has half a window more on both sides."""
     frames = np.lib.stride_tricks.sliding_window_view(wide, n_fft)[::hop]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
     return np.log1p((np.abs(np.fft.rfft(frames * window)) ** 2) @ mel_bank(n_fft)).astype(np.float32)

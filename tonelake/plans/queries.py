@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, metrics, text
 from ..functions.constants import CODES, SIGNS, VOCABULARY, units
-from ..operators import ctc, evaluate, label, pulses, quality, scans, signal, splits
+from ..operators import blocks, ctc, evaluate, label, pulses, quality, scans, signal, splits
 from ..sources import io, recordings
 from ..streaming import arrivals, logs
 
@@ -920,6 +920,18 @@ def recordings_from_files(spark, d):
     return both.drop("content", "path").join(heard, "recording_id").select(F.floor(rec / 100_000).alias("item_id"), (rec % 100_000).alias("part"), F.col("raw_text").alias("sent"), "wpm", "heard")
 
 
+@query(SQL["pulse_round_trip"])
+def long_recordings(spark, d):
+    """Whole texts as one recording each, written as files, read in blocks of sixteen seconds and decoded: no row holds more than a block and its halo."""
+    path = io.scratch(spark)
+    sent = signal.render(_bench(spark, d).where("clean <> ''").withColumn("events", text.timing_events(F.col("clean"), 20.0)), "events")
+    recordings.write_files(signal.encode_wav(sent).select(F.col("item_id").cast("string").alias("recording_id"), F.lit(20.0).alias("wpm"), "content"), path)
+    flat = blocks.to_pulses(recordings.read_blocks(spark, path, blocks.BLOCK, blocks.HALO, at_once=4), "recording_id")
+    heard = pulses.decode_words(flat, 0.06, "recording_id")
+    texts = heard.groupBy("recording_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "word"))), lambda w: w["word"]), " ").alias("text"))
+    return texts.select(F.col("recording_id").cast("long").alias("item_id"), "text")
+
+
 @query(f"{PARTS_SQL}, string_agg(word, ' ' ORDER BY wi) AS text, count(*) AS n_words FROM words GROUP BY ALL")
 def labels_from_arriving_files(spark, d):
     """Files of sound labelled as they arrive, with what was sent, from files to chunks of one word or more; a recording's chunks hold all that was sent."""
@@ -994,3 +1006,29 @@ def result_cases(spark, d):
     rows = table(spark, d, "events").select("event_type", F.col("user_id").alias("run"), F.concat(F.lit("case_"), "event_id").alias("case"), r6("value").alias("cer"))
     rows.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("case", case.alias("r")))).alias("synthetic")).select("run", "synthetic").write.partitionBy("run").json(path)
     return io.read_cases(spark, path).select("case", "bucket", "cer", "content_type")
+
+
+_FOLDS_SQL = SQL["folds"]
+
+
+@query(f"SELECT f.fold, CAST(doc_id AS VARCHAR) || '.npy' AS chunk_file, source_key, substring(text, 1, 40) AS text FROM documents JOIN ({_FOLDS_SQL}) AS f ON f.source_key = source || '_' || lang")
+def fold_manifest(spark, d):
+    """Manifests of folds, a document for a share of a source's items, written and read back as one row an item."""
+    path = io.scratch(spark)
+    docs = table(spark, d, "documents").withColumn("source_key", F.concat_ws("_", "source", "lang"))
+    rows = docs.join(_folds(spark, d).select("fold", "source_key"), "source_key")
+    item = F.struct(F.concat(F.lit("data/"), F.col("doc_id").cast("string"), F.lit(".npy")).alias("npy"), F.substring("text", 1, 40).alias("text"), "source_key")
+    some = rows.groupBy("fold", "source_key", F.floor(F.col("doc_id") / 1000).alias("share")).agg(F.collect_list(item).alias("items"), F.collect_set("source_key").alias("sources"))
+    one = some.select("fold", "source_key", "share", F.array(F.struct(F.col("fold").alias("name"), "sources", "items")).alias("folds"))
+    one.repartition("fold", "source_key", "share").write.partitionBy("fold", "source_key", "share").json(path)  # a document a file
+    return io.read_folds(spark, path)
+
+
+@query("SELECT 'run_' || user_id AS checkpoint, date_trunc('second', max(ts))::TIMESTAMP AS timestamp, round(avg(value), 6) AS overall_cer, round(min(value), 6) AS arrl_cer, CAST(NULL AS DOUBLE) AS kaggle_cer, 0::BIGINT AS folds FROM events GROUP BY user_id")
+def result_files(spark, d):
+    """Result files of an older age, which lack most fields, under today's schema."""
+    path = io.scratch(spark)
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.date_trunc("second", F.max("ts")).cast("timestamp_ntz").alias("timestamp"), r6(F.avg("value")).alias("overall_cer"), r6(F.min("value")).alias("arrl_cer"))
+    rows.select(F.col("user_id").alias("run"), F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("checkpoint"), "timestamp", "overall_cer", "arrl_cer").write.partitionBy("run").json(path)
+    got = io.read_results(spark, path)
+    return got.select("checkpoint", F.col("timestamp").cast("timestamp").alias("timestamp"), "overall_cer", "arrl_cer", "kaggle_cer", F.coalesce(F.size("arrl_folds"), F.lit(0)).cast("long").alias("folds"))

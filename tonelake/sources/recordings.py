@@ -10,13 +10,17 @@ from __future__ import annotations
 import posixpath
 import re
 import uuid
+import wave
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..functions.constants import SAMPLE_RATE
+
 SCHEMA = "recording_id string, wpm double, content binary, path string"
 #: Files that one task reads.
 FILES_A_TASK = 256
@@ -32,6 +36,15 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _listed(path: str, ext: str) -> list[tuple[str, int]]:
+    """Files below a folder with their sizes."""
+    from pyarrow import fs
+
+    root, base = _open(path)
+    found = root.get_file_info(fs.FileSelector(base, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.is_file and f.base_name.endswith(f".{ext}") and not f.base_name.startswith((".", "_")))
+
+
 def place_of(recording_id: str, wpm: float | None, ext: str) -> str:
     """Folder and name of a recording's file below the root."""
     if not recording_id or not _NAME.fullmatch(recording_id):
@@ -71,7 +84,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class _Files(InputPartition):
-    def __init__(self, files: list[str]):
+    def __init__(self, files: list):
         super().__init__(files)
 
 
@@ -80,11 +93,7 @@ class _Reader(DataSourceReader):
         self.path, self.ext = path, ext
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        root, base = _open(self.path)
-        found = root.get_file_info(fs.FileSelector(base, recursive=True))
-        files = sorted(f.path for f in found if f.is_file and f.base_name.endswith(f".{self.ext}") and not f.base_name.startswith((".", "_")))
+        files = [path for path, _ in _listed(self.path, self.ext)]
         return [_Files(files[i : i + FILES_A_TASK]) for i in range(0, len(files), FILES_A_TASK)] or [_Files([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -95,6 +104,68 @@ class _Reader(DataSourceReader):
                 yield posixpath.basename(path)[: -len(self.ext) - 1], float(speed[1]) if speed else None, f.read(), path
 
 
+def _wav(f) -> wave.Wave_read | None:
+    """The file as WAV, if it is one; anything else is bare samples."""
+    head = f.read(4)
+    f.seek(0)
+    return wave.open(f) if head == b"RIFF" else None
+
+
+class _Blocks(DataSourceReader):
+    """Recordings cut into blocks with what stands before and after each, read by their place in the file: no row and no task holds a whole recording."""
+
+    def __init__(self, path: str, ext: str, block: int, halo: int, at_once: int):
+        self.path, self.ext, self.block, self.halo, self.at_once = path, ext, block, halo, at_once
+
+    def partitions(self) -> list[InputPartition]:
+        found = []
+        for path, size in _listed(self.path, self.ext):
+            blocks = max(1, -(-size // (2 * self.block)))  # two bytes a sample at least
+            found += [(path, k, min(blocks, k + self.at_once)) for k in range(0, blocks, self.at_once)]
+        return [_Files([x]) for x in found] or [_Files([])]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        root, _ = _open(self.path)
+        for path, first, last in partition.value:
+            speed = re.search(r"(\d+(?:\.\d+)?)wpm", path)
+            with root.open_input_file(path) as f:
+                wav = _wav(f)
+                if wav is not None and (wav.getframerate() != SAMPLE_RATE or wav.getsampwidth() != 2):
+                    raise ValueError(f"{path}: only 16-bit sound at {SAMPLE_RATE} Hz can be read in blocks")
+                channels = wav.getnchannels() if wav is not None else 1
+                n = wav.getnframes() if wav is not None else f.size() // 2
+                for k in range(first, last):
+                    start = k * self.block
+                    if start >= max(n, 1):
+                        break
+                    a, b = max(0, start - self.halo), min(n, start + self.block + self.halo)
+                    if wav is not None:
+                        wav.setpos(a)
+                        raw = wav.readframes(b - a)
+                    else:
+                        f.seek(2 * a)
+                        raw = f.read(2 * (b - a))
+                    x = (np.frombuffer(raw, "<i2").reshape(-1, channels).mean(1) / 32768).astype(np.float32)
+                    audio = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                    own = [posixpath.basename(path)[: -len(self.ext) - 1], float(speed[1]) if speed else None, n, start, start - a, max(0, min(self.block, n - start))]
+                    yield pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(own, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], audio], names=["recording_id", "wpm", "n_samples", "first", "before", "own", "audio"])
+
+
+class RecordingBlocks(DataSource):
+    """Options: ``path``, ``ext``; ``block`` and ``halo`` in samples; ``at_once``: blocks that one task reads."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recording_blocks"
+
+    def schema(self) -> str:
+        return "recording_id string, wpm double, n_samples long, first long, before int, own int, audio array<float>"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        o = self.options
+        return _Blocks(o["path"], o.get("ext", "wav"), int(o["block"]), int(o["halo"]), int(o.get("at_once", "64")))
+
+
 class Recordings(DataSource):
     """Options: ``path`` (what ``load`` and ``save`` are given), ``ext`` (``wav`` without one)."""
 
@@ -127,3 +198,9 @@ def read_files(spark: SparkSession, path: str, ext: str = "wav") -> DataFrame:
     """The files back as rows, a task for each ``FILES_A_TASK`` of them."""
     register(spark)
     return spark.read.format("recordings").option("ext", ext).load(path)
+
+
+def read_blocks(spark: SparkSession, path: str, block: int, halo: int, ext: str = "wav", at_once: int = 64) -> DataFrame:
+    """``recording_id, wpm, n_samples, first, before, own, audio``: ``own`` samples from ``first`` on, with ``before`` samples ahead of them and up to ``halo`` after."""
+    spark.dataSource.register(RecordingBlocks)
+    return spark.read.format("recording_blocks").options(ext=ext, block=block, halo=halo, at_once=at_once).load(path)
