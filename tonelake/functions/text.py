@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import CHUNK_SECONDS, CODES, GAP_CHAR, GAP_WORD, HOP, MAX_FRAMES, SAMPLE_RATE, SIGNS, VOCABULARY, literal_map, units
+from .constants import CODES, GAP_CHAR, GAP_WORD, HOP, MAX_FRAMES, SAMPLE_RATE, SIGNS, VOCABULARY, literal_map, units
 
 OUTSIDE = r"""[^A-Z0-9 .,?'!/():;&=+\-_"$@]"""
 SPAN = "array<struct<start_u:double,end_u:double,word:string>>"
@@ -180,7 +180,3 @@ def speed_from_name(name: Column, header: Column) -> Column:
 def character_speed(wpm: Column) -> Column:
     """Slow recordings stretch their gaps; their signs are sent at 15."""
     return F.when(wpm <= 5, F.lit(15.0)).otherwise(wpm)
-
-
-def chunk_count(seconds: Column, chunk_s: float = CHUNK_SECONDS) -> Column:
-    return F.greatest(F.lit(1), F.ceil(seconds / chunk_s).cast("int"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import band
+from ..sources.io import stored
+
+#: Drawn ids that may be broadcast; above it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def hash_order(seed: int, key: str) -> Column:
@@ -14,9 +18,10 @@ def hash_order(seed: int, key: str) -> Column:
 
 
 def sample_per_episode(chunks: DataFrame, episode: str, chunk: str, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` chunks of each episode, before any audio is touched."""
+    """At most ``n`` chunks of each episode. They are drawn from ids alone, so neither text nor audio is sorted; chunk ids must be distinct."""
     rank = F.row_number().over(Window.partitionBy(episode).orderBy(hash_order(seed, chunk), chunk))
-    return chunks.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    drawn = stored(chunks.select(episode, chunk).withColumn("__rank", rank).where(F.col("__rank") <= n).select(chunk))
+    return chunks.join(F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn, chunk, "left_semi").select(*chunks.columns)
 
 
 def audible(chunks: DataFrame, wpm: str, above: float = 5.0) -> DataFrame:

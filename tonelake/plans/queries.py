@@ -204,10 +204,11 @@ CHUNK = 80
 
 
 def _audio_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All texts in chunks, a table of its own: audits read its ids, then the chunks that they drew."""
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws("_", "source", "lang").alias("prefix"), "lang", "source", text.clean_vocab(F.col("text")).alias("c"))
     parts = F.regexp_extract_all("c", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     rows = docs.select("doc_id", "prefix", "lang", "source", F.posexplode(parts).alias("k", "target"))
-    return rows.select(F.concat_ws("_", "doc_id", "k").alias("chunk_id"), "doc_id", F.col("k").cast("long").alias("k"), "prefix", "lang", "source", "target")
+    return io.stored(rows.select(F.concat_ws("_", "doc_id", "k").alias("chunk_id"), "doc_id", F.col("k").cast("long").alias("k"), "prefix", "lang", "source", "target"))
 
 
 def _scored(chunks: DataFrame) -> DataFrame:
@@ -224,24 +225,25 @@ SAMPLE_SQL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix OR
 AUDIT_SQL = f"{CHUNK_SQL}, sam AS ({SAMPLE_SQL.format('chunk', 7, 20)}), sc AS ({SCORE_SQL.format('sam')}), ep AS (SELECT prefix, count(*) AS n, avg(cer) AS a, quantile_cont(cer, 0.5) AS m, avg(CASE WHEN cer > 0.5 THEN 1.0 ELSE 0.0 END) AS b FROM sc GROUP BY prefix)"
 
 
-def audit(spark: SparkSession, d: str) -> DataFrame:
+def audit(chunks: DataFrame) -> DataFrame:
     """The sample is drawn from ids first; only what is drawn is decoded and scored."""
-    return quality.audit_episodes(_scored(quality.sample_per_episode(_audio_chunks(spark, d), "prefix", "chunk_id", 20, seed=7)), "prefix")
+    return quality.audit_episodes(_scored(quality.sample_per_episode(chunks, "prefix", "chunk_id", 20, seed=7)), "prefix")
 
 
 @query(f"WITH {AUDIT_SQL} SELECT prefix, n, round(a, 6) AS avg_cer, round(m, 6) AS median_cer, round(b, 6) AS bad_share, CASE WHEN a < 0.3 THEN 'GOOD' WHEN a < 0.5 THEN 'MARG' ELSE 'BAD' END AS rating FROM ep")
 def audit_groups(spark, d):
-    return audit(spark, d).select("prefix", "n", r6("avg_cer").alias("avg_cer"), r6("median_cer").alias("median_cer"), r6("bad_share").alias("bad_share"), "rating")
+    return audit(_audio_chunks(spark, d)).select("prefix", "n", r6("avg_cer").alias("avg_cer"), r6("median_cer").alias("median_cer"), r6("bad_share").alias("bad_share"), "rating")
 
 
 @query(f"WITH {AUDIT_SQL} SELECT regexp_extract(prefix, '_(.+)$', 1) AS category, count(*) AS episodes, round(avg(a), 6) AS avg_cer, count(*) FILTER (a >= 0.5) AS bad_episodes FROM ep GROUP BY 1")
 def audit_categories(spark, d):
-    return quality.audit_categories(audit(spark, d), F.regexp_extract("prefix", "_(.+)$", 1)).withColumn("avg_cer", r6("avg_cer"))
+    return quality.audit_categories(audit(_audio_chunks(spark, d)), F.regexp_extract("prefix", "_(.+)$", 1)).withColumn("avg_cer", r6("avg_cer"))
 
 
 @query(f"WITH {AUDIT_SQL} SELECT chunk_id, prefix FROM chunk WHERE prefix NOT IN (SELECT prefix FROM ep WHERE a > 0.45)")
 def prune_bad_episodes(spark, d):
-    return quality.prune(_audio_chunks(spark, d), audit(spark, d), "prefix", above=0.45).select("chunk_id", "prefix")
+    chunks = _audio_chunks(spark, d)
+    return quality.prune(chunks, audit(chunks), "prefix", above=0.45).select("chunk_id", "prefix")
 
 
 @query(f"WITH {CHUNK_SQL}, sam AS ({SAMPLE_SQL.format('(SELECT * FROM chunk WHERE doc_id % 9 = 0 OR 3 + doc_id % 20 > 5)', 5, 20)}), sc AS ({SCORE_SQL.format('sam')}) SELECT prefix, count(*) AS n, round(avg(cer), 6) AS avg_cer FROM sc GROUP BY prefix")
