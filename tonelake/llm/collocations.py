@@ -6,59 +6,42 @@ The counters that are left go into a bit map of fixed size; the second pass coun
 drops what is too rare. Phrases of three and four words are summarised only where all their pairs of neighbours have their bits, as a
 phrase is not more frequent than its parts.
 
-All four kinds of counts are sums over the whole corpus, combined within tasks before they are shuffled.
+All counts are sums over the whole corpus, combined within tasks before they are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_key, slices, small_batches, stored, texts_of
-from .tables import ChunkTable, held
+from .common import joined_by_key, slices, small_batches, stored
+from .shingles import BYTE, LOWER, flat_bytes, mixed, powers
 
 LONGEST = 4
-#: Bits of the map (a byte for eight): about this many phrases can be told from others; with more the second pass only counts more.
-MAP_BITS = 28
-#: Distinct phrases that a task summarises, and counters of a merged summary, before they are passed on or cut.
-HELD, COUNTERS = 4_000_000, 1 << 20
-#: Text, and words, that are counted together in the second pass.
-SLICE = 8 << 20
-_CUTS = b".,;:!?\x0b\x0c\r"
-_PLAIN = bytes.maketrans(_CUTS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", b"\n" * len(_CUTS) + b"abcdefghijklmnopqrstuvwxyz ")
-_TOKENS = re.compile(rb"[^ \n]+|\n")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens_of(text: str) -> list[bytes]:
-    """Words in lower case (A-Z only), and a line feed where a piece ends."""
-    found = _TOKENS.findall(text.encode().translate(_PLAIN))
-    found.append(b"\n")
-    return found
 
 
-class Words(ChunkTable):
-    """Distinct words with a hash; the line feed is number 0."""
+class Limits(NamedTuple):
+    """Sizes of what a task holds; none changes a result."""
 
-    def __init__(self):
-        self.clear()
+    #: Bits of the map (a byte for eight): about this many phrases can be told from others; with more the second pass only counts more.
+    map_bits: int = 27
+    #: Distinct phrases that a task summarises, and counters of a merged summary, before they are passed on or cut.
+    held: int = 1 << 20
+    counters: int = 1 << 20
+    #: Bytes of text that are counted together.
+    text: int = 3 << 20
 
-    def clear(self) -> None:
-        super().clear()
-        self.names, self.hash = [b"\n"], np.zeros(1, np.uint64)
-        self.codes[b"\n"]
-        self.codes.new = []
 
-    def fill(self, new: list) -> None:
-        self.names += new
-        more = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in new), np.uint64)
-        self.hash = np.concatenate([self.hash, more])
+LIMITS = Limits()
+_CUT = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
+_BETWEEN = _CUT | np.isin(np.arange(256), list(b" \t"))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,23 +50,75 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x * _MIX
 
 
-def phrases(codes: np.ndarray, seed: np.ndarray, table: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For 1 to ``LONGEST`` words: length, the places where such phrases begin, and their hashes. ``seed``: a number for the language at each place."""
-    word = table.hash[codes]
-    at = np.nonzero(codes)[0]
-    h = _mixed(word[at] ^ seed[at])
-    for width in range(1, LONGEST + 1):
-        if width > 1:
-            go = np.nonzero(codes[at + width - 1])[0]  # a line feed ends every text
-            at = at[go]
-            h = _mixed(h[go] ^ (word[at + width - 1] + np.uint64(width)))
-        yield width, at, h
+class Words:
+    """The words of a slice of texts, in order: place and length in the bytes, text, piece, and a hash with A-Z in lower case."""
+
+    def __init__(self, column: pa.Array):
+        self.data, offsets = flat_bytes(column)
+        inside = ~_BETWEEN[self.data]
+        edge = np.zeros(len(self.data) + 1, bool)
+        edge[offsets] = True
+        self.starts = np.flatnonzero(inside & (edge[:-1] | np.append(True, ~inside[:-1])[: len(inside)]))
+        ends = np.flatnonzero(inside & (edge[1:] | np.append(~inside[1:], True)[: len(inside)])) + 1
+        self.lens = ends - self.starts
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
+        cuts = np.cumsum(_CUT[self.data], dtype=np.int32)[self.starts]
+        new = (cuts[1:] != cuts[:-1]) | (self.text[1:] != self.text[:-1])
+        self.piece = np.append(0, np.cumsum(new)) if len(cuts) else cuts
+        self.hash = self._hashes()
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def _bytes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of some words one after another, the place of each in its word, and where each word begins."""
+        lens = self.lens[some]
+        begin = np.cumsum(lens) - lens
+        place = np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(begin, lens).astype(np.int32)
+        return LOWER[self.data[np.repeat(self.starts[some], lens) + place]], place, begin
+
+    def _hashes(self) -> np.ndarray:
+        if not len(self):
+            return np.empty(0, np.uint64)
+        data, place, begin = self._bytes(slice(None))
+        return mixed(np.add.reduceat(BYTE[data] * powers(int(self.lens.max()))[place], begin) + self.lens.astype(np.uint64))
+
+    def numbered(self) -> tuple[np.ndarray, list[str]]:
+        """A number for each word and the word of each number. Words are compared by their bytes: equal hashes of others do no harm."""
+        number, names = np.full(len(self), -1), []
+        left = np.arange(len(self))
+        while len(left):
+            _, first, own = np.unique(self.hash[left], return_index=True, return_inverse=True)
+            like = left[first]
+            same = self.lens[left] == self.lens[like][own]
+            a, _, begin = self._bytes(left[same])
+            b, _, _ = self._bytes(like[own[same]])
+            if len(a):
+                same[same] = np.logical_and.reduceat(a == b, begin)
+            number[left[same]] = len(names) + own[same]
+            text, _, begin = self._bytes(like)
+            text, ends = text.tobytes(), begin + self.lens[like]
+            names += [text[i:j].decode() for i, j in zip(begin.tolist(), ends.tolist(), strict=True)]
+            left = left[~same]
+        return number, names
+
+    def phrases(self, seed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For 1 to ``LONGEST`` words: length, the words that begin such phrases, and their hashes. ``seed``: a number for the language of each text."""
+        at = np.arange(len(self))
+        h = _mixed(self.hash ^ seed[self.text]) if len(self) else self.hash
+        for width in range(1, LONGEST + 1):
+            if width > 1:
+                at = at[: np.searchsorted(at, len(self) - width + 1)]
+                go = self.piece[at] == self.piece[at + width - 1]
+                at, h = at[go], h[: len(at)][go]
+                h = _mixed(h ^ (self.hash[at + width - 1] + np.uint64(width)))
+            yield width, at, h
 
 
 class Summary:
     """Misra-Gries counters of hashes, with the most that any counter lacks (``error``, kept below ``threshold``)."""
 
-    def __init__(self, threshold: int, capacity: int = COUNTERS):
+    def __init__(self, threshold: int, capacity: int = LIMITS.counters):
         self.threshold, self.capacity, self.error = threshold, capacity, 0
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -108,19 +143,14 @@ def _seeds(langs: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8, person=b"lang").digest() for x in langs), np.uint64)
 
 
-def _read(batch: pa.RecordBatch, table: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes of all words, the number of the language at each, and the names of the languages."""
-    codes, counts = table.look_up([tokens_of(t) for t in texts_of(batch)])
+def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
+    """The number of the language of each row, and the names."""
     lang = batch.column(0).dictionary_encode()
-    return codes, np.repeat(lang.indices.to_numpy().astype(np.int64), counts), lang.dictionary.to_pylist()
-
-
-def _tasks_words() -> Words:
-    return held((Words,), Words)
+    return lang.indices.to_numpy().astype(np.int64), lang.dictionary.to_pylist()
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - MAP_BITS)
+    place = h >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
@@ -130,9 +160,9 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return total.keys, total.counts
 
 
-def _summarised(batches, widths: tuple[int, ...], known, cut: int):
+def _summarised(batches, widths: tuple[int, ...], known, cut: int, limits: Limits):
     """``part, keys, counts``: for each partition (of ``1 << cut``) the phrases of a task and their counts."""
-    table, parts, size = _tasks_words(), [], 0
+    parts, size = [], 0
     bits = known.value if known is not None else None
 
     def rows():
@@ -143,12 +173,12 @@ def _summarised(batches, widths: tuple[int, ...], known, cut: int):
             small = np.uint8 if c.max() < 256 else np.int64
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(small).tobytes()], pa.binary())], names=["part", "keys", "counts"])
 
-    for batch in slices(batches):
-        codes, lang, names = _read(batch, table)
+    for batch in slices(batches, size=limits.text):
+        words, (lang, names) = Words(batch.column(1)), _languages(batch)
         whole = None
-        for width, at, h in phrases(codes, _seeds(names)[lang] if names else np.empty(0, np.uint64), table):
+        for width, at, h in words.phrases(_seeds(names)[lang]):
             if bits is not None and width == 2:
-                whole = np.zeros(len(codes) + 1, bool)
+                whole = np.zeros(len(words), bool)
                 whole[at[_has(bits, h)]] = True
             if width in widths:
                 if whole is not None and width > 2:
@@ -157,23 +187,23 @@ def _summarised(batches, widths: tuple[int, ...], known, cut: int):
                 keys, counts = np.unique(h, return_counts=True)
                 parts.append((keys, counts))
                 size += len(keys)
-        if size > HELD:
+        if size > limits.held:
             parts = [_merged(parts)]
             size = len(parts[0][0])
-            if size > HELD // 2:
+            if size > limits.held // 2:
                 yield from rows()
                 parts, size = [], 0
     if parts:
         yield from rows()
 
 
-def _survivors(batches, threshold: int, cut: int):
+def _survivors(batches, threshold: int, cut: int, limits: Limits):
     """``part, bits``: of each partition the part of the bit map with the phrases that kept a counter."""
     now, summary = None, None
 
     def row():
-        width = 1 << (MAP_BITS - cut)
-        at = (summary.keys >> np.uint64(64 - MAP_BITS)).astype(np.int64) - now * width
+        width = 1 << (limits.map_bits - cut)
+        at = (summary.keys >> np.uint64(64 - limits.map_bits)).astype(np.int64) - now * width
         flags = np.zeros(width, np.uint8)
         flags[at] = 1
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
@@ -183,75 +213,69 @@ def _survivors(batches, threshold: int, cut: int):
             if part != now:
                 if now is not None:
                     yield row()
-                now, summary = part, Summary(threshold)
+                now, summary = part, Summary(threshold, limits.counters)
             k = np.frombuffer(keys, np.uint64)
             summary.add(k, np.frombuffer(counts, np.uint8 if len(counts) == len(k) else np.int64).astype(np.int64))
     if now is not None:
         yield row()
 
 
-def frequent_bits(rows: DataFrame, widths: tuple[int, ...], threshold: int, mass: int, known=None) -> np.ndarray:
+def frequent_bits(rows: DataFrame, widths: tuple[int, ...], threshold: int, mass: int, known=None, limits: Limits = LIMITS) -> np.ndarray:
     """Bit map of the phrases of these lengths that may stand ``threshold`` times or more: all that do, and few others."""
     spark = rows.sparkSession
-    need = mass * len(widths) // threshold // COUNTERS  # partitions in which the counters suffice
-    cut = min(MAP_BITS - 3, max(need, spark.sparkContext.defaultParallelism).bit_length() + 1)
-    made = rows.mapInArrow(lambda it: _summarised(it, widths, known, cut), "part int, keys binary, counts binary")
+    need = mass * len(widths) // threshold // limits.counters  # partitions in which the counters suffice
+    cut = min(limits.map_bits - 3, max(need, spark.sparkContext.defaultParallelism).bit_length() + 1)
+    made = rows.mapInArrow(lambda it: _summarised(it, widths, known, cut, limits), "part int, keys binary, counts binary")
     dealt = made.repartition(min(1 << cut, 4096), "part").sortWithinPartitions("part")
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    out = np.zeros(1 << (limits.map_bits - 3), np.uint8)
     size = len(out) >> cut
-    for row in dealt.mapInArrow(lambda it: _survivors(it, threshold, cut), "part int, bits binary").toLocalIterator():
+    for row in dealt.mapInArrow(lambda it: _survivors(it, threshold, cut, limits), "part int, bits binary").toLocalIterator():
         out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def _exact(batches, known):
-    """``lang, width, phrase, n``: counts of the phrases whose bit is set, of every slice."""
-    bits, table = known.value, _tasks_words()
-    for batch in slices(batches, size=SLICE):
-        codes, lang, names = _read(batch, table)
-        out = [[], [], [], []]
-        for width, at, h in phrases(codes, _seeds(names)[lang] if names else np.empty(0, np.uint64), table):
+def _exact(batches, known, limits: Limits):
+    """``lang, width, phrase, n``: counts of the phrases whose bit is set, of every slice; of width 0: all words."""
+    bits = known.value
+    for batch in slices(batches, size=limits.text):
+        words, (lang, names) = Words(batch.column(1)), _languages(batch)
+        number, word = words.numbered()
+        lang_at = lang[words.text]
+        total = np.bincount(lang_at, minlength=len(names))
+        out = [list(names), [0] * len(names), [""] * len(names), [total]]
+        for width, at, h in words.phrases(_seeds(names)[lang]):
             good = _has(bits, h)
             at, h = at[good], h[good]
-            while len(at):  # equal hashes of different words are counted apart, a round each
+            while len(at):  # equal hashes of different phrases are counted apart, a round each
                 _, first, own, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                same = lang[at] == lang[at[first]][own]
+                begin = at[first]
+                same = lang_at[at] == lang_at[begin][own]
                 for k in range(width):
-                    same &= codes[at + k] == codes[at[first] + k][own]
+                    same &= number[at + k] == number[begin + k][own]
                 if not same.all():
                     n = np.bincount(own[same], minlength=len(first))
-                begin = at[first]
-                words = [[table.names[c] for c in codes[begin + k].tolist()] for k in range(width)]
-                out[0] += [names[k] for k in lang[begin].tolist()]
+                parts = [[word[c] for c in number[begin + k].tolist()] for k in range(width)]
+                out[0] += [names[k] for k in lang_at[begin].tolist()]
                 out[1] += [width] * len(begin)
-                out[2] += [b" ".join(p) for p in zip(*words, strict=True)]
+                out[2] += parts[0] if width == 1 else [" ".join(p) for p in zip(*parts, strict=True)]
                 out[3].append(n)
                 at, h = at[~same], h[~same]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(np.concatenate(out[3]).astype(np.int64))], names=["lang", "width", "phrase", "n"])
-
-
-def _word_counts(batches):
-    total: dict[str, int] = {}
-    for batch in slices(batches):
-        for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            found = _TOKENS.findall(text.encode().translate(_PLAIN))
-            total[lang] = total.get(lang, 0) + len(found) - found.count(b"\n")
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(np.concatenate(out[3]).astype(np.int64))], names=["lang", "width", "phrase", "n"])
 
 
-def phrase_counts(docs: DataFrame, threshold: int, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, threshold: int, lang: str = "lang", text: str = "text", limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
     """``lang, width, phrase, f`` of every phrase of 1 to 4 words with ``threshold`` occurrences in a language, and ``lang, n``: all its words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].cast("string").alias("text"))
-    sizes = stored(rows.mapInArrow(_word_counts, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
-    mass = sizes.agg(F.sum("n")).first()[0] or 0
-    short = frequent_bits(rows, (1, 2), threshold, mass)
+    mass = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    mass = mass // 2 + 1  # a word has a byte at least and one behind it
+    short = frequent_bits(rows, (1, 2), threshold, mass, None, limits)
     pairs = spark.sparkContext.broadcast(short)
-    long = frequent_bits(rows, (3, 4), threshold, mass, pairs)
+    long = frequent_bits(rows, (3, 4), threshold, mass, pairs, limits)
     known = spark.sparkContext.broadcast(short | long)
-    counted = rows.mapInArrow(lambda it: _exact(it, known), "lang string, width int, phrase string, n long")
-    return stored(counted.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)), sizes
+    counted = rows.mapInArrow(lambda it: _exact(it, known, limits), "lang string, width int, phrase string, n long")
+    counts = stored(counted.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= threshold) | (F.col("width") == 0)))
+    return counts.where("width > 0"), counts.where("width = 0").select("lang", F.col("f").alias("n"))
 
 
 def _sub(first, width):
@@ -279,7 +303,7 @@ def scored(counts: DataFrame, share: int = 80) -> DataFrame:
     return found.where(F.col("longer").isNull() | (F.lit(100).cast("decimal(20,0)") * F.col("longer") < F.lit(share).cast("decimal(20,0)") * F.col("a"))).drop("longer")
 
 
-def collocations(docs: DataFrame, threshold: int = 30, top: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, threshold: int = 30, top: int = 2000, lang: str = "lang", text: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """The ``top`` phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
     Phrases have 2 to 4 words and ``threshold`` occurrences. A phrase's score is that of its weakest cut into two parts: 2,000,000 times its count over the
@@ -290,7 +314,7 @@ def collocations(docs: DataFrame, threshold: int = 30, top: int = 2000, lang: st
     from pyspark.sql import Window
 
     small_batches(docs.sparkSession)
-    counts, sizes = phrase_counts(docs, threshold, lang, text)
+    counts, sizes = phrase_counts(docs, threshold, lang, text, limits)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = stored(scored(counts)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return first.join(F.broadcast(sizes), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_by_key, slices, small_batches, stored
-from .shingles import _LOWER, flat_bytes, word_hashes
+from .shingles import LOWER, flat_bytes, word_hashes
 
 DEPTH = 5
 CUT = 3
@@ -45,7 +45,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(size)
     # DEPTH end symbols before each text; the first of them closes the text before
     room = np.full(len(data) + DEPTH * (n + 1), END, np.uint8)
-    room[np.arange(len(data)) + DEPTH * (np.repeat(np.arange(n), size) + 1)] = _LOWER[data]
+    room[np.arange(len(data)) + DEPTH * (np.repeat(np.arange(n), size) + 1)] = LOWER[data]
     out = np.zeros(len(room) - DEPTH, np.uint64)
     for k in range(DEPTH + 1):
         out = (out << np.uint64(8)) | room[k : len(out) + k]

@@ -7,13 +7,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,16 +42,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begin), np.flatnonzero(finish) + 1
 
 
+def powers(n: int) -> np.ndarray:
+    """A factor for each of the first ``n`` places in a word."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z in lower case, and the number of words of each text."""
     starts, ends = word_spans(data, offsets)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     lens = ends - starts
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lens.max()) - 1, _BASE, np.uint64)]), dtype=np.uint64)
     at = np.repeat(starts, lens)
     place = np.arange(len(at)) - np.repeat(np.cumsum(lens) - lens, lens)
-    values = _BYTE[_LOWER[data[at + place]]] * powers[place]
+    values = BYTE[LOWER[data[at + place]]] * powers(int(lens.max()))[place]
     hashes = mixed(np.add.reduceat(values, np.cumsum(lens) - lens) + lens.astype(np.uint64))
     counts = np.diff(np.searchsorted(starts, offsets))
     return hashes, counts
