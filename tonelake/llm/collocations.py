@@ -2,7 +2,7 @@
 
 A phrase's hash gives its partition. A task summarises the phrases of its texts for each partition; the summaries of a partition are merged one by one into
 one whose counters outnumber its mass over the threshold: what is taken off a counter stays below the threshold, so every frequent phrase keeps one.
-The counters that are left go into a bit map of fixed size; the second pass counts by their words the phrases whose bits are set, and
+What can reach the threshold by its counter and that loss goes into a bit map of fixed size; the second pass counts by their words the phrases whose bits are set, and
 drops what is too rare. Phrases of three and four words are summarised only where all their pairs of neighbours have their bits, as a
 phrase is not more frequent than its parts.
 
@@ -198,12 +198,13 @@ def _summarised(batches, widths: tuple[int, ...], known, cut: int, limits: Limit
 
 
 def _survivors(batches, threshold: int, cut: int, limits: Limits):
-    """``part, bits``: of each partition the part of the bit map with the phrases that kept a counter."""
+    """``part, bits``: of each partition the part of the bit map with the phrases that can reach the threshold."""
     now, summary = None, None
 
     def row():
         width = 1 << (limits.map_bits - cut)
-        at = (summary.keys >> np.uint64(64 - limits.map_bits)).astype(np.int64) - now * width
+        may = summary.counts + summary.error >= threshold  # a counter lacks ``error`` at most
+        at = (summary.keys[may] >> np.uint64(64 - limits.map_bits)).astype(np.int64) - now * width
         flags = np.zeros(width, np.uint8)
         flags[at] = 1
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
