@@ -20,6 +20,8 @@ from .common import stored
 
 #: Hash buckets of words and of pairs: the model has this size on any corpus.
 SINGLES, PAIRS = 1 << 15, 3 << 15
+#: A bucket and its count in a text are one number: buckets are below this, counts are multiples of it.
+ONCE = SINGLES + PAIRS  # a power of two
 #: Occurrences at the corpus's own share that every bucket has beforehand: rare n-grams say little.
 DRAW = 10.0
 PRIOR = 20
@@ -68,19 +70,23 @@ def counted(docs: DataFrame, text: str, more: list[str] | None = None) -> DataFr
     )
 
 
-def buckets(hashes: str) -> Column:
-    """Hash buckets of the words and of the pairs of neighbouring words, of a column of hashes."""
-    singles = F.transform(hashes, lambda h: F.pmod(h, F.lit(SINGLES)))
-    pairs = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(PAIRS)) + SINGLES)
+def buckets(hashes: str, more: int = 0) -> Column:
+    """Hash buckets of the words and of the pairs of neighbouring words, of a column of hashes, each plus ``more``."""
+    # none is null, so that they are sorted as plain numbers
+    singles = F.transform(hashes, lambda h: h.bitwiseAND(SINGLES - 1) + more)
+    pairs = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.coalesce(F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(PAIRS)), F.lit(0)) + (SINGLES + more))
     return F.concat(singles, pairs)
 
 
 def tallied(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``tally``: each bucket of the column ``hashes`` with its count ``c``, and ``size``: all of them."""
-    rows = rows.withColumn("own", F.sort_array(buckets("hashes"))).withColumn("size", F.size("own"))
-    rows = rows.withColumn("cuts", F.filter(F.transform("own", lambda b, i: F.when((i == 0) | (F.get("own", i - 1) != b), i)), lambda i: i.isNotNull()))
-    tally = F.transform("cuts", lambda at, k: F.struct(F.get("own", at).alias("bucket"), (F.coalesce(F.get("cuts", k + 1), F.col("size")) - at).alias("c")))
-    return rows.withColumn("tally", tally).drop("own", "cuts")
+    """``rows`` with ``tally``: each bucket of the column ``hashes`` plus ``ONCE`` times its count, and ``size``: all occurrences."""
+    rows = rows.withColumn("own", F.sort_array(buckets("hashes", ONCE))).withColumn("size", F.size("own"))
+    # what stands beside its like occurs again; only that has to be counted
+    rows = rows.withColumn("again", F.filter("own", lambda b, i: F.get("own", i - 1) == b))
+    cuts = F.filter(F.transform("again", lambda b, i: F.when((i == 0) | (F.get("again", i - 1) != b), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("cuts", cuts)
+    more = F.transform("cuts", lambda at, k: F.get("again", at) + (F.coalesce(F.get("cuts", k + 1), F.size("again")) - at).cast("long") * ONCE)
+    return rows.withColumn("tally", F.concat(F.array_except("own", "again"), more)).drop("own", "again", "cuts")
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
@@ -92,12 +98,13 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
 def scored(rows: DataFrame, counts: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``rid, good, hashes`` and ``score``: each document's own n-grams count in neither multinomial."""
     every, trusted = counts.agg(F.sum("n"), F.sum("good")).first()
-    grams = tallied(rows).select("rid", "good", "size", *keep, F.explode_outer("tally").alias("x")).select("rid", "good", "size", *keep, "x.*")
+    grams = tallied(rows).select("rid", "good", "size", *keep, F.explode_outer("tally").alias("x"))
+    grams = grams.withColumn("bucket", F.col("x").bitwiseAND(ONCE - 1)).withColumn("c", F.shiftright("x", ONCE.bit_length() - 1)).drop("x")
     met = grams.join(F.broadcast(counts.withColumnRenamed("good", "g")), "bucket", "left")
     mine = F.col("good").cast("int")
     share = F.greatest(F.lit(trusted or 0) - mine * F.col("size"), F.lit(1)) / F.greatest(F.lit(every or 0) - F.col("size"), F.lit(1))
     ratio = F.log((F.col("g") - mine * F.col("c") + DRAW * share) / (F.col("n") - F.col("c") + DRAW) / share)
-    steps = F.sum(F.round(ratio * STEPS).cast("long") * F.col("c"))
+    steps = F.sum(F.rint(ratio * STEPS).cast("long") * F.col("c"))
     # rows of a text stand together, so one row a text is shuffled
     whole = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("good", "size", *keep)], steps.alias("steps"))
     return whole.select("good", *keep, (F.coalesce("steps", F.lit(0)) / STEPS / (F.col("size") + PRIOR)).alias("score"))
