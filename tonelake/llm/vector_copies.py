@@ -12,6 +12,7 @@ So what is shipped grows with the probes. There both sides' partners are counted
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,11 @@ class Index:
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [_kmeans(rest[:, a:b], min(CODES, len(rest)), 2 + k) for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between the centres: computed once in a Python worker, and never shipped with the index."""
+        return np.sqrt(_sq(self.centres, self.centres))
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, code and the distance between the vector and what its code stands for."""
         home = _nearest(x, self.centres)
@@ -92,9 +98,8 @@ class Index:
         """Which lists can hold a vector within ``radius``."""
         d = _sq(x, self.centres)
         home = d.argmin(1)
-        apart = np.sqrt(_sq(self.centres, self.centres))[home]
         over = d - d[np.arange(len(x)), home][:, None]
-        return over <= 2 * apart * (radius + SLACK)
+        return over <= 2 * self.apart[home] * (radius + SLACK)
 
     def distances(self, x: np.ndarray, home: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Squared asymmetric distances of every query to every code, by table look-ups."""
