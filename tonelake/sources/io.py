@@ -73,6 +73,14 @@ def read_label_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("clip", F.upper(F.trim("transcript")).alias("transcript")).orderBy("clip")
 
 
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """JSON documents, one a file of any layout, or with ``lines`` one a line.
+
+    Each file costs a listing, an opening and a commit. Where documents are many, write them with ``write.json``: files then grow with the bytes.
+    """
+    return spark.read.json(path, schema=schema, multiLine=not lines)
+
+
 def read_holdout(spark: SparkSession, path: str) -> DataFrame:
     """Exclusion rows (``kind, key``) of a holdout manifest; paths may have either kind of slash."""
     m = spark.read.json(path, schema=HOLDOUT, multiLine=True)
@@ -89,9 +97,9 @@ def read_holdout(spark: SparkSession, path: str) -> DataFrame:
     return out.distinct()
 
 
-def read_folds(spark: SparkSession, path: str, fold: str = "all") -> DataFrame:
+def read_folds(spark: SparkSession, path: str, fold: str = "all", lines: bool = False) -> DataFrame:
     """Items of a fold manifest: ``fold, chunk_file, source_key, text``. Raises when a named fold is not there."""
-    m = spark.read.json(path, schema=FOLDS, multiLine=True).select(F.explode("folds").alias("f"))
+    m = _documents(spark, path, FOLDS, lines).select(F.explode("folds").alias("f"))
     if fold != "all":
         m = m.where(F.col("f.name") == fold)
         if not m.limit(1).count():
@@ -99,14 +107,14 @@ def read_folds(spark: SparkSession, path: str, fold: str = "all") -> DataFrame:
     return m.select(F.col("f.name").alias("fold"), F.explode("f.items").alias("i")).select("fold", base_name(F.col("i.npy")).alias("chunk_file"), "i.source_key", "i.text")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Result files of all ages under one nullable schema, with the file's name."""
-    return spark.read.json(path, schema=RESULT, multiLine=True).withColumn("file", base_name(F.input_file_name()))
+    return _documents(spark, path, RESULT, lines).withColumn("file", base_name(F.input_file_name()))
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row for each case of synthetic result files."""
-    rows = spark.read.json(path, schema=CASES, multiLine=True).withColumn("file", base_name(F.input_file_name()))
+    rows = _documents(spark, path, CASES, lines).withColumn("file", base_name(F.input_file_name()))
     return rows.select("file", "timestamp", F.explode("synthetic").alias("case", "r")).select("file", "timestamp", "case", "r.*")
 
 
