@@ -1,11 +1,13 @@
 """Edit distances of long pairs against the built-in one without bounds."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tonelake.functions import metrics
+from tonelake.functions import metrics, text
+from tonelake.plans import queries
 
 
 def test_distance_equals_the_plain_one(spark):
@@ -38,3 +40,38 @@ def test_whole_documents(spark):
     b = [f"new{i}" if i % 400 == 7 else w for i, w in enumerate(a)]
     df = spark.createDataFrame([(" ".join(b), " ".join(a))], "p string, t string")
     assert df.select(metrics.wer(F.col("p"), F.col("t"))).first()[0] == 50 / 20_000
+
+
+def test_pairs_side_by_side_equal_the_plain_distance(spark):
+    """Lengths about the blocks of 64 bits and the bound of the batches, signs of one to four bytes, nothing and null."""
+    rng = random.Random(6)
+    rows = [(None, "a"), ("a", None), (None, None), ("", ""), ("", "abc"), ("a\0", "a")]
+    for n in (1, 2, 31, 63, 64, 65, 127, 128, 129, 200, 511, 512, 513):
+        for signs in ("ab", "abcdefgh", "aé\U0001f600z\0"):
+            a = "".join(rng.choice(signs) for _ in range(n))
+            b = "".join(c if rng.random() > 0.3 else rng.choice(signs) for c in a if rng.random() > 0.2) + "x" * rng.choice([0, 1, 70])
+            rows += [(a, b), (b, a)]
+    got = spark.createDataFrame(rows, "a string, b string").coalesce(1).select(metrics.pair_distance(F.col("a"), F.col("b")).alias("x"), F.levenshtein("a", "b").alias("y")).collect()
+    assert len(got) == len(rows) and all(r["x"] == r["y"] for r in got)
+
+
+def test_scored_chunks_are_not_stored(spark, monkeypatch):
+    """Each chunk is read once; a table of them would be written for nothing."""
+    monkeypatch.setattr(queries.io, "stored", lambda _: pytest.fail("stored"))
+    for name in ("status_bands", "bucket_grouping_sets"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_cleaning_is_fast_and_takes_every_sign_alike(spark):
+    """Every code point is replaced as by the class that the SQL uses, and far faster."""
+    every = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.concat(F.lit("A"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"), F.lit("B")).alias("t"))
+    plain = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.upper(t), text.OUTSIDE, " "), " +", " "))
+    assert every.select(F.count_if(~text.clean_vocab(F.col("t")).eqNullSafe(plain("t"))), F.count("*")).first() == (0, 0x110000 - 2048)
+    long = spark.range(400, numPartitions=4).select(F.repeat(F.concat(F.lit("Some words, and more of them; "), "id"), 1500).alias("t")).persist()
+    long.count()
+    seconds = []
+    for f in (text.clean_vocab, plain, text.clean_vocab, plain):
+        start = time.time()
+        long.select(F.sum(F.length(f(F.col("t"))))).collect()
+        seconds.append(time.time() - start)
+    assert 2 * seconds[2] < seconds[3], seconds

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .text import words
 
@@ -21,13 +24,84 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(short, F.levenshtein(a, b)).otherwise(F.transform(F.array(within), lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(a, b)))[0])
 
 
+#: Texts of up to so many characters are compared as bits, many pairs at a time.
+SHORT = 512
+#: Characters of the pairs that are held side by side.
+CELLS = 1 << 18
+_NONE, _ONE, _TOP, _ALL = np.uint64(0), np.uint64(1), np.uint64(63), ~np.uint64(0)
+
+
+def _side_by_side(texts: list[str]) -> np.ndarray:
+    """Code points, a row a text, with zeros behind."""
+    wide = np.array(texts, dtype=f"U{max(map(len, texts))}")
+    return wide.view(np.uint32).reshape(len(texts), -1)
+
+
+def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances of pairs of texts that are not empty, in order of the lengths in ``b``.
+
+    Myers' method: a column of the table is kept as bits, whether it rises or falls from one place to the next (Hyyro's blocks of 64), and one
+    step takes all pairs to their next column.
+    """
+    x, y = _side_by_side(a), _side_by_side(b)
+    if max(x.max(), y.max()) < 256:
+        x, y = x.astype(np.uint8), y.astype(np.uint8)
+    y = np.ascontiguousarray(y.T)
+    rows, m, n = len(a), np.array([len(t) for t in a]), np.array([len(t) for t in b])
+    words, got = x.shape[1] + 63 >> 6, n.copy()
+    up, down = np.full((words, rows), _ALL), np.zeros((words, rows), np.uint64)
+    bits = np.zeros((rows, words * 8), np.uint8)
+    first = np.searchsorted(n, np.arange(1, y.shape[0] + 2))  # the pairs that have a column j begin here
+    for j, (lo, hi) in enumerate(zip(first, first[1:])):
+        bits[lo:, : x.shape[1] + 7 >> 3] = np.packbits(x[lo:] == y[j, lo:, None], axis=1, bitorder="little")
+        equal, rise, fall = bits[lo:].view(np.uint64), _ONE, _NONE  # the first row grows by one a column
+        for w in range(words):
+            e, p, q = equal[:, w], up[w, lo:], down[w, lo:]
+            v = e | q
+            e = e | fall
+            h = (((e & p) + p) ^ p) | e
+            plus, minus = q | ~(h | p), p & h
+            risen, fallen = plus << _ONE | rise, minus << _ONE | fall
+            rise, fall = plus >> _TOP, minus >> _TOP
+            up[w, lo:], down[w, lo:] = fallen | ~(v | risen), risen & v
+        for w in range(words) if hi > lo else ():
+            held = np.clip(m[lo:hi] - 64 * w, 0, 64).astype(np.uint64)
+            mask = np.where(held > 0, _ALL >> (np.uint64(64) - np.maximum(held, _ONE)), _NONE)
+            got[lo:hi] += np.bitwise_count(up[w, lo:hi] & mask).astype(np.int64) - np.bitwise_count(down[w, lo:hi] & mask)
+    return got
+
+
+@F.arrow_udf(IntegerType())
+def _short_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distances of a batch; null where either is. Pairs of like lengths are put side by side, the shorter text as bits."""
+    pairs = [(x, y) if len(x or "") <= len(y or "") else (y, x) for x, y in zip(a.to_pylist(), b.to_pylist())]
+    known = np.array([x is not None and y is not None for x, y in pairs], bool)
+    x, y = np.array([x or "" for x, _ in pairs], object), np.array([y or "" for _, y in pairs], object)
+    short, out = (np.array([len(t) for t in side], np.int64) for side in (x, y))  # from nothing, every character is an edit
+    long, order = out.copy(), np.lexsort((out, short + 63 >> 6))
+    for words in range(1, (int(short.max(initial=0)) + 63 >> 6) + 1):
+        at = order[short[order] + 63 >> 6 == words]
+        while len(at):
+            size = min(len(at), CELLS // int(long[at[0]]) + 1)
+            size = max(1, min(size, CELLS // int(long[at[size - 1]])))
+            part, at = at[:size], at[size:]
+            out[part] = distances(list(x[part]), list(y[part]))
+    return pa.array(out.astype(np.int32), mask=~known)
+
+
+def pair_distance(a: Column, b: Column) -> Column:
+    """``distance``, but texts of up to ``SHORT`` characters go to Python tasks in Arrow batches. Not for lambdas."""
+    short = (F.greatest(F.length(a), F.length(b)) <= SHORT) & F.is_valid_utf8(a) & F.is_valid_utf8(b)
+    return F.when(short, _short_distance(F.when(short, a), F.when(short, b))).otherwise(distance(a, b))
+
+
 def cer(pred: Column, target: Column, variant: str = "nospace") -> Column:
     """Edit distance by the target's length. ``nospace``: upper case without spaces; ``spaces``: as it is; ``first``: by the first text's length."""
     p, t = pred, target
     if variant == "nospace":
         p, t = (F.upper(F.replace(x, F.lit(" "), F.lit(""))) for x in (pred, target))
     by = F.length(p) if variant == "first" else F.length(t)
-    return F.when(by == 0, F.when(F.length(p) == F.length(t), 0.0).otherwise(1.0)).otherwise(distance(p, t) / by)
+    return F.when(by == 0, F.when(F.length(p) == F.length(t), 0.0).otherwise(1.0)).otherwise(pair_distance(p, t) / by)
 
 
 def _character(n: Column) -> Column:
