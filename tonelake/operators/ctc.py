@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,17 +92,81 @@ MODEL_ROWS = 1_000_000
 def lm_score(texts: DataFrame, key: str, text: str, lm: DataFrame, n: int = 3) -> DataFrame:
     """Sum of log-probabilities of the characters after their contexts; a context that was never seen gives the uniform share.
 
-    The model is a table of its own, written once. If it is small (over this alphabet it has at most 55 ** 3 rows), every n-gram meets it in
-    place, and only one partial sum of each text is shuffled.
+    The model is a table of its own, written once. If it is small (over this alphabet it has at most 55 ** 3 rows), every task looks a text's
+    n-grams up in it, and only one sum of each text is shuffled; a larger one is joined by shuffle.
     """
     model = stored(lm.select(F.concat("context", "ch").alias("g"), "context", "logp", "unseen", "v"))
     rows, size = model.agg(F.count("*"), F.max("v")).first()
-    place = F.broadcast if rows <= MODEL_ROWS else lambda df: df
+    uniform = -math.log(size) if size else 0.0
+    if rows <= MODEL_ROWS:
+        known = model.toPandas()
+        table = _GramTable(known["g"], known["logp"], known.drop_duplicates("context").set_index("context")["unseen"], uniform, n)
+        shared = texts.sparkSession.sparkContext.broadcast(table)
+        scored = F.arrow_udf(lambda t: shared.value.scores(t), "struct<score:double,n:long>")
+        each = texts.where(F.length(text) >= n).select(key, scored(F.col(text)).alias("s"))
+        return each.groupBy(key).agg(F.sum("s.score").alias("score"), F.sum("s.n").alias("n"))
     contexts = model.groupBy("context").agg(F.first("unseen").alias("unseen"))
     grams = texts.select(key, F.explode(ngrams(F.col(text), n, include_last=True)).alias("g"))
-    joined = grams.join(place(model.select("g", "logp")), "g", "left").withColumn("context", F.substring("g", 1, n - 1)).join(place(contexts), "context", "left")
-    per = F.coalesce("logp", "unseen", F.lit(-math.log(size)) if size else F.lit(0.0))
-    return joined.groupBy(key).agg(F.sum(per).alias("score"), F.count("*").alias("n"))
+    joined = grams.join(model.select("g", "logp"), "g", "left").withColumn("context", F.substring("g", 1, n - 1)).join(contexts, "context", "left")
+    return joined.groupBy(key).agg(F.sum(F.coalesce("logp", "unseen", F.lit(uniform))).alias("score"), F.count("*").alias("n"))
+
+
+#: Entries of a level of the table below that is looked up by place; a larger one is searched.
+PLACES = 1 << 20
+
+
+def _places(level: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(size, len(level))
+    out[level] = np.arange(len(level))
+    return out
+
+
+class _GramTable:
+    """Log-probabilities by the numbers of n-grams: a gram's last sign is looked up in a row of its context, the last row is for all others."""
+
+    def __init__(self, grams: pd.Series, logp: pd.Series, unseen: pd.Series, uniform: float, n: int):
+        self.n = n
+        signs = sorted({ord(c) for g in grams for c in g})
+        self.number = np.full(max(signs, default=0) + 2, len(signs), np.int64)
+        self.number[signs] = np.arange(len(signs))
+        #: sorted numbers of the prefixes of each length, under the place of the prefix before; what is not there is the place past the end
+        self.levels, place = [], np.zeros(len(grams), np.int64)
+        ids = [self.number[[ord(g[i]) for g in grams]] for i in range(n)] if len(grams) else [np.zeros(0, np.int64)] * n
+        self.width = len(signs) + 1
+        for i in range(n):
+            numbers = place * self.width + ids[i]
+            self.levels.append(np.unique(numbers))
+            place = np.searchsorted(self.levels[-1], numbers)
+            if i == n - 2:
+                context = place.copy()
+        sizes = [(len(before) + 1) * self.width for before in [[], *self.levels[:-1]]]
+        self.places = [_places(level, k) if k <= PLACES else None for level, k in zip(self.levels, sizes)]
+        self.logp = np.zeros(len(self.levels[-1]) + 1)
+        self.logp[place] = logp
+        self.unseen = np.full((len(self.levels[-2]) if n > 1 else 1) + 1, uniform)
+        if n > 1 and len(grams):
+            self.unseen[context] = unseen.loc[[g[:-1] for g in grams]]
+        elif len(grams):
+            self.unseen[0] = unseen.iloc[0]
+
+    def values(self, text: str) -> np.ndarray:
+        """The log-probability of each character that has ``n - 1`` before it."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = self.number[np.minimum(points, len(self.number) - 1)]
+        count = len(ids) - self.n + 1
+        place = before = np.zeros(count, np.int64)
+        for i, (level, places) in enumerate(zip(self.levels, self.places)):
+            numbers, before = place * self.width + ids[i : i + count], place
+            if places is not None:
+                place = places[numbers]
+            else:
+                at = np.searchsorted(level, numbers)
+                place = np.where(level[np.minimum(at, len(level) - 1)] == numbers, at, len(level))
+        return np.where(place < len(self.levels[-1]), self.logp[place], self.unseen[before])
+
+    def scores(self, texts: pa.Array) -> pa.Array:
+        got = [(float(v.sum()), len(v)) for v in (self.values(t.as_py()) for t in texts)]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([k for _, k in got], pa.int64())], ["score", "n"])
 
 
 def top_tokens(frame: Column, k: int) -> Column:
