@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,43 @@ def test_cleaning_is_fast_and_takes_every_sign_alike(spark):
         long.select(F.sum(F.length(f(F.col("t"))))).collect()
         seconds.append(time.time() - start)
     assert 2 * seconds[2] < seconds[3], seconds
+
+
+def test_texts_without_spaces_are_computed_once(spark, capsys):
+    """Written into one expression they stood in the plan 26 times."""
+    queries.bucket_grouping_sets(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out.split("AdaptiveSparkPlan")[-1]
+    assert 0 < plan.count("replace(target") <= 4 and plan.count("upper(") <= 4, plan
+
+
+def test_lost_signs_need_no_table(monkeypatch):
+    """Pairs that differ by lost signs alone are told by one pass; only the others fill a table. All distances are the plain ones."""
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    filled, table = [], metrics._distances
+    monkeypatch.setattr(metrics, "_distances", lambda x, m, y, n: (filled.append(len(m)), table(x, m, y, n))[1])
+    rng = random.Random(8)
+    for signs in ("abcdefgh", "aéz", "aé\U0001f600z\0"):
+        whole = ["".join(rng.choice(signs) for _ in range(n)) for n in (1, 2, 30, 63, 64, 65, 100, 130)]
+        lost = ["".join(c for k, c in enumerate(t) if k and rng.random() > 0.3) for t in whole]
+        pairs = [*zip(lost, whole), *zip(whole, lost), (None, "a"), ("a", None), ("", "")]
+        wrong = [(t + "Q", t + signs) for t in lost] + [(t[::-1] + "ab", t + "ba") for t in whole]
+        for some, tables in ((pairs, 0), (pairs + wrong, len(wrong))):
+            filled.clear()
+            a, b = (pa.array(["left out", *side])[1:] for side in zip(*some))
+            got = metrics._short_distance.func(a, b).to_pylist()
+            assert got == [None if x is None or y is None else plain(x, y) for x, y in some]
+            assert sum(filled) <= tables
+    assert metrics._short_distance.func(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_runs_of_spaces(spark):
+    df = spark.createDataFrame([("  a b  c   d\n\n e # f ",), (" ",), (" \n ",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.clean_vocab(F.col("t"))).collect()] == ["A B C D E F", "", "", "", None]

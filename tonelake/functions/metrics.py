@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -31,27 +33,47 @@ CELLS = 1 << 18
 _NONE, _ONE, _TOP, _ALL = np.uint64(0), np.uint64(1), np.uint64(63), ~np.uint64(0)
 
 
-def _side_by_side(texts: list[str]) -> np.ndarray:
-    """Code points, a row a text, with zeros behind."""
-    wide = np.array(texts, dtype=f"U{max(map(len, texts))}")
-    return wide.view(np.uint32).reshape(len(texts), -1)
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a batch in a row, and how many each text has; null has none."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    signs = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if signs.max(initial=0) < 128:
+        return signs, np.diff(ends)
+    signs = np.frombuffer(signs.tobytes().decode().encode("utf-32-le"), np.uint32)
+    return signs.astype(np.uint8) if signs.max() < 256 else signs, pc.utf8_length(texts).to_numpy().astype(np.int64)
 
 
-def distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Edit distances of pairs of texts that are not empty, in order of the lengths in ``b``.
+def distances(signs: np.ndarray, at_x: np.ndarray, m: np.ndarray, at_y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of texts, the first of each not empty and not the longer one, in order of the second's length.
+
+    The texts begin at ``at_x`` and ``at_y`` in ``signs``, which goes on past the last one by the longest length, and have ``m`` and ``n`` characters.
+    Where the first text is the second without some signs, the distance is what is missing: no other way is shorter.
+    """
+    y = np.ascontiguousarray(sliding_window_view(signs, int(n[-1]))[at_y].T)
+    first = np.searchsorted(n, np.arange(1, y.shape[0] + 2))  # the pairs that have a column j begin here
+    to = at_x.copy()
+    for j, lo in enumerate(first[:-1]):
+        to[lo:] += signs[to[lo:]] == y[j, lo:]
+    got, rest = n - m, np.flatnonzero(to - at_x < m)
+    if len(rest):
+        m, n = m[rest], n[rest]
+        got[rest] = _distances(sliding_window_view(signs, int(m.max()))[at_x[rest]], m, y[: n[-1], rest], n)
+    return got
+
+
+def _distances(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same for texts laid out, those of ``x`` a row each, those of ``y`` a column; what is behind a text's end is not looked at.
 
     Myers' method: a column of the table is kept as bits, whether it rises or falls from one place to the next (Hyyro's blocks of 64), and one
     step takes all pairs to their next column.
     """
-    x, y = _side_by_side(a), _side_by_side(b)
-    if max(x.max(), y.max()) < 256:
-        x, y = x.astype(np.uint8), y.astype(np.uint8)
-    y = np.ascontiguousarray(y.T)
-    rows, m, n = len(a), np.array([len(t) for t in a]), np.array([len(t) for t in b])
-    words, got = x.shape[1] + 63 >> 6, n.copy()
+    rows, words, got = len(m), x.shape[1] + 63 >> 6, n.copy()
     up, down = np.full((words, rows), _ALL), np.zeros((words, rows), np.uint64)
     bits = np.zeros((rows, words * 8), np.uint8)
-    first = np.searchsorted(n, np.arange(1, y.shape[0] + 2))  # the pairs that have a column j begin here
+    first = np.searchsorted(n, np.arange(1, y.shape[0] + 2))
     for j, (lo, hi) in enumerate(zip(first, first[1:])):
         bits[lo:, : x.shape[1] + 7 >> 3] = np.packbits(x[lo:] == y[j, lo:, None], axis=1, bitorder="little")
         equal, rise, fall = bits[lo:].view(np.uint64), _ONE, _NONE  # the first row grows by one a column
@@ -74,10 +96,12 @@ def distances(a: list[str], b: list[str]) -> np.ndarray:
 @F.arrow_udf(IntegerType())
 def _short_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Distances of a batch; null where either is. Pairs of like lengths are put side by side, the shorter text as bits."""
-    pairs = [(x, y) if len(x or "") <= len(y or "") else (y, x) for x, y in zip(a.to_pylist(), b.to_pylist())]
-    known = np.array([x is not None and y is not None for x, y in pairs], bool)
-    x, y = np.array([x or "" for x, _ in pairs], object), np.array([y or "" for _, y in pairs], object)
-    short, out = (np.array([len(t) for t in side], np.int64) for side in (x, y))  # from nothing, every character is an edit
+    (x, m), (y, n) = _characters(a), _characters(b)
+    at_x, at_y = np.cumsum(m) - m, np.cumsum(n) - n + len(x)
+    at_x, at_y = np.where(m > n, at_y, at_x), np.where(m > n, at_x, at_y)
+    short, out = np.minimum(m, n), np.maximum(m, n)  # from nothing, every character is an edit
+    signs = np.concatenate([x, y, np.zeros(int(out.max(initial=0)) + 1, np.uint8)])
+    known = pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
     long, order = out.copy(), np.lexsort((out, short + 63 >> 6))
     for words in range(1, (int(short.max(initial=0)) + 63 >> 6) + 1):
         at = order[short[order] + 63 >> 6 == words]
@@ -85,7 +109,7 @@ def _short_distance(a: pa.Array, b: pa.Array) -> pa.Array:
             size = min(len(at), CELLS // int(long[at[0]]) + 1)
             size = max(1, min(size, CELLS // int(long[at[size - 1]])))
             part, at = at[:size], at[size:]
-            out[part] = distances(list(x[part]), list(y[part]))
+            out[part] = distances(signs, at_x[part], short[part], at_y[part], long[part])
     return pa.array(out.astype(np.int32), mask=~known)
 
 
@@ -95,15 +119,25 @@ def pair_distance(a: Column, b: Column) -> Column:
     return F.when(short, _short_distance(F.when(short, a), F.when(short, b))).otherwise(distance(a, b))
 
 
+def _nospace(x: Column) -> Column:
+    return F.upper(F.replace(x, F.lit(" "), F.lit("")))
+
+
 def cer(pred: Column, target: Column, variant: str = "nospace") -> Column:
     """Edit distance by the target's length. ``nospace``: upper case without spaces; ``spaces``: as it is; ``first``: by the first text's length."""
     p, t = pred, target
     if variant == "nospace":
-        p, t = (F.upper(F.replace(x, F.lit(" "), F.lit(""))) for x in (pred, target))
+        p, t = _nospace(pred), _nospace(target)
     by = F.length(p) if variant == "first" else F.length(t)
     return F.when(by == 0, F.when(F.length(p) == F.length(t), 0.0).otherwise(1.0)).otherwise(pair_distance(p, t) / by)
 
 
+def with_cer(pairs: DataFrame, pred: str, target: str, name: str = "cer") -> DataFrame:
+    """The ``nospace`` rate of each row as a column. The texts without spaces are columns first, as one expression would name them in 26 places."""
+    rows = pairs.select("*", _nospace(F.col(pred)).alias("__pred"), _nospace(F.col(target)).alias("__target"))
+    return rows.select(*pairs.columns, cer(F.col("__pred"), F.col("__target"), "spaces").alias(name))
+
+
 def _character(n: Column) -> Column:
     """A character of its own for each number from 1 on, past those that UTF-16 keeps for its pairs."""
     at = F.when(n < 55_040, n + 256).otherwise(n + 2304)

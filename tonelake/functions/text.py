@@ -21,7 +21,7 @@ def let(value: Column, body) -> Column:
 
 def clean_vocab(raw: Column) -> Column:
     """Upper case; what is no sign becomes a space; runs of spaces become one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(raw), OUTSIDE_RANGES, " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(raw), OUTSIDE_RANGES, " "), "  +", " "))
 
 
 def _lines(raw: Column) -> Column:
