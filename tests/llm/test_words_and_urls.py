@@ -192,6 +192,44 @@ def test_summaries_keep_all_that_is_frequent(capacity):
         assert all(k in have for k, n in exact.items() if n >= 30)
 
 
+def test_summaries_are_merged_side_by_side(spark):
+    """All partitions' summaries are made in one job: a job each, one after another, grew with the table."""
+    rows = spark.createDataFrame([("en", "a b c d e f")] * 40, "lang string, text string").repartition(4)
+    spark.sparkContext.setJobGroup("summaries", "")
+    try:
+        bits = collocations.frequent_bits(rows, (1, 2), 30, 500)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.unpackbits(bits).sum() == 11
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("summaries")) <= 4
+
+
+def test_small_parts_are_merged_together(monkeypatch):
+    """A merge costs as much as the summary is large, so many small parts are merged at once; counts of 32-bit keys are exact."""
+    import pyarrow as pa
+
+    sizes = []
+    plain = collocations.Summary.add
+    monkeypatch.setattr(collocations.Summary, "add", lambda self, keys, counts: (sizes.append(len(keys)), plain(self, keys, counts)))
+    keys = np.arange(100, dtype=np.uint32) << np.uint32(24)
+    parts = [(p, keys.tobytes(), np.full(100, k).astype(np.uint8 if k < 256 else np.int64).tobytes()) for p in (0, 1) for k in [1] * 200 + [300] * p]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts)], names=["part", "keys", "counts"])
+    got = list(collocations._survivors([batch], 300, 1, collocations.Limits(map_bits=10)))
+    assert sizes == [20_000, 20_100]
+    assert [np.unpackbits(np.frombuffer(b.column(1)[0].as_py(), np.uint8)).sum() for b in got] == [0, 100]
+
+
+def test_words_of_all_lengths():
+    import pyarrow as pa
+
+    texts = ["abcdefg", "ABCDEFG\x00", "abcdefgh", "abcdefg\x07", "abcdefgh\x00", "x" * 16, "x" * 17, "x" * 40 + "y", "x" * 40 + "z", "", "\x00", "\x00\x00", "é" * 3, "é" * 4, "x" * 16]
+    words = collocations.Words(pa.array([*texts, None, " ".join(texts)]))
+    number, names = words.numbered()
+    lower = [t.translate(LOWER) for t in texts if t]
+    assert [names[k] for k in number] == lower * 2 and len(names) == len(set(lower)) == len(set(words.hash.tolist()))
+    assert words.piece.tolist() == [*range(len(lower)), *[len(lower)] * len(lower)]
+
+
 def test_words_with_equal_hashes(monkeypatch):
     """Words are told apart by their bytes even if all hashes are the same."""
     import pyarrow as pa

@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ class Limits(NamedTuple):
 
     #: Bits of the map (a byte for eight): about this many phrases can be told from others; with more the second pass only counts more.
     map_bits: int = 27
-    #: Distinct phrases that a task summarises, and counters of a merged summary, before they are passed on or cut.
+    #: Phrases that a task summarises or counts, and counters of a merged summary, before they are passed on or cut.
     held: int = 1 << 20
     counters: int = 1 << 20
     #: Bytes of text that are counted together.
@@ -41,6 +42,11 @@ class Limits(NamedTuple):
 LIMITS = Limits()
 _CUT = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 _BETWEEN = _CUT | np.isin(np.arange(256), list(b" \t"))
+#: Tables for ``bytes.translate``, which is faster than an index for each byte. Kinds: 0 in a word, 1 between words, 2 between pieces.
+_END = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+_LOWER, _KIND = LOWER.tobytes(), (_BETWEEN.astype(np.uint8) + _CUT).tobytes()
+#: What of eight bytes, the first lowest, belongs to a word of so many.
+_OF_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,69 +56,105 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x * _MIX
 
 
+def _binary(data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Byte strings of these lengths, from their bytes one after another."""
+    return pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(np.append(0, np.cumsum(lens))), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Words:
-    """The words of a slice of texts, in order: place and length in the bytes, text, piece, and a hash with A-Z in lower case."""
+    """The words of a slice of texts, in order: place and length in the bytes, text, piece, and a hash. A-Z are in lower case."""
 
     def __init__(self, column: pa.Array):
-        self.data, offsets = flat_bytes(column)
-        inside = ~_BETWEEN[self.data]
-        edge = np.zeros(len(self.data) + 1, bool)
-        edge[offsets] = True
-        self.starts = np.flatnonzero(inside & (edge[:-1] | np.append(True, ~inside[:-1])[: len(inside)]))
-        ends = np.flatnonzero(inside & (edge[1:] | np.append(~inside[1:], True)[: len(inside)])) + 1
-        self.lens = ends - self.starts
-        self.text = np.searchsorted(offsets, self.starts, "right") - 1
-        cuts = np.cumsum(_CUT[self.data], dtype=np.int32)[self.starts]
-        new = (cuts[1:] != cuts[:-1]) | (self.text[1:] != self.text[:-1])
-        self.piece = np.append(0, np.cumsum(new)) if len(cuts) else cuts
+        ended = pc.binary_join_element_wise(pc.fill_null(column, "").cast(pa.large_string()), *_END)  # so no piece goes on in the next text
+        data, offsets = flat_bytes(ended)
+        data = data.tobytes()
+        kind = np.frombuffer(data.translate(_KIND), np.uint8)
+        outside = np.append(True, kind > 0)  # one place later
+        cut = kind == 2
+        marks = np.flatnonzero(cut | (outside[:-1] & ~outside[1:]))
+        cuts = cut[marks]
+        self.starts = marks[~cuts]
+        self.lens = np.flatnonzero(outside[1:] & ~outside[:-1]) - self.starts
+        #: Whether a word is the first of its piece.
+        self.first = np.append(True, cuts[:-1])[: len(cuts)][~cuts]
+        self.text = np.repeat(np.arange(len(column)), np.diff(np.searchsorted(self.starts, offsets)))
+        data = data.translate(_LOWER) + bytes(16)
+        self.data = np.frombuffer(data, np.uint8)
+        self._eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
         self.hash = self._hashes()
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    @property
+    def piece(self) -> np.ndarray:
+        return np.cumsum(self.first) - 1
+
     def _bytes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of some words one after another, the place of each in its word, and where each word begins."""
         lens = self.lens[some]
         begin = np.cumsum(lens) - lens
         place = np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(begin, lens).astype(np.int32)
-        return LOWER[self.data[np.repeat(self.starts[some], lens) + place]], place, begin
+        return self.data[np.repeat(self.starts[some], lens) + place], place, begin
+
+    def _block(self, some: np.ndarray, k: int) -> np.ndarray:
+        """Eight bytes of some words, from byte ``8 * k`` on, which all of them have."""
+        return self._eight[self.starts[some] + 8 * k] & _OF_EIGHT[np.minimum(self.lens[some] - 8 * k, 8)]
 
     def _hashes(self) -> np.ndarray:
-        if not len(self):
-            return np.empty(0, np.uint64)
-        data, place, begin = self._bytes(slice(None))
-        return mixed(np.add.reduceat(BYTE[data] * powers(int(self.lens.max()))[place], begin) + self.lens.astype(np.uint64))
+        h = mixed(self._block(np.arange(len(self)), 0) ^ (self.lens.astype(np.uint64) * _MIX))
+        more = np.flatnonzero(self.lens > 8)
+        h[more] = mixed(h[more] * _MIX ^ self._block(more, 1))
+        long = more[self.lens[more] > 16]
+        if len(long):
+            data, place, begin = self._bytes(long)
+            h[long] = mixed(np.add.reduceat(BYTE[data] * powers(int(self.lens[long].max()))[place], begin) + self.lens[long].astype(np.uint64))
+        return h
+
+    def vocabulary(self, some: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word of ``some``, and the word of each number. Words are told apart by all of their bytes, not by hashes."""
+        lens = self.lens[some]
+        brief = lens < 8
+        number = np.empty(len(some), np.int64)
+        few = some if brief.all() else some[brief]
+        whole = (self._block(few, 0) | (self.lens[few].astype(np.uint64) << np.uint64(56))).view(np.int64)  # up to seven bytes and their number
+        codes = pa.array(whole).dictionary_encode()
+        number[brief] = codes.indices.to_numpy()
+        sevens = codes.dictionary.to_numpy().view(np.uint8).reshape(-1, 8)
+        size, data = sevens[:, 7].astype(np.int64), sevens[np.arange(8) < sevens[:, 7:]]
+        names = [_binary(data, size)]
+        if len(few) < len(some):
+            longer = some[~brief]
+            codes = _binary(self._bytes(longer)[0], self.lens[longer]).dictionary_encode()
+            number[~brief] = codes.indices.to_numpy() + len(size)
+            names.append(codes.dictionary)
+        return number, pa.concat_arrays(names).cast(pa.large_string())
 
     def numbered(self) -> tuple[np.ndarray, list[str]]:
-        """A number for each word and the word of each number. Words are compared by their bytes: equal hashes of others do no harm."""
-        number, names = np.full(len(self), -1), []
-        left = np.arange(len(self))
-        while len(left):
-            _, first, own = np.unique(self.hash[left], return_index=True, return_inverse=True)
-            like = left[first]
-            same = self.lens[left] == self.lens[like][own]
-            a, _, begin = self._bytes(left[same])
-            b, _, _ = self._bytes(like[own[same]])
-            if len(a):
-                same[same] = np.logical_and.reduceat(a == b, begin)
-            number[left[same]] = len(names) + own[same]
-            text, _, begin = self._bytes(like)
-            text, ends = text.tobytes(), begin + self.lens[like]
-            names += [text[i:j].decode() for i, j in zip(begin.tolist(), ends.tolist(), strict=True)]
-            left = left[~same]
-        return number, names
-
-    def phrases(self, seed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For 1 to ``LONGEST`` words: length, the words that begin such phrases, and their hashes. ``seed``: a number for the language of each text."""
-        at = np.arange(len(self))
-        h = _mixed(self.hash ^ seed[self.text]) if len(self) else self.hash
-        for width in range(1, LONGEST + 1):
+        """A number for each word, and the word of each number."""
+        number, names = self.vocabulary(np.arange(len(self)))
+        return number, names.to_pylist()
+
+    def phrases(self, seed: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For 1 to ``longest`` words: length, the words that begin such phrases, and their hashes. ``seed``: a number for the language of each text."""
+        h, go = _mixed(self.hash ^ seed[self.text]) if len(self) else self.hash, np.ones(len(self), bool)
+        for width in range(1, longest + 1):
             if width > 1:
-                at = at[: np.searchsorted(at, len(self) - width + 1)]
-                go = self.piece[at] == self.piece[at + width - 1]
-                at, h = at[go], h[: len(at)][go]
-                h = _mixed(h ^ (self.hash[at + width - 1] + np.uint64(width)))
-            yield width, at, h
+                go = go[:-1] & ~self.first[width - 1 :]
+                h = _mixed(h[:-1] ^ (self.hash[width - 1 :] + np.uint64(width)))
+            yield width, np.flatnonzero(go), h[go]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in their order, and the sum of each one's counts."""
+    if keys.dtype == np.uint32 and len(counts) and counts.max() < 1 << 32:  # both in one number, which is sorted faster
+        both = np.sort((keys.astype(np.uint64) << np.uint64(32)) | counts.astype(np.uint64))
+        keys, counts = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 class Summary:
@@ -123,12 +165,10 @@ class Summary:
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Merge in sorted keys with counts (of another summary without error)."""
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], np.concatenate([self.counts, counts])[order]
-        first = np.nonzero(np.append(True, both[1:] != both[:-1]))[0] if len(both) else np.empty(0, np.int64)
-        self.keys, self.counts = both[first], np.add.reduceat(n, first) if len(first) else n
+        """Merge in keys with counts (of other summaries without error; a key may stand there more than once)."""
+        if not len(self.keys):
+            self.keys = self.keys.astype(keys.dtype)
+        self.keys, self.counts = _summed(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
         while len(self.keys) > self.capacity:
             least = int(np.partition(self.counts, len(self.keys) - self.capacity - 1)[len(self.keys) - self.capacity - 1])
             if self.error + least >= self.threshold:  # more mass than the counters are for: more counters
@@ -154,70 +194,77 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    total = Summary(1 << 62, 1 << 62)
-    total.add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    return total.keys, total.counts
-
-
 def _summarised(batches, widths: tuple[int, ...], known, cut: int, limits: Limits):
-    """``part, keys, counts``: for each partition (of ``1 << cut``) the phrases of a task and their counts."""
-    parts, size = [], 0
+    """``part, keys, counts``: for each partition (of ``1 << cut``) the phrases of a task and their counts; keys are the 32 bits below the partition's."""
+    found, size = [], 0
     bits = known.value if known is not None else None
 
     def rows():
-        keys, counts = _merged(parts)
-        ends = np.searchsorted(keys, np.arange(1, 1 << cut, dtype=np.uint64) << np.uint64(64 - cut)) if cut else np.empty(0, np.int64)
-        kept = [(p, k, c) for p, (k, c) in enumerate(zip(np.split(keys, ends), np.split(counts, ends), strict=True)) if len(k)]
-        for p, k, c in kept:
-            small = np.uint8 if c.max() < 256 else np.int64
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(small).tobytes()], pa.binary())], names=["part", "keys", "counts"])
+        keys = np.sort(np.concatenate(found) >> np.uint64(32 - cut))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, counts = keys[first], np.diff(np.append(first, len(keys)))
+        bounds = np.searchsorted(keys, np.arange((1 << cut) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+        keys = keys.astype(np.uint32)
+        for p, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if i < j:
+                c = counts[i:j]
+                small = np.uint8 if c.max() < 256 else np.int64
+                yield p, keys[i:j].tobytes(), c.astype(small).tobytes()
+
+    def made():
+        part, keys, counts = zip(*rows(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["part", "keys", "counts"])
 
     for batch in slices(batches, size=limits.text):
         words, (lang, names) = Words(batch.column(1)), _languages(batch)
         whole = None
-        for width, at, h in words.phrases(_seeds(names)[lang]):
+        for width, at, h in words.phrases(_seeds(names)[lang], max(widths)):
             if bits is not None and width == 2:
                 whole = np.zeros(len(words), bool)
                 whole[at[_has(bits, h)]] = True
             if width in widths:
                 if whole is not None and width > 2:
-                    good = np.logical_and.reduce([whole[at + k] for k in range(width - 1)])
-                    h = h[good]
-                keys, counts = np.unique(h, return_counts=True)
-                parts.append((keys, counts))
-                size += len(keys)
+                    h = h[np.logical_and.reduce([whole[at + k] for k in range(width - 1)])]
+                if len(h):
+                    found.append(h)
+                    size += len(h)
         if size > limits.held:
-            parts = [_merged(parts)]
-            size = len(parts[0][0])
-            if size > limits.held // 2:
-                yield from rows()
-                parts, size = [], 0
-    if parts:
-        yield from rows()
+            yield made()
+            found, size = [], 0
+    if found:
+        yield made()
 
 
 def _survivors(batches, threshold: int, cut: int, limits: Limits):
     """``part, bits``: of each partition the part of the bit map with the phrases that can reach the threshold."""
-    now, summary = None, None
+    now, summary, waiting, size = None, None, [], 0
+
+    def add():
+        keys, counts = zip(*waiting, strict=True)
+        counts = [np.frombuffer(c, np.uint8 if len(c) == len(k) // 4 else np.int64).astype(np.int64) for k, c in waiting]
+        summary.add(np.frombuffer(b"".join(keys), np.uint32), np.concatenate(counts))
 
     def row():
-        width = 1 << (limits.map_bits - cut)
+        width = limits.map_bits - cut
         may = summary.counts + summary.error >= threshold  # a counter lacks ``error`` at most
-        at = (summary.keys[may] >> np.uint64(64 - limits.map_bits)).astype(np.int64) - now * width
-        flags = np.zeros(width, np.uint8)
-        flags[at] = 1
+        flags = np.zeros(1 << width, np.uint8)
+        flags[summary.keys[may] >> np.uint32(32 - width)] = 1
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     for batch in batches:
         for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != now or size > limits.counters:  # as many keys as the summary holds are merged at once: a merge costs as much for a few
+                if waiting:
+                    add()
+                waiting, size = [], 0
             if part != now:
                 if now is not None:
                     yield row()
                 now, summary = part, Summary(threshold, limits.counters)
-            k = np.frombuffer(keys, np.uint64)
-            summary.add(k, np.frombuffer(counts, np.uint8 if len(counts) == len(k) else np.int64).astype(np.int64))
+            waiting.append((keys, counts))
+            size += len(keys) // 4
     if now is not None:
+        add()
         yield row()
 
 
@@ -230,38 +277,74 @@ def frequent_bits(rows: DataFrame, widths: tuple[int, ...], threshold: int, mass
     dealt = made.repartition(min(1 << cut, 4096), "part").sortWithinPartitions("part")
     out = np.zeros(1 << (limits.map_bits - 3), np.uint8)
     size = len(out) >> cut
-    for row in dealt.mapInArrow(lambda it: _survivors(it, threshold, cut, limits), "part int, bits binary").toLocalIterator():
+    # all parts together are as large as the map; a local iterator would run one task after another
+    for row in dealt.mapInArrow(lambda it: _survivors(it, threshold, cut, limits), "part int, bits binary").collect():
         out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
 def _exact(batches, known, limits: Limits):
-    """``lang, width, phrase, n``: counts of the phrases whose bit is set, of every slice; of width 0: all words."""
+    """``lang, width, phrase, n``: counts of the phrases whose bit is set, of many slices; of width 0: all words.
+
+    A phrase is known by the numbers of its words, which stand for their bytes: hashes only choose what is counted.
+    """
     bits = known.value
+    columns = ["lang", *map(str, range(LONGEST))]
+    kept, size, names = [], 0, [pa.array([""], pa.large_string())]
+
+    def summed():
+        """One row a phrase, and one number a word or language."""
+        every = pa.concat_arrays(names).dictionary_encode()
+        table, number = pa.concat_tables(kept), every.indices
+        table = pa.table([number.take(table[c].combine_chunks()) for c in columns] + [table["n"].combine_chunks()], [*columns, "n"])
+        one = table.group_by(columns, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        return [one.select([*columns, "n"]).combine_chunks()], [every.dictionary]
+
+    def made():
+        (table,), (texts,) = summed()
+        width = sum((table[str(k)].to_numpy() > 0).astype(np.int32) for k in range(LONGEST))
+        for w in range(LONGEST + 1):
+            some = table.filter(pa.array(width == w))
+            parts = [texts.take(some[str(k)].combine_chunks()) for k in range(w)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if w > 1 else parts[0] if w else pa.array([""] * len(some))
+            lang = texts.take(some["lang"].combine_chunks())
+            yield from pa.table([lang.cast(pa.string()), pa.array(np.full(len(some), w, np.int32)), phrase.cast(pa.string()), some["n"]], ["lang", "width", "phrase", "n"]).to_batches(1 << 14)
+
     for batch in slices(batches, size=limits.text):
-        words, (lang, names) = Words(batch.column(1)), _languages(batch)
-        number, word = words.numbered()
+        words, (lang, own) = Words(batch.column(1)), _languages(batch)
         lang_at = lang[words.text]
-        total = np.bincount(lang_at, minlength=len(names))
-        out = [list(names), [0] * len(names), [""] * len(names), [total]]
-        for width, at, h in words.phrases(_seeds(names)[lang]):
-            good = _has(bits, h)
-            at, h = at[good], h[good]
-            while len(at):  # equal hashes of different phrases are counted apart, a round each
-                _, first, own, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                begin = at[first]
-                same = lang_at[at] == lang_at[begin][own]
-                for k in range(width):
-                    same &= number[at + k] == number[begin + k][own]
-                if not same.all():
-                    n = np.bincount(own[same], minlength=len(first))
-                parts = [[word[c] for c in number[begin + k].tolist()] for k in range(width)]
-                out[0] += [names[k] for k in lang_at[begin].tolist()]
-                out[1] += [width] * len(begin)
-                out[2] += parts[0] if width == 1 else [" ".join(p) for p in zip(*parts, strict=True)]
-                out[3].append(n)
-                at, h = at[~same], h[~same]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(np.concatenate(out[3]).astype(np.int64))], names=["lang", "width", "phrase", "n"])
+        found, before = [], np.ones(len(words) + 1, bool)
+        for width, at, h in words.phrases(_seeds(own)[lang]):
+            may = before[at] & before[at + 1]  # no phrase is more frequent than its parts
+            may[may] = _has(bits, h[may])
+            before = np.zeros(len(words), bool)
+            before[at[may]] = True
+            found.append(at[may])
+        number = np.empty(len(words), np.int64)
+        number[found[0]], texts = words.vocabulary(found[0])
+        base = sum(map(len, names))
+        names += [pa.array(own, pa.large_string()), texts]
+        rows = [np.zeros((len(own), LONGEST + 2), np.int64)]
+        rows[0][:, 0], rows[0][:, -1] = base + np.arange(len(own)), np.bincount(lang_at, minlength=len(own))
+        code, before = lang_at, rows[0]
+        for width, at in enumerate(found, 1):  # a phrase is the one without its last word, and this word
+            keys = pa.array(code[at] * len(texts) + number[at + width - 1]).dictionary_encode()
+            code[at] = keys.indices.to_numpy()
+            first, last = np.divmod(keys.dictionary.to_numpy(), max(1, len(texts)))
+            before = before[first]
+            before[:, width], before[:, -1] = base + len(own) + last, np.bincount(keys.indices.to_numpy(), minlength=len(first))
+            rows.append(before)
+        rows = np.concatenate(rows)
+        kept.append(pa.table([pa.array(x.astype(np.int32)) for x in rows.T[:-1]] + [pa.array(rows[:, -1])], [*columns, "n"]))
+        size += len(rows)
+        if size > limits.held:
+            kept, names = summed()
+            size = len(kept[0])
+            if size > limits.held // 2:
+                yield from made()
+                kept, size, names = [], 0, [pa.array([""], pa.large_string())]
+    if kept:
+        yield from made()
 
 
 def phrase_counts(docs: DataFrame, threshold: int, lang: str = "lang", text: str = "text", limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
