@@ -219,6 +219,19 @@ def test_small_parts_are_merged_together(monkeypatch):
     assert [np.unpackbits(np.frombuffer(b.column(1)[0].as_py(), np.uint8)).sum() for b in got] == [0, 100]
 
 
+def test_exact_counts_are_shipped_in_blocks(spark):
+    """A row for each partition and task, not for each phrase; languages may hold line feeds, counts and lengths may pass a byte."""
+    import pyarrow as pa
+
+    rows = [("w%d w%d " % (i % 90, i % 7) + "y" * 300, ["en", "x\ny", "\n", None][i % 4]) for i in range(900)] + [("new york " * 400, "\n")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] or "und" for r in rows]), pa.array([r[0] for r in rows])], names=["lang", "text"])
+    every = type("Known", (), {"value": np.full(1 << 7, 255, np.uint8)})
+    blocks = list(collocations._exact([batch], every, 2, collocations.LIMITS))
+    assert sum(b.num_rows for b in blocks) == 4 and sum(sum(b.column(1).to_pylist()) for b in blocks) > 400
+    got = collocations.collocations(spark.createDataFrame(rows, "text string, lang string"), threshold=5, top=50).collect()
+    assert sorted(tuple(r) for r in got) == plain_collocations(rows, 5, 50)
+
+
 def test_words_of_all_lengths():
     import pyarrow as pa
 

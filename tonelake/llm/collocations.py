@@ -207,9 +207,7 @@ def _summarised(batches, widths: tuple[int, ...], known, cut: int, limits: Limit
         keys = keys.astype(np.uint32)
         for p, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if i < j:
-                c = counts[i:j]
-                small = np.uint8 if c.max() < 256 else np.int64
-                yield p, keys[i:j].tobytes(), c.astype(small).tobytes()
+                yield p, keys[i:j].tobytes(), _small(counts[i:j])
 
     def made():
         part, keys, counts = zip(*rows(), strict=True)
@@ -241,8 +239,7 @@ def _survivors(batches, threshold: int, cut: int, limits: Limits):
 
     def add():
         keys, counts = zip(*waiting, strict=True)
-        counts = [np.frombuffer(c, np.uint8 if len(c) == len(k) // 4 else np.int64).astype(np.int64) for k, c in waiting]
-        summary.add(np.frombuffer(b"".join(keys), np.uint32), np.concatenate(counts))
+        summary.add(np.frombuffer(b"".join(keys), np.uint32), _numbers(counts, [len(k) // 4 for k in keys]))
 
     def row():
         width = limits.map_bits - cut
@@ -271,8 +268,7 @@ def _survivors(batches, threshold: int, cut: int, limits: Limits):
 def frequent_bits(rows: DataFrame, widths: tuple[int, ...], threshold: int, mass: int, known=None, limits: Limits = LIMITS) -> np.ndarray:
     """Bit map of the phrases of these lengths that may stand ``threshold`` times or more: all that do, and few others."""
     spark = rows.sparkSession
-    need = mass * len(widths) // threshold // limits.counters  # partitions in which the counters suffice
-    cut = min(limits.map_bits - 3, max(need, spark.sparkContext.defaultParallelism).bit_length() + 1)
+    cut = _cut(spark, mass * len(widths), threshold, limits)
     made = rows.mapInArrow(lambda it: _summarised(it, widths, known, cut, limits), "part int, keys binary, counts binary")
     dealt = made.repartition(min(1 << cut, 4096), "part").sortWithinPartitions("part")
     out = np.zeros(1 << (limits.map_bits - 3), np.uint8)
@@ -283,70 +279,136 @@ def frequent_bits(rows: DataFrame, widths: tuple[int, ...], threshold: int, mass
     return out
 
 
-def _exact(batches, known, limits: Limits):
-    """``lang, width, phrase, n``: counts of the phrases whose bit is set, of many slices; of width 0: all words.
+def _small(n: np.ndarray) -> bytes:
+    """Numbers, a byte each if that is enough."""
+    return n.astype(np.uint8 if not len(n) or n.max() < 256 else np.int64).tobytes()
 
-    A phrase is known by the numbers of its words, which stand for their bytes: hashes only choose what is counted.
+
+def _numbers(data: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, np.uint8 if len(x) == n else np.int64).astype(np.int64) for x, n in zip(data, sizes, strict=True)])
+
+
+def _grouped(table: pa.Table, keys: list[str]) -> pa.Table:
+    """The sum of ``n`` for each key."""
+    return table.group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select([*keys, "n"]).combine_chunks()
+
+
+def _exact(batches, known, cut: int, limits: Limits):
+    """``part, size, keys, lens, counts``: for each partition (of ``1 << cut``) so many phrases whose bit is set, one after another, and their counts in many slices.
+
+    A key is the phrase, a line feed, which no word holds, and the language; without a phrase it stands for all words.
+    A phrase is known by the numbers of its words, which stand for their bytes: hashes only choose what is counted, and the partition.
     """
     bits = known.value
-    columns = ["lang", *map(str, range(LONGEST))]
-    kept, size, names = [], 0, [pa.array([""], pa.large_string())]
+    columns = ["lang", *map(str, range(LONGEST)), "part"]
+    none = pa.array([""], pa.large_string())  # number 0
+    kept, size, names = [], 0, [none]
 
     def summed():
         """One row a phrase, and one number a word or language."""
         every = pa.concat_arrays(names).dictionary_encode()
-        table, number = pa.concat_tables(kept), every.indices
-        table = pa.table([number.take(table[c].combine_chunks()) for c in columns] + [table["n"].combine_chunks()], [*columns, "n"])
-        one = table.group_by(columns, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
-        return [one.select([*columns, "n"]).combine_chunks()], [every.dictionary]
+        table = pa.concat_tables(kept)
+        table = pa.table([every.indices.take(table[c].combine_chunks()) for c in columns[:-1]] + [table["part"], table["n"]], [*columns, "n"])
+        return [_grouped(table, columns)], [every.dictionary]
 
     def made():
         (table,), (texts,) = summed()
-        width = sum((table[str(k)].to_numpy() > 0).astype(np.int32) for k in range(LONGEST))
-        for w in range(LONGEST + 1):
-            some = table.filter(pa.array(width == w))
-            parts = [texts.take(some[str(k)].combine_chunks()) for k in range(w)]
-            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if w > 1 else parts[0] if w else pa.array([""] * len(some))
-            lang = texts.take(some["lang"].combine_chunks())
-            yield from pa.table([lang.cast(pa.string()), pa.array(np.full(len(some), w, np.int32)), phrase.cast(pa.string()), some["n"]], ["lang", "width", "phrase", "n"]).to_batches(1 << 14)
+        part = table["part"].to_numpy()
+        order = np.argsort(part, kind="stable")
+        table, part = table.take(pa.array(order)), part[order]
+        words = [table[str(k)].combine_chunks() for k in range(LONGEST)]
+        parts = [texts.take(w if k == 0 else pc.if_else(pc.equal(w, 0), pa.scalar(None, w.type), w)) for k, w in enumerate(words)]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", texts.type), null_handling="skip")
+        keys = pc.binary_join_element_wise(phrase, texts.take(table["lang"].combine_chunks()), pa.scalar("\n", texts.type))
+        data, ends = flat_bytes(keys)
+        counts, lens = table["n"].to_numpy(), np.diff(ends)
+        bounds = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        for k in range(0, len(spans), 64):
+            some = spans[k : k + 64]
+            columns_of = [pa.array([part[i] for i, _ in some], pa.int32()), pa.array([j - i for i, j in some], pa.int32())]
+            columns_of += [pa.array([f(x) for x in some], pa.binary()) for f in (lambda x: data[ends[x[0]] : ends[x[1]]].tobytes(), lambda x: _small(lens[x[0] : x[1]]), lambda x: _small(counts[x[0] : x[1]]))]
+            yield pa.RecordBatch.from_arrays(columns_of, names=["part", "size", "keys", "lens", "counts"])
 
     for batch in slices(batches, size=limits.text):
         words, (lang, own) = Words(batch.column(1)), _languages(batch)
         lang_at = lang[words.text]
         found, before = [], np.ones(len(words) + 1, bool)
+        parts = [np.zeros(len(own), np.int32)]
         for width, at, h in words.phrases(_seeds(own)[lang]):
             may = before[at] & before[at + 1]  # no phrase is more frequent than its parts
             may[may] = _has(bits, h[may])
             before = np.zeros(len(words), bool)
             before[at[may]] = True
-            found.append(at[may])
+            found.append((at[may], (h[may] >> np.uint64(64 - cut)).astype(np.int32)))
+        some = found[0][0]
         number = np.empty(len(words), np.int64)
-        number[found[0]], texts = words.vocabulary(found[0])
+        number[some], texts = words.vocabulary(some)
         base = sum(map(len, names))
-        names += [pa.array(own, pa.large_string()), texts]
+        names += [pa.array(own, texts.type), texts]
         rows = [np.zeros((len(own), LONGEST + 2), np.int64)]
         rows[0][:, 0], rows[0][:, -1] = base + np.arange(len(own)), np.bincount(lang_at, minlength=len(own))
         code, before = lang_at, rows[0]
-        for width, at in enumerate(found, 1):  # a phrase is the one without its last word, and this word
+        for width, (at, p) in enumerate(found, 1):  # a phrase is the one without its last word, and this word
             keys = pa.array(code[at] * len(texts) + number[at + width - 1]).dictionary_encode()
             code[at] = keys.indices.to_numpy()
             first, last = np.divmod(keys.dictionary.to_numpy(), max(1, len(texts)))
             before = before[first]
             before[:, width], before[:, -1] = base + len(own) + last, np.bincount(keys.indices.to_numpy(), minlength=len(first))
             rows.append(before)
+            part = np.empty(len(first), np.int32)
+            part[code[at]] = p  # the same for all of a phrase
+            parts.append(part)
         rows = np.concatenate(rows)
-        kept.append(pa.table([pa.array(x.astype(np.int32)) for x in rows.T[:-1]] + [pa.array(rows[:, -1])], [*columns, "n"]))
+        kept.append(pa.table([pa.array(x.astype(np.int32)) for x in rows.T[:-1]] + [pa.array(np.concatenate(parts)), pa.array(rows[:, -1])], [*columns, "n"]))
         size += len(rows)
         if size > limits.held:
             kept, names = summed()
             size = len(kept[0])
             if size > limits.held // 2:
                 yield from made()
-                kept, size, names = [], 0, [pa.array([""], pa.large_string())]
+                kept, size, names = [], 0, [none]
     if kept:
         yield from made()
 
 
+def _totals(batches, threshold: int, limits: Limits):
+    """``lang, width, phrase, f`` of the phrases of each partition that reach the threshold, and of width 0."""
+    now, done, waiting, size = None, None, [], 0
+
+    def summed():
+        sizes, keys, lens, counts = zip(*waiting, strict=True)
+        table = pa.table([_binary(np.frombuffer(b"".join(keys), np.uint8), _numbers(lens, sizes)), pa.array(_numbers(counts, sizes))], ["key", "n"])
+        return _grouped(table if done is None else pa.concat_tables([done, table]), ["key"])
+
+    def rows():
+        for batch in summed().to_batches(1 << 14):
+            key = pc.split_pattern(batch.column(0).cast(pa.large_string()), "\n", max_splits=1).flatten()
+            phrase, lang = (key.take(pa.array(np.arange(k, len(key), 2))).cast(pa.string()) for k in (0, 1))
+            width = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+            out = pa.RecordBatch.from_arrays([lang, width, phrase, batch.column(1)], names=["lang", "width", "phrase", "f"])
+            yield out.filter(pc.or_(pc.greater_equal(out.column(3), threshold), pc.equal(width, 0)))
+
+    for batch in batches:
+        for part, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != now and waiting:
+                yield from rows()
+                done, waiting, size = None, [], 0
+            now = part
+            if size > max(limits.held, 0 if done is None else len(done)):
+                done, waiting, size = summed(), [], 0
+            waiting.append(block)
+            size += block[0]
+    if waiting:
+        yield from rows()
+
+
+def _cut(spark, mass: int, threshold: int, limits: Limits) -> int:
+    """Bits of a hash that choose a partition, so that the counters suffice for the mass of each."""
+    need = mass // threshold // limits.counters
+    return min(limits.map_bits - 3, max(need, spark.sparkContext.defaultParallelism).bit_length() + 1)
+
+
 def phrase_counts(docs: DataFrame, threshold: int, lang: str = "lang", text: str = "text", limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
     """``lang, width, phrase, f`` of every phrase of 1 to 4 words with ``threshold`` occurrences in a language, and ``lang, n``: all its words."""
     spark = docs.sparkSession
@@ -357,8 +419,10 @@ def phrase_counts(docs: DataFrame, threshold: int, lang: str = "lang", text: str
     pairs = spark.sparkContext.broadcast(short)
     long = frequent_bits(rows, (3, 4), threshold, mass, pairs, limits)
     known = spark.sparkContext.broadcast(short | long)
-    counted = rows.mapInArrow(lambda it: _exact(it, known, limits), "lang string, width int, phrase string, n long")
-    counts = stored(counted.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= threshold) | (F.col("width") == 0)))
+    cut = _cut(spark, mass * LONGEST, threshold, limits)
+    counted = rows.mapInArrow(lambda it: _exact(it, known, cut, limits), "part int, size int, keys binary, lens binary, counts binary")
+    dealt = counted.repartition(min(1 << cut, 4096), "part").sortWithinPartitions("part")
+    counts = stored(dealt.mapInArrow(lambda it: _totals(it, threshold, limits), "lang string, width int, phrase string, f long"))
     return counts.where("width > 0"), counts.where("width = 0").select("lang", F.col("f").alias("n"))
 
 
