@@ -1,6 +1,6 @@
 """Phrase collocations: frequent phrases found with mergeable Misra-Gries summaries, counted exactly in a second pass, scored and ranked.
 
-A phrase's hash gives its partition. A task summarises the phrases of its texts for each partition; the summaries of a partition are merged one by one into
+A phrase's hash gives its partition. A task summarises the phrases of its texts for each partition; the summaries of a partition are merged, many at once, into
 one whose counters outnumber its mass over the threshold: what is taken off a counter stays below the threshold, so every frequent phrase keeps one.
 What can reach the threshold by its counter and that loss goes into a bit map of fixed size; the second pass counts by their words the phrases whose bits are set, and
 drops what is too rare. Phrases of three and four words are summarised only where all their pairs of neighbours have their bits, as a
